@@ -88,14 +88,17 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data[inside], starts, ends, offsets)
 
 
-def units_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+def units_of(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> Words:
     """A text cut before every ASCII white-space run that follows something else.
 
-    The units of a text join to the text; each is white space, then a word.
+    The units of a text join to the text; each is white space, then a word.  Documents
+    marked in ``whole`` stay uncut.
     """
     space = IS_SPACE[data]
     cut = np.zeros(len(data), dtype=bool)
     cut[1:] = space[1:] & ~space[:-1]
+    if whole is not None and whole.any():
+        cut &= ~np.repeat(whole, np.diff(offsets))
     cut[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op2_byte_bpe
 from .packing import op1_best_fit_packing
+from .token_counts import op5_token_counts
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_token_counts": op5_token_counts,
+}
 ORACLE_SQL: dict[str, str] = {}
