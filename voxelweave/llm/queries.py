@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
 from .packing import op1_best_fit_packing
+from .quality_rules import ORACLE as RULES_SQL
+from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": RULES_SQL,
+}
