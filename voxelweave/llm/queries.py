@@ -5,6 +5,8 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
+from .near_dedup import ORACLE as NEAR_SQL
+from .near_dedup import op9_near_dedup
 from .packing import op1_best_fit_packing
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import op3_quality_rules
@@ -16,8 +18,10 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": RULES_SQL,
     "op8_exact_dedup": DEDUP_SQL,
+    "op9_near_dedup": NEAR_SQL,
 }
