@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op2_byte_bpe
 from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
+from .hmm_lm import op6_hmm_scores
 from .near_dedup import ORACLE as NEAR_SQL
 from .near_dedup import op9_near_dedup
 from .packing import op1_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_hmm_scores": op6_hmm_scores,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
