@@ -12,6 +12,7 @@ from .packing import op1_best_fit_packing
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import op3_quality_rules
 from .token_counts import op5_token_counts
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_hmm_scores": op6_hmm_scores,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": RULES_SQL,
