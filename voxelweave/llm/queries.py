@@ -6,6 +6,7 @@ from .byte_bpe import op2_byte_bpe
 from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
 from .hmm_lm import op6_hmm_scores
+from .html_text import op7_html_text
 from .near_dedup import ORACLE as NEAR_SQL
 from .near_dedup import op9_near_dedup
 from .packing import op1_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op6_hmm_scores": op6_hmm_scores,
+    "op7_html_text": op7_html_text,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
