@@ -7,6 +7,7 @@ from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
 from .hmm_lm import op6_hmm_scores
 from .html_text import op7_html_text
+from .importance import op4_importance_resampling
 from .near_dedup import ORACLE as NEAR_SQL
 from .near_dedup import op9_near_dedup
 from .packing import op1_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_importance_resampling": op4_importance_resampling,
     "op5_token_counts": op5_token_counts,
     "op6_hmm_scores": op6_hmm_scores,
     "op7_html_text": op7_html_text,
