@@ -16,20 +16,20 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.put(now, "edges")
-    state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.put(small, "edges")
-        seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        joined = large.join(low, "u")
+        small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v")
+        new = scratch.put(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         scratch.drop(now)
         now = new
-        if tuple(seen) == state:
+        # Stars are the result: no node is both above and below another or has two above it.
+        chained = now.join(now.select(F.col("v").alias("u")), "u", "left_semi").select("u")
+        split = now.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        if chained.unionByName(split).isEmpty():
             break
-        state = tuple(seen)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

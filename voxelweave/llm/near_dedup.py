@@ -11,7 +11,8 @@ Texts of one shingle set are one class.  Within a bucket, not all pairs are trie
 compared with all members that are not yet of their component, over as many rounds as shrink
 what is left, and only pairs of different components that then remain are enumerated.  So a
 large group of copies costs a few comparisons per member, and no link that could join two
-components is left out.
+components is left out.  Members whose shingles are too often theirs alone can link with
+nothing and leave the buckets first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,10 @@ PERCENT = 80
 VALUE_BITS = 43
 MOST_DOCS = 1 << 14
 MOST_ROUNDS = 24
+#: Members of a bucket that all others are compared with, in each round but the first.
+PIVOTS = 4
+#: Buckets with more pairs of different components than FEW are compared in blocks.
+FEW, BLOCK, COLUMNS = 1000, 512, 8192
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,6 +131,7 @@ def sketch_batches(size: int) -> Callable:
             bands = band_hashes(sketches(elements, at)).astype(np.int64)[n > 0].ravel()
             digests = [xxhash.xxh3_128_intdigest(elements[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             half = lambda x: x - (1 << 63)
+            more = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if i > 2}
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
@@ -134,6 +141,7 @@ def sketch_batches(size: int) -> Callable:
                     "k2": pa.array([half(x & ((1 << 64) - 1)) for x in digests], pa.int64()),
                     "bands": list_array(np.concatenate([[0], np.cumsum(np.where(n > 0, B, 0))]), pa.array(bands)),
                 }
+                | more
             )
 
     return run
@@ -148,70 +156,140 @@ def set_batches(size: int) -> Callable:
     return run
 
 
-def sized(a: str, b: str, percent: int) -> str:
-    """Sizes of two sets that can reach the similarity at all."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def able(percent: int) -> str:
+    """Whether a member and a pivot ``p`` can reach the similarity, by sizes n and supports s.
+
+    The intersection has no shingle that only one of the two holds, so it is at most the
+    smaller support.
+    """
+    return f"100 * least(n, p.n) >= {percent} * greatest(n, p.n) AND 100 * least(s, p.s) >= {percent} * (n + p.n - least(s, p.s))"
+
+
+def supported(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Adds the support s, the shingles that another member holds too, and drops memberships
+    that no partner of the bucket's sizes could bring to the similarity."""
+    once = sets.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    single = once.groupBy("node").agg(F.count("*").alias("u"))
+    counted = members.join(single, "node", "left").select("b", "node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"), "comp")
+    least = members.groupBy("b").agg(F.min("n").alias("least"))
+    return counted.join(least, "b").filter(f"100 * s >= {percent} * (n + greatest(least, s) - s)").drop("least")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """Component pairs (ca, cb) of node pairs (a, b) with 100 * intersection >= percent * union."""
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
     both = left.join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
-    return both.filter(F.expr(f"100 * i >= {percent} * (n - i)")).select("a", "b")
+    both = both.select("ca", "cb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("n"))
+    return both.filter(F.expr(f"100 * i >= {percent} * (n - i)")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Component pairs that links join within crowded buckets, found in blocks.
+
+    A bucket's members are dealt into parts of about BLOCK, and two parts meet in one task,
+    which counts intersections by products of incidence matrices and returns links only.
+    """
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("own", own).join(sets.withColumnRenamed("s", "set"), "node")
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
+    dealt = dealt.select("b", "own", "comp", "set", meet.alias("m")).select("b", "m.i", "m.j", "own", "comp", "set")
+
+    def links(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        comps, own = rows["comp"].to_numpy(), rows["own"].to_numpy()
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        out: set[tuple[int, int]] = set()
+        if len(left) and len(right):
+            values, counts = np.unique(comps, return_counts=True)
+            main = values[counts.argmax()]
+            rest = lambda x: x[comps[x] != main]
+            plans = [(rest(left), right)] + ([(left[comps[left] == main], rest(right))] if key[1] != key[2] else [])
+            sizes = rows["set"].map(len).to_numpy()
+            flat = np.unique(np.concatenate(rows["set"].to_list()), return_inverse=True)[1].astype(np.int64)
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            for x, y in plans:
+                if not len(x) or not len(y):
+                    continue
+                inter = np.zeros((len(x), len(y)), np.float32)
+                for start in range(0, int(flat.max()) + 1, COLUMNS):
+                    take = (flat >= start) & (flat < start + COLUMNS)
+                    m = np.zeros((len(rows), COLUMNS), np.float32)
+                    m[owner[take], flat[take] - start] = 1
+                    inter += m[x] @ m[y].T
+                union = sizes[x][:, None] + sizes[y][None, :] - inter
+                hit = (100 * inter >= percent * union) & (comps[x][:, None] != comps[y][None, :])
+                out |= {(min(a, b), max(a, b)) for a, b in zip(comps[x[np.nonzero(hit)[0]]].tolist(), comps[y[np.nonzero(hit)[1]]].tolist(), strict=True)}
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("b", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that have links; None if no bucket has two."""
+    """(node, root) of the classes that share a bucket with another; None if there are none."""
     spread = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("b"))
     shared = spread.groupBy("b").agg(F.count("*").alias("m")).filter("m > 1").select("b")
     members = scratch.put(spread.join(shared, "b").withColumn("comp", F.col("node")), "members")
     total = members.count()
     if not total:
         return None
-    wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "th"), "node")
+    labels = scratch.put(members.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    wanted = labels.select("node").join(classes.select("node", "doc_id", "th"), "node")
     there = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     texts = there.join(wanted, (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc_id")))
     sets = texts.select("node", "text").mapInArrow(set_batches(size), "node long, s array<long>")
     sets = scratch.put(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
-    links: list[DataFrame] = []
-    roots: DataFrame | None = None
+    members = scratch.put(supported(members, sets, percent), "members")
+    before = 0
     for i in range(MOST_ROUNDS + 1):
-        per = members.groupBy("b", "comp").agg(F.count("*").alias("s"), F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("x"), "node", "n", "comp")).alias("p"))
-        per = per.groupBy("b").agg(F.sum("s").alias("m"), F.sum(F.col("s") * F.col("s")).alias("q"), F.count("*").alias("c"), F.min("p").alias("p"))
-        open_ = scratch.put(per.filter("c > 1").select("b", "p", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("cross")), "open")
+        # The member with the fewest shingles of its own is the likeliest centre; others are random.
+        hashed = [F.xxhash64("node", F.lit(i), F.lit(j)).alias("x") for j in range(1 if i == 0 else PIVOTS)]
+        order = [(F.col("n") - F.col("s")).alias("own"), F.lit(0).alias("own")]
+        pivots = [F.min(F.struct(order[j > 0], x, "node", "n", "s", "comp")).alias(f"p{j}") for j, x in enumerate(hashed)]
+        names = [f"p{j}" for j in range(len(pivots))]
+        per = members.groupBy("b", "comp").agg(F.count("*").alias("m"), *pivots)
+        squares = F.sum(F.col("m") * F.col("m"))
+        per = per.groupBy("b").agg(F.sum("m").alias("size"), ((F.sum("m") * F.sum("m") - squares) / 2).alias("cross"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in names])
+        taken = F.array(*[F.struct(*[F.col(f"{x}.{c}").cast("long").alias(c) for c in ("node", "n", "s", "comp")]) for x in names])
+        open_ = scratch.put(per.filter("c > 1").select("b", "size", "cross", F.array_distinct(taken).alias("pivots")), "open")
         cross, n_open = open_.agg(F.coalesce(F.sum("cross"), F.lit(0)), F.count("*")).first()
         if not n_open:
             break
-        last = cross <= 2 * total + 10_000 or i == MOST_ROUNDS
+        # Pivots go on while they help; members that stay apart are then compared in pairs.
+        last = cross <= total + 10_000 or (i > 1 and cross > 0.7 * before) or i == MOST_ROUNDS
+        before = cross
         if last:
-            one = members.join(open_.select("b"), "b")
-            other = one.select("b", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            pairs = one.join(other, "b").filter("comp < comp2").filter(sized("n", "n2", percent))
-            pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+            one = members.join(open_.filter(f"cross <= {FEW}").select("b"), "b")
+            other = one.select("b", F.struct("node", "n", "s", "comp").alias("p"))
+            pairs = one.join(other, (one["b"] == other["b"]) & F.expr("comp < p.comp") & F.expr(able(percent)))
         else:
-            members = scratch.put(members.join(open_.select("b", "p"), "b"), "members")
-            pairs = members.filter("comp <> p.comp").filter(sized("n", "p.n", percent))
-            pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-            members = members.drop("p")
-        links.append(scratch.put(verified(pairs, sets, percent), "links"))
-        every = links[0]
-        for x in links[1:]:
-            every = every.unionByName(x)
-        roots = scratch.put(connected_components(every, scratch), "roots")
+            members = scratch.put(members.join(open_.select("b", "pivots"), "b"), "members")
+            pairs = members.select("node", "n", "s", "comp", F.explode("pivots").alias("p")).filter("comp <> p.comp").filter(able(percent))
+            members = members.drop("pivots")
+        pairs = pairs.select(
+            F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.least("comp", "p.comp").alias("ca"), F.greatest("comp", "p.comp").alias("cb")
+        )
+        edges = verified(pairs.distinct(), sets, percent)
+        if last:
+            edges = edges.unionByName(block_links(members.join(open_.filter(f"cross > {FEW}").select("b", "size"), "b"), sets, percent))
+        roots = scratch.put(connected_components(edges, scratch).withColumnsRenamed({"node": "comp", "root": "to"}), "roots")
+        labels = labels.withColumnRenamed("root", "comp").join(roots, "comp", "left").select("node", F.coalesce("to", "comp").alias("root"))
+        labels = scratch.put(labels, "labels")
         if last:
             break
-        members = scratch.put(members.drop("comp").join(roots, "node", "left").select("b", "node", "n", F.coalesce("root", "node").alias("comp")), "members")
-    return roots
+        members = members.join(roots, "comp", "left").select("b", "node", "n", "s", F.coalesce("to", "comp").alias("comp"))
+        members = scratch.put(members, "members")
+    return labels
+
 
+def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT, position: str | None = None) -> DataFrame:
+    """Every row with n_shingles, component_id and keep_row, the one row of its group that stays.
 
-def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT, carry: dict[str, str] | None = None) -> DataFrame:
-    """Every row with n_shingles, component_id and keep_row, the one row of its group that stays."""
-    docs = ensure_columns(docs, doc_id="long", text="string", **(carry or {}))
-    if carry:
-        docs = scratch.put(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
-    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    rows = source.mapInArrow(sketch_batches(size), "doc_id long, th long, n_shingles long, k1 long, k2 long, bands array<long>")
+    ``position`` names a column of row numbers, which then come back as well.
+    """
+    at = {position: "long"} if position else {}
+    docs = ensure_columns(docs, doc_id="long", text="string", **at)
+    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), *at)
+    rows = source.mapInArrow(sketch_batches(size), "doc_id long, th long, n_shingles long, k1 long, k2 long, bands array<long>" + "".join(f", {c} long" for c in at))
     rows = scratch.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "th")
     classes = rows.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(order).alias("rep"), F.first("bands").alias("bands"))
@@ -233,7 +311,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent:
     alone = F.col("n_shingles") == 0
     out = rows.drop("bands").join(named, ["k1", "k2", "n_shingles"], "left")
     return out.select(
-        "doc_id", "th", "row", "n_shingles",
+        "doc_id", "row", "n_shingles", *at,
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"),
     )
@@ -252,6 +330,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def distinct_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each group, that of the smallest doc_id, with the columns of documents.
+
+    Rows without words stay, each by itself.  Columns that documents lack become null.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    carry = {"lang": "string", "source": "string", "n_chars": "long"}
+    stored = ensure_columns(docs, doc_id="long", text="string", **carry).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stored = scratch.put(stored.withColumn("at", F.monotonically_increasing_id()), "documents")
+    groups = near_groups(stored, scratch, size, percent, position="at")
+    kept = groups.filter("row = keep_row").select("at")
+    return stored.join(kept, "at", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
