@@ -124,7 +124,7 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
 
 def read_gradients(spark: SparkSession, bvals: str, bvecs: str, separator: str = " ") -> DataFrame:
     """(vol, b, gx, gy, gz): one row per volume, in file order."""
-    split = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("vol", "line"))
+    split = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), "\r?\n")).alias("vol", "line"))
     cells = F.split(F.trim("line"), re.escape(separator) + "+")
     b = split(bvals).select("vol", cells[0].cast("double").alias("b"))
     g = split(bvecs).select("vol", *[cells[k].cast("double").alias(n) for k, n in enumerate(("gx", "gy", "gz"))])
