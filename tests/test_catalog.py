@@ -105,3 +105,16 @@ def test_logistic_glm(spark):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_other_queries_give_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).limit(1).count() == 1
+
+
+def test_parts_and_fusion(spark):
+    from voxelweave.operators import geometry
+
+    v = spark.createDataFrame([(0, 0, 0, 0), (1, 1, 0, 0), (2, 1, 1, 0), (9, 5, 5, 5)], "voxel_id long, x int, y int, z int")
+    assert {r["voxel_id"]: r["size"] for r in geometry.remove_isolated(v, 2).collect()} == {0: 3, 1: 3, 2: 3}
+    rng = np.random.default_rng(0)
+    truth = rng.random(400) < 0.5
+    votes = [(i, r, int(t if rng.random() < q else not t)) for i, t in enumerate(truth) for r, q in enumerate((0.95, 0.9, 0.6))]
+    w, quality = geometry.staple(spark.createDataFrame(votes, "voxel_id long, rater int, v int"))
+    right = np.mean([(r["w"] > 0.5) == truth[r["voxel_id"]] for r in w.collect()])
+    assert right > 0.93 and quality[0][0] > quality[2][0]

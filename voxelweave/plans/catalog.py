@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import aggregate, cluster, connectivity, fits, graph, signal
+from ..operators import aggregate, cluster, connectivity, fits, geometry, graph, signal
 from . import tables as tb
 
 DIGITS = 6
@@ -327,9 +327,10 @@ def _(s, d):
     return cluster.z_scored(tb.features(s, d))
 
 
-@query("t2_linear", "decay", "SELECT voxel_id, CASE WHEN s < 0 THEN exp(i) ELSE 0 END AS a, CASE WHEN s < 0 THEN least(-1 / s, 100.0) ELSE 0 END AS t2, CASE WHEN s < 0 THEN r2 ELSE 0 END AS r2 FROM (SELECT voxel_id, regr_slope(ln(value), t) AS s, regr_intercept(ln(value), t) AS i, regr_r2(ln(value), t) AS r2 FROM decay WHERE value > 0 GROUP BY voxel_id HAVING count(DISTINCT t) > 1)", "a t2 r2")
+@query("t2_linear", "decay", "SELECT voxel_id, CASE WHEN s < 0 THEN i ELSE 0 END AS log_a, CASE WHEN s < 0 THEN least(-1 / s, 100.0) ELSE 0 END AS t2, CASE WHEN s < 0 THEN r2 ELSE 0 END AS r2 FROM (SELECT voxel_id, regr_slope(ln(value), t) AS s, regr_intercept(ln(value), t) AS i, regr_r2(ln(value), t) AS r2 FROM decay WHERE value > 0 GROUP BY voxel_id HAVING count(DISTINCT t) > 1)", "log_a t2 r2")
 def _(s, d):
-    return fits.t2_linear(tb.decay(s, d), 100.0)
+    fitted = fits.t2_linear(tb.decay(s, d), 100.0)
+    return fitted.select("voxel_id", F.when(F.col("a") > 0, F.log("a")).otherwise(0.0).alias("log_a"), "t2", "r2")
 
 
 @query("t2_nonlinear")
@@ -387,3 +388,63 @@ def _(s, d):
 def _(s, d):
     e = _graph(s, d)
     return graph.shortest_paths(e, graph.degree(e).filter("node % 50 = 1").select("node"))
+
+
+@query("extracted_volumes", "s", "SELECT voxel_id, t - 10 AS t, value FROM s WHERE t BETWEEN 10 AND 14", "value")
+def _(s, d):
+    return geometry.extract_volumes(tb.series(s, d), 10, 5)
+
+
+@query("skipped_samples", "s", "SELECT voxel_id, t, value FROM s WHERE t >= 5 AND t < 64 - 7", "value")
+def _(s, d):
+    return geometry.skip_samples(tb.series(s, d), 5, 7)
+
+
+@query("inserted_volume", "s", "SELECT voxel_id, t, value FROM s WHERE t <> 3 UNION ALL SELECT voxel_id, 3, value FROM s WHERE t = 9", "value")
+def _(s, d):
+    v = tb.series(s, d)
+    return geometry.insert_volume(v, v.filter("t = 9"), 3)
+
+
+@query("cropped_box", "s vox", "SELECT voxel_id, x - 1 AS x, y - 2 AS y, z AS z, value FROM vox WHERE t = 0 AND x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 6 AND z BETWEEN 0 AND 2", "value")
+def _(s, d):
+    return geometry.crop(tb.voxels(s, d).filter("t = 0").drop("t"), (1, 2, 0), (4, 5, 3))
+
+
+@query("cleared_region", "s vox", "SELECT voxel_id, x, y, z, CASE WHEN x BETWEEN 2 AND 4 AND y BETWEEN 2 AND 4 AND z BETWEEN 1 AND 3 THEN 0 ELSE value END AS value FROM vox WHERE t = 0", "value")
+def _(s, d):
+    return geometry.clear_region(tb.voxels(s, d).filter("t = 0").drop("t"), (2, 2, 1), (3, 3, 3))
+
+
+@query("reoriented", "s vox", "SELECT voxel_id, y AS x, 7 - x AS y, z AS z, value FROM vox WHERE t = 0", "value")
+def _(s, d):
+    return geometry.reorient(tb.voxels(s, d).filter("t = 0"), "yXz", (8, 8, 64))
+
+
+@query("mask_ordinal", "lab", "SELECT voxel_id, row_number() OVER (ORDER BY voxel_id) - 1 AS ordinal FROM lab WHERE label > 0")
+def _(s, d):
+    return geometry.mask_ordinal(tb.labels(s, d).select("voxel_id", (F.col("label") > 0).cast("int").alias("m")), 64)
+
+
+@query("relative_coordinates", "s vox lab", "SELECT voxel_id, x - cx AS x, y - cy AS y, z - cz AS z FROM vox, (SELECT x AS cx, y AS cy, z AS cz FROM vox JOIN lab USING (voxel_id) WHERE t = 0 AND label = 3 ORDER BY voxel_id LIMIT 1) WHERE t = 0")
+def _(s, d):
+    v = tb.voxels(s, d).filter("t = 0")
+    return geometry.relative_coordinates(v, v.join(tb.labels(s, d).filter("label = 3"), "voxel_id"))
+
+
+@query("label_logic", "lab", "SELECT voxel_id, CASE WHEN label > 4 AND NOT label % 2 = 0 THEN 1 ELSE 0 END AS m FROM lab")
+def _(s, d):
+    m = tb.labels(s, d)
+    return geometry.label_logic(m.select("voxel_id", (F.col("label") > 4).cast("int").alias("m")), m.select("voxel_id", (F.col("label") % 2 == 0).cast("int").alias("m")), "minus")
+
+
+@query("connected_parts")
+def _(s, d):
+    v = tb.voxels(s, d).filter("t = 0 AND value > 0")
+    return geometry.remove_isolated(v, 2)
+
+
+@query("label_fusion")
+def _(s, d):
+    votes = tb.series(s, d).filter("t < 5").select("voxel_id", F.col("t").alias("rater"), (F.col("value") > 0).cast("int").alias("v"))
+    return geometry.staple(votes, rounds=5)[0]
