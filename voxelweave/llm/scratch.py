@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of sessions that name none.
+LOCAL: dict[str, str] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,8 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="voxelweave-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = LOCAL.get("base") or "file://" + tempfile.mkdtemp(prefix="voxelweave-")
+            LOCAL["base"] = base
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, label: str) -> str:
