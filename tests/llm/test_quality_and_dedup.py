@@ -102,6 +102,9 @@ def test_near_duplicates_of_odd_rows(odd, brute_texts, empty):
     sets, want = jaccard_components(brute_texts, 4, 80)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(odd, size=4).collect())
     assert got == Counter((d, len(sets[i]), want[i]) for i, (d, _) in enumerate(brute_texts))
+    groups = {want[i] if sets[i] else ("alone", i) for i in range(len(brute_texts))}
+    kept = near_dedup.distinct_groups(odd, size=4)
+    assert kept.count() == len(groups) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.distinct_groups(empty).count() == 0
 
 

@@ -70,15 +70,15 @@ def index_documents(docs: DataFrame, scratch: Scratch, carry: dict[str, str] | N
     """
     source = ensure_columns(docs, doc_id="long", text="string", **(carry or {}))
     rows = source.withColumn("norm", normalised(F.col("text")))
-    if not carry:
-        rows = rows.drop("text")
     rows = rows.withColumn("h", F.xxhash64("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    rows = scratch.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = rows.drop("norm" if carry else "text").withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.put(rows, "rows")
     keys = scratch.put(rows.groupBy("h").agg(F.count("*").alias("n")), "keys")
     directory = build_directory(keys, scratch, capacity)
     chained = scratch.put(directory.filter("n > 1").select("h", "bucket"), "chains")
     newest = F.max(F.struct("doc_id", "row"))
-    copies = rows.select("h", "norm", "text_sha256", "doc_id", "row").join(chained, "h")
+    norm = normalised(F.col("text")).alias("norm") if carry else F.col("norm")
+    copies = rows.select("h", norm, "text_sha256", "doc_id", "row").join(chained, "h")
     text = ["bucket", "h", "norm", "text_sha256"]
     parts = copies.groupBy(*text, F.pmod(F.col("row"), F.lit(SALTS)).alias("salt")).agg(newest.alias("last"), F.count("*").alias("n"))
     parts = scratch.put(parts, "parts")
@@ -116,8 +116,9 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows that stay, with doc_id, text, lang, source and n_chars as they came."""
     carry = {"lang": "string", "source": "string", "n_chars": "long"}
     rows, groups = index_documents(docs, Scratch(docs.sparkSession, "dedup"), carry)
-    kept = joined(rows.drop("norm"), groups).filter("group_size IS NULL OR row = keep_row")
-    return kept.select("doc_id", "text", "lang", "source", "n_chars")
+    # The rows that go are few beside the texts, so Spark can often send them to the texts.
+    gone = joined(rows.select("row", "h", "text_sha256"), groups).filter("row <> keep_row").select("row")
+    return rows.join(gone, "row", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,6 @@ def sketch_batches(size: int) -> Callable:
             bands = band_hashes(sketches(elements, at)).astype(np.int64)[n > 0].ravel()
             digests = [xxhash.xxh3_128_intdigest(elements[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             half = lambda x: x - (1 << 63)
-            more = {c: batch.column(i) for i, c in enumerate(batch.schema.names) if i > 2}
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
@@ -141,7 +140,6 @@ def sketch_batches(size: int) -> Callable:
                     "k2": pa.array([half(x & ((1 << 64) - 1)) for x in digests], pa.int64()),
                     "bands": list_array(np.concatenate([[0], np.cumsum(np.where(n > 0, B, 0))]), pa.array(bands)),
                 }
-                | more
             )
 
     return run
@@ -281,15 +279,11 @@ def linked_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch, size:
     return labels
 
 
-def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT, position: str | None = None) -> DataFrame:
-    """Every row with n_shingles, component_id and keep_row, the one row of its group that stays.
-
-    ``position`` names a column of row numbers, which then come back as well.
-    """
-    at = {position: "long"} if position else {}
-    docs = ensure_columns(docs, doc_id="long", text="string", **at)
-    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), *at)
-    rows = source.mapInArrow(sketch_batches(size), "doc_id long, th long, n_shingles long, k1 long, k2 long, bands array<long>" + "".join(f", {c} long" for c in at))
+def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Every row with n_shingles, component_id and keep_row, the one row of its group that stays."""
+    docs = ensure_columns(docs, doc_id="long", text="string")
+    source = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = source.mapInArrow(sketch_batches(size), "doc_id long, th long, n_shingles long, k1 long, k2 long, bands array<long>")
     rows = scratch.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "th")
     classes = rows.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min(order).alias("rep"), F.first("bands").alias("bands"))
@@ -311,7 +305,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent:
     alone = F.col("n_shingles") == 0
     out = rows.drop("bands").join(named, ["k1", "k2", "n_shingles"], "left")
     return out.select(
-        "doc_id", "row", "n_shingles", *at,
+        "doc_id", "th", "row", "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("row")).otherwise(F.col("keep_row")).alias("keep_row"),
     )
@@ -335,13 +329,19 @@ def distinct_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Rows without words stay, each by itself.  Columns that documents lack become null.
     """
-    scratch = Scratch(docs.sparkSession, "near")
     carry = {"lang": "string", "source": "string", "n_chars": "long"}
-    stored = ensure_columns(docs, doc_id="long", text="string", **carry).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    stored = scratch.put(stored.withColumn("at", F.monotonically_increasing_id()), "documents")
-    groups = near_groups(stored, scratch, size, percent, position="at")
-    kept = groups.filter("row = keep_row").select("at")
-    return stored.join(kept, "at", "left_semi").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = ensure_columns(docs, doc_id="long", text="string", **carry)
+    scratch = Scratch(docs.sparkSession, "near")
+    groups = near_groups(docs, scratch, size, percent)
+    rows = scratch.put(groups.select("doc_id", "th", (F.col("row") == F.col("keep_row")).alias("stays")), "rows-kept")
+    gone = rows.filter("NOT stays").select("doc_id", "th").distinct()
+    # Repeated rows of one doc_id and text, of which one stays.
+    again = gone.intersect(rows.filter("stays").select("doc_id", "th"))
+    texts = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = lambda other: texts["doc_id"].eqNullSafe(other["doc_id"]) & (texts["th"] == other["th"])
+    single = texts.join(gone, same(gone), "left_anti")
+    repeated = texts.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "th"])
+    return single.unionByName(repeated).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

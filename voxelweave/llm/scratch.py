@@ -25,6 +25,12 @@ def ensure_columns(df: DataFrame, **types: str) -> DataFrame:
     )
 
 
+def delete(spark: SparkSession, where: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Writes DataFrames below ``spark.checkpoint.dir`` and reads them back.
 
@@ -33,12 +39,16 @@ class Scratch:
     a loop has superseded.
     """
 
+    #: Roots made since the list was last taken, for callers that know when results are written.
+    opened: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = LOCAL.get("base") or "file://" + tempfile.mkdtemp(prefix="voxelweave-")
             LOCAL["base"] = base
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        Scratch.opened.append(self.root)
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -57,6 +67,4 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         where = getattr(df, "_scratch_path", None)
         if where:
-            jvm = self.spark._jvm
-            path = jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, where)
