@@ -118,3 +118,9 @@ def test_parts_and_fusion(spark):
     w, quality = geometry.staple(spark.createDataFrame(votes, "voxel_id long, rater int, v int"))
     right = np.mean([(r["w"] > 0.5) == truth[r["voxel_id"]] for r in w.collect()])
     assert right > 0.93 and quality[0][0] > quality[2][0]
+
+
+def test_tree_spans_the_whole_edge_table(spark):
+    d = "/root/testdata/sf0.1"
+    suppliers = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert catalog.QUERIES["minimum_spanning_tree"](spark, d).count() == suppliers - 1

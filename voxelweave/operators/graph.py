@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a local one only where it names none."""
-    context = df.sparkSession.sparkContext
+    """A checkpoint in the folder that the session names; a local one only where it names none.
+
+    The result leaves behind the size that Spark estimates for its plan: a checkpoint keeps it,
+    joins multiply it, and after some twenty rounds planning with such numbers takes minutes.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelweave-"))
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def thresholded(edges: DataFrame, t: float) -> DataFrame:

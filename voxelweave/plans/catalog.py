@@ -381,12 +381,12 @@ def _(s, d):
 
 @query("minimum_spanning_tree")
 def _(s, d):
-    return graph.minimum_spanning_tree(_graph(s, d))
+    return graph.minimum_spanning_tree(tb.edges(s, d))
 
 
 @query("shortest_paths")
 def _(s, d):
-    e = _graph(s, d)
+    e = tb.edges(s, d)
     return graph.shortest_paths(e, graph.degree(e).filter("node % 50 = 1").select("node"))
 
 
