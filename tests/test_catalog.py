@@ -124,3 +124,11 @@ def test_tree_spans_the_whole_edge_table(spark):
     d = "/root/testdata/sf0.1"
     suppliers = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert catalog.QUERIES["minimum_spanning_tree"](spark, d).count() == suppliers - 1
+
+
+def test_shortest_paths_follow_long_chains(spark):
+    start = spark.createDataFrame([(0,)], "node long")
+    d = {r["node"]: r["d"] for r in graph.shortest_paths(edge_table(spark, [(i, i + 1, 2.0) for i in range(70)]), start).collect()}
+    assert d == {i: pytest.approx(i / 2) for i in range(71)}
+    with pytest.raises(ValueError):
+        graph.shortest_paths(edge_table(spark, [(0, 1, -1.0)]), start)

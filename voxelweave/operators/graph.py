@@ -95,23 +95,23 @@ def hierarchy(edges: DataFrame) -> DataFrame:
     return both.agg(F.regr_slope(F.log("strength"), F.log("clustering")).alias("beta"), F.count("*").alias("n"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 64) -> DataFrame:
-    """Least sum of 1 / weight from each source to every node it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Least sum of 1 / weight from each source to every node it reaches; weights are positive.
 
-    Distances relax along all edges at once; each round sends on only what became shorter, and
-    its table is checkpointed, so the plan does not grow with the rounds.
+    Distances relax along all edges at once until none becomes shorter; each round sends on only
+    what did, and its table is checkpointed, so the plan does not grow with the rounds.
     """
-    e = both_ways(edges).select("src", "dst", (1 / F.col("weight")).alias("length"))
+    e = cut(both_ways(edges))
+    if not e.filter("weight <= 0").isEmpty():
+        raise ValueError("weights must be positive")
+    e = e.select("src", "dst", (1 / F.col("weight")).alias("length"))
     best = sources.select(F.col("node").alias("source"), F.col("node"), F.lit(0.0).alias("d"), F.lit(True).alias("new"))
-    for _ in range(rounds):
+    while not best.filter("new").isEmpty():
         step = best.filter("new").join(e, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("length")).alias("d"))
         step = step.groupBy("source", "node").agg(F.min("d").alias("nd"))
         joined = best.select("source", "node", "d").join(step, ["source", "node"], "full")
         shorter = F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-12))
-        best = joined.select("source", "node", F.when(shorter, F.col("nd")).otherwise(F.col("d")).alias("d"), shorter.alias("new"))
-        best = cut(best)
-        if best.filter("new").isEmpty():
-            break
+        best = cut(joined.select("source", "node", F.when(shorter, F.col("nd")).otherwise(F.col("d")).alias("d"), shorter.alias("new")))
     return best.select("source", "node", "d")
 
 
