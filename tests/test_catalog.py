@@ -132,3 +132,32 @@ def test_shortest_paths_follow_long_chains(spark):
     assert d == {i: pytest.approx(i / 2) for i in range(71)}
     with pytest.raises(ValueError):
         graph.shortest_paths(edge_table(spark, [(0, 1, -1.0)]), start)
+
+
+def test_shortest_paths_of_all_pairs(spark, sf):
+    from voxelweave.plans import tables
+
+    edges = [tuple(r) for r in tables.edges(spark, sf).collect()]
+    nodes = {x for e in edges for x in e[:2]}
+    want = {(a, b): 0.0 if a == b else np.inf for a in nodes for b in nodes}
+    want |= {p: 1 / w for a, b, w in edges for p in ((a, b), (b, a))}
+    for k in nodes:
+        want |= {(a, b): min(want[a, b], want[a, k] + want[k, b]) for a in nodes for b in nodes}
+    got = {(r["source"], r["node"]): r["d"] for r in catalog.QUERIES["shortest_paths"](spark, sf).collect()}
+    assert got == {p: pytest.approx(d, abs=2e-6) for p, d in want.items() if d < np.inf}
+
+
+def test_fusion_of_all_volumes(spark, sf):
+    x = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    v = np.array(x["embedding"].tolist()) > 0
+    p = q = np.full(v.shape[1], 0.9)
+    for n in range(31):
+        a, b = np.clip(p, 1e-6, 1 - 1e-6), np.clip(q, 1e-6, 1 - 1e-6)
+        w = 1 / (1 + np.exp(np.where(v, np.log(1 - b), np.log(b)).sum(1) - np.where(v, np.log(a), np.log(1 - a)).sum(1)))
+        if n == 30:
+            break
+        before, p, q = (p, q), w @ v / w.sum(), (1 - w) @ ~v / (1 - w).sum()
+        if max(np.abs(p - before[0]).max(), np.abs(q - before[1]).max()) < 1e-7:
+            break
+    got = {r["voxel_id"]: r["w"] for r in catalog.QUERIES["label_fusion"](spark, sf).collect()}
+    assert got == {i: pytest.approx(y, abs=1e-4) for i, y in zip(x["vec_id"], w, strict=True)}

@@ -387,7 +387,7 @@ def _(s, d):
 @query("shortest_paths")
 def _(s, d):
     e = tb.edges(s, d)
-    return graph.shortest_paths(e, graph.degree(e).filter("node % 50 = 1").select("node"))
+    return graph.shortest_paths(e, graph.degree(e).select("node"))
 
 
 @query("extracted_volumes", "s", "SELECT voxel_id, t - 10 AS t, value FROM s WHERE t BETWEEN 10 AND 14", "value")
@@ -446,5 +446,5 @@ def _(s, d):
 
 @query("label_fusion")
 def _(s, d):
-    votes = tb.series(s, d).filter("t < 5").select("voxel_id", F.col("t").alias("rater"), (F.col("value") > 0).cast("int").alias("v"))
-    return geometry.staple(votes, rounds=5)[0]
+    votes = tb.series(s, d).select("voxel_id", F.col("t").alias("rater"), (F.col("value") > 0).cast("int").alias("v"))
+    return geometry.staple(votes)[0]
