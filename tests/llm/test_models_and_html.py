@@ -110,6 +110,13 @@ def test_furniture_without_markup_goes_by_differencing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_alignment_decides_beside_an_article(spark):
+    page = lambda i: f"<body><div>Site name</div><article>Teaser {i}</article><div>Body {i} has words</div><article>Both</article><div>All rights</div></body>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Teaser {i} Body {i} has words Both" for i in range(4)}
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 

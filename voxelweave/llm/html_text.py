@@ -188,10 +188,9 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
 
 
 def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """Lines of the article, or without one the lines that no markup rules out and no neighbour shares."""
+    """Lines of an article, and others that no markup rules out and no neighbour shares."""
     shared = shared_lines([x for x, _ in lines], [x for x, _ in other]) if other and any(k == OPEN for _, k in lines) else set()
-    has_article = any(k == ARTICLE for _, k in lines)
-    keep = [x for i, (x, k) in enumerate(lines) if k == ARTICLE or (k == OPEN and not has_article and i not in shared)]
+    keep = [x for i, (x, k) in enumerate(lines) if k == ARTICLE or (k == OPEN and i not in shared)]
     return " ".join(keep)
 
 
