@@ -117,6 +117,24 @@ def test_alignment_decides_beside_an_article(spark):
     assert got == {i: f"Teaser {i} Body {i} has words Both" for i in range(4)}
 
 
+def test_texts_do_not_depend_on_the_partitions(spark):
+    page = lambda i: f"<body><div>Site name</div><div>Part {i % 3}</div><div>Story {i} has words</div><div>All rights</div></body>"
+    rows = [(i, f"http://h{i // 25}.example/{i // 3:03}/{i:03}", page(i if i % 25 < 18 else 500)) for i in range(100)]
+    rows += [(200 + i, f"http://pair{i // 2}.example/{i}", page(i)) for i in range(20)] + [(None, None, None)] * 2 + rows[:3]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for n in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            found.append(Counter(tuple(r) for r in html_text.extract_text(df).collect()))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found[0].total() == len(rows) and found[0] == found[1] == found[2]
+    assert not any("Site name" in r[2] for r in found[0])
+
+
 def test_pages_of_the_table(spark, sf):
     import html
 

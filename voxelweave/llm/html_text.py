@@ -1,7 +1,9 @@
 """Main text of web pages by differencing each with the nearest page of its host.
 
 Pages are dealt out in ranges of host, URL path and id, so neighbours meet in one task and a
-host of any size spreads over many.  Each page becomes text lines; those of a page and of its
+host of any size spreads over many.  A first pass finds the runs of equal pages at both edges of
+each range; a range also gets the pages beyond its edges that its first and last run are
+differenced with, so the texts do not depend on the ranges.  Each page becomes text lines; those of a page and of its
 nearest neighbour, by common path prefix, are aligned by longest common subsequence, and lines
 that both share are the host's furniture and go.  Markup decides first where it speaks: lines in
 menus, headers, footers, sidebars, adverts, forms, notices or comments go in any case, and lines
@@ -17,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import ensure_columns, read_table
+from .scratch import Scratch, ensure_columns, read_table
 
 OPEN, ARTICLE, CHROME = 0, 1, 2
 BLOCKS = frozenset(
@@ -210,19 +214,67 @@ def run_texts(run: dict, before: dict | None, after: dict | None) -> Iterator[tu
         yield page_id, url, texts[best]
 
 
+def line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each page's lines instead of the page."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            own = batch.slice(a, 256)
+            pages = own.column(4).to_pylist()
+            found = [xxhash.xxh3_128_hexdigest(repr(lines_of(page or "")).encode("utf-8", "surrogatepass")) for page in pages]
+            yield pa.RecordBatch.from_arrays([*own.columns[:4], pa.array(found, pa.string())], names=["host", "path", "k", "x", "lines"])
+
+
+def edge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first pages of the first two runs of a range, and the last pages of its last two."""
+    first: list[dict] = []
+    last: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if last and (last[-1]["host"], last[-1]["lines"]) == (row["host"], row["lines"]):
+                last[-1] = row
+                continue
+            last = [*last[-1:], row]
+            if len(first) < 2:
+                first.append(row)
+    if first:
+        part = TaskContext.get().partitionId()
+        rows = [{"part": part, "at": i, **row} for i, row in [*enumerate(first), *enumerate(last[::-1], 2)]]
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.int64() if c in ("part", "at", "k", "x") else pa.string()) for c in rows[0]]))
+
+
+def beyond(edges: list[tuple[list, list]], at: int, step: int) -> tuple | None:
+    """The page next to range ``at`` that differs from the range's own run there, if of its host.
+
+    ``edges`` has for each range the outermost two runs at its start and at its end.
+    """
+    own = edges[at][step > 0][0]
+    at += step
+    while 0 <= at < len(edges):
+        runs = edges[at][step < 0]
+        for run in runs:
+            if run["host"] != own["host"]:
+                return None
+            if run["lines"] != own["lines"]:
+                return run["host"], run["path"], run["k"], run["x"]
+        at += step
+    return None
+
+
 def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages of a range; pages from beyond its edges are only differenced with."""
+
     def runs():
         run = None
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
-                for host, path, page_id, url, page in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
+                for host, path, page_id, url, page, guest in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns), strict=True):
                     lines = lines_of(page or "")
-                    if run and run["host"] == host and run["lines"] == lines:
+                    if run and run["host"] == host and run["lines"] == lines and run["guest"] == guest:
                         run["rows"].append((page_id, url, path))
                         continue
                     if run:
                         yield run
-                    run = {"host": host, "lines": lines, "rows": [(page_id, url, path)]}
+                    run = {"host": host, "lines": lines, "rows": [(page_id, url, path)], "guest": guest}
         if run:
             yield run
         yield None
@@ -237,7 +289,7 @@ def extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     out: list[tuple] = []
     size = 0
     for after in runs():
-        if run:
+        if run and not run["guest"]:
             for row in run_texts(run, before, after):
                 out.append(row)
                 size += len(row[2])
@@ -260,11 +312,27 @@ def extract_text(pages: DataFrame) -> DataFrame:
     url = F.coalesce("url", F.lit(""))
     place = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
     keyed = pages.select(
-        F.lower(F.regexp_extract(url, place, 1)).alias("host"), F.regexp_extract(url, place, 2).alias("path"), "page_id", "url", "html"
-    )
-    order = ["host", "path", "page_id"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(extract_batches, "page_id long, url string, text string, n_chars long")
+        F.lower(F.regexp_extract(url, place, 1)).alias("host"), F.regexp_extract(url, place, 2).alias("path"),
+        F.coalesce("page_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("html").alias("x"), "page_id", "url", "html",
+    )
+    spark = pages.sparkSession
+    order = ["host", "path", "k", "x"]
+    lines = keyed.select(*order, "html").mapInArrow(line_batches, "host string, path string, k long, x long, lines string")
+    lines = Scratch(spark, "html").put(lines, "lines")
+    ranges = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    found = ranges.sortWithinPartitions(*order).mapInArrow(edge_batches, "part long, at long, host string, path string, k long, x long, lines string")
+    parts: dict[int, dict[int, dict]] = {}
+    for r in found.collect():  # at most four rows a range
+        parts.setdefault(r["part"], {})[r["at"]] = r.asDict()
+    edges = [tuple([runs[i] for i in both if i in runs] for both in ((0, 1), (2, 3))) for _, runs in sorted(parts.items())]
+    guests = [(*page, part) for part in range(len(edges)) for step in (-1, 1) if (page := beyond(edges, part, step))]
+    borders = spark.createDataFrame([([tuple(start[0][c] for c in order) for start, _ in edges[1:]],)], "borders array<struct<host:string,path:string,k:long,x:long>>")
+    asked = spark.createDataFrame(guests, "host string, path string, k long, x long, part int").groupBy(*order).agg(F.collect_list("part").alias("asked"))
+    own = F.size(F.filter("borders", lambda b: b <= F.struct(*order)))
+    seats = F.concat(F.array(F.struct(own.alias("part"), F.lit(False).alias("guest"))), F.transform(F.coalesce("asked", F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(True).alias("guest"))))
+    seated = keyed.crossJoin(F.broadcast(borders)).join(F.broadcast(asked), order, "left").select("*", F.inline(seats))
+    dealt = seated.repartitionById(max(1, len(edges)), "part").sortWithinPartitions(*order)
+    return dealt.select("host", "path", "page_id", "url", "html", "guest").mapInArrow(extract_batches, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
