@@ -54,6 +54,23 @@ def test_best_fit_is_as_good_as_the_serial_one(spark, seed):
     assert len(by) <= n * 1.02 + 1
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_short_documents_fill_sequences(spark, hot):
+    from voxelweave.llm.scratch import Scratch
+
+    lengths = np.random.default_rng(3).integers(11, 33, 12_000)
+    if hot:
+        lengths[:8_000] = 12
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "doc_id long, length long")
+    rows = packing.best_fit(df, Scratch(spark, "t")).collect()
+    assert Counter(r["length"] for r in rows) == Counter(lengths.tolist())
+    sums = Counter()
+    for r in rows:
+        sums[r["sequence_id"]] += r["length"]
+    least = -(-int(lengths.sum()) // 4096)
+    assert max(sums.values()) <= 4096 and len(sums) <= 1.05 * least + 1, (len(sums), least)
+
+
 def test_empty_tables(empty):
     assert packing.pack_documents(empty).count() == 0
     assert byte_bpe.encode(empty).count() == 0

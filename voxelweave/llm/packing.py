@@ -6,7 +6,8 @@ gap that is still free (its successor), which is the matching of brackets with g
 and documents as closing ones.  The sweep is distributed: prefix sums over the at most
 ``capacity`` sizes give each row its depth, and rows of one depth alternate, so a window over
 the depth finds the partner.  Rank resolves conflicts: the k-th document of a size meets the
-k-th free gap.  Documents without a gap open sequences; the gaps are updated; repeat.
+k-th free gap.  Documents without a gap open sequences, longest first and only as many as their
+tokens need; the gaps are updated, and what is left of the class meets them again until none is.
 
 Every table of a round is keyed by sequence or by depth, so none has a hot key, and sizes that
 many rows share are ranked in salted parts.
@@ -190,24 +191,32 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> D
     gaps: DataFrame | None = None
     placed: list[DataFrame] = []
     todo = classes(histogram, capacity)
-    for number, (low, high) in enumerate(todo, 1):
+    number = 0
+    for low, high in todo:
         docs = items.filter(F.col("length").between(low, high))
-        if gaps is None and 2 * low > capacity:  # no two of them go together
-            done = docs.withColumn("sequence_id", F.lit(number).cast("long") * F.lit(1 << 44) + F.col("item_id"))
-            done = done.withColumn("opened", F.lit(True))
-        else:
-            done = sweep(docs, gaps if gaps is not None else no_gaps(spark), low, high, capacity, number)
-        done = scratch.put(done, f"placed-{high}")
-        placed.append(done.drop("opened"))
-        if number < len(todo):
-            smallest = min(s for s in histogram if s < low)
+        while high:
+            number += 1
+            first = F.lit(number).cast("long") * F.lit(1 << 44)
+            apart = gaps is None and 2 * low > capacity  # no two of them go together
+            if apart:
+                found = docs.withColumn("sequence_id", first + F.col("item_id")).withColumn("opened", F.lit(True))
+            else:
+                found = sweep(docs, gaps if gaps is not None else no_gaps(spark), low, high, capacity, number)
+            found = scratch.put(found, f"placed-{high}")
+            done, high = found, 0
+            if not apart:
+                tokens = found.filter("opened").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+                waits = F.col("opened") & (F.col("sequence_id") - first >= -(-tokens // capacity))
+                done, docs = found.filter(~waits), found.filter(waits).drop("sequence_id", "opened")
+                high = docs.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+            placed.append(done.drop("opened"))
             used = done.select("sequence_id", (-F.col("length")).alias("gap"), "opened")
             old, every = gaps, used
             if old is not None:
                 every = old.withColumn("opened", F.lit(False)).unionByName(used)
             left = F.sum("gap") + F.when(F.max("opened"), capacity).otherwise(0)
-            gaps = every.groupBy("sequence_id").agg(left.alias("gap")).filter(F.col("gap") >= smallest)
-            gaps = scratch.put(gaps, f"gaps-{high}")
+            gaps = every.groupBy("sequence_id").agg(left.alias("gap")).filter(F.col("gap") >= min(histogram))
+            gaps = scratch.put(gaps, f"gaps-{number}")
             scratch.drop(old)
     if not placed:
         return items.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("item_id")
