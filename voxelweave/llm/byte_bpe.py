@@ -191,4 +191,6 @@ def decode(encoded: DataFrame, ranks_path: str | None = None, pattern: str | Non
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes of every row of ``documents``; null counts as
+    empty, repeated rows are encoded each, and an empty table gives no rows."""
     return encode(read_table(spark, sf_dir, "documents"), "digests")

@@ -112,16 +112,22 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with doc_id, text, lang, source and n_chars as they came."""
+def distinct_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows that stay, with doc_id, text, lang, source and n_chars as they came.
+
+    A null text counts as empty, and of all empty texts one row stays; of repeated rows one stays;
+    columns that documents lack become null; an empty table gives no rows.
+    """
     carry = {"lang": "string", "source": "string", "n_chars": "long"}
-    rows, groups = index_documents(docs, Scratch(docs.sparkSession, "dedup"), carry)
+    rows, groups = index_documents(docs, scratch or Scratch(docs.sparkSession, "dedup"), carry)
     # The rows that go are few beside the texts, so Spark can often send them to the texts.
     gone = joined(rows.select("row", "h", "text_sha256"), groups).filter("row <> keep_row").select("row")
     return rows.join(gone, "row", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the row that stays for its text; null counts as empty, repeated
+    rows form a group, and an empty table gives no rows."""
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 

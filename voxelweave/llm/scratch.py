@@ -8,8 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: The folder of sessions that name none.
+#: The folder of local sessions that name none.
 LOCAL: dict[str, str] = {}
 
 
@@ -25,30 +24,42 @@ def ensure_columns(df: DataFrame, **types: str) -> DataFrame:
     )
 
 
-def delete(spark: SparkSession, where: str) -> None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def base_folder(spark: SparkSession) -> str:
+    """This application's part of ``spark.checkpoint.dir``.
+
+    A machine-local folder serves only a local session that names none; on a cluster it would
+    lose tables without a word, so there the setting must be given.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="voxelweave-"))
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, pattern: str) -> None:
+    """Removes the folders that a path or glob pattern names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(path) or []:
+        files.delete(found.getPath(), True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this application; results not yet read are lost with them."""
+    delete(spark, base_folder(spark))
 
 
 class Scratch:
     """Writes DataFrames below ``spark.checkpoint.dir`` and reads them back.
 
-    The folder is the one the session names, shared by driver and executors; a local one is
-    made only where the setting is absent (tests in local mode).  ``drop`` removes tables that
-    a loop has superseded.
+    ``drop`` removes a table that a loop has superseded and ``close`` all of them, once the
+    result has been read or written; ``clear`` does so for a whole application.
     """
 
-    #: Roots made since the list was last taken, for callers that know when results are written.
-    opened: list[str] = []
-
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = LOCAL.get("base") or "file://" + tempfile.mkdtemp(prefix="voxelweave-")
-            LOCAL["base"] = base
-        self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
-        Scratch.opened.append(self.root)
+        self.spark, self.root, self.n = spark, f"{base_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -68,3 +79,6 @@ class Scratch:
         where = getattr(df, "_scratch_path", None)
         if where:
             delete(self.spark, where)
+
+    def close(self) -> None:
+        delete(self.spark, self.root)
