@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode
-from .scratch import read_table
+from .scratch import Scratch, read_table
 
 BLOCK = 512
 QUANTILES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
@@ -80,13 +80,17 @@ def length_quantiles(sums: DataFrame, quantiles: tuple[float, ...] = QUANTILES)
 def token_counts(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """Suffix sums over the encoded lengths of whole texts; a null text has length 0.
 
-    Repeated rows count each; an empty table gives no rows; further columns are ignored.
+    The histogram is written first, so the corpus is encoded once.  Repeated rows count each; an
+    empty table gives no rows; further columns are ignored.
     """
     import public_tokenizers
 
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return with_suffix_sums(length_histogram(encode(docs, "counts", path)))
+    histogram = Scratch(docs.sparkSession, "lengths").put(length_histogram(encode(docs, "counts", path)), "histogram")
+    return with_suffix_sums(histogram)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix sums of ``documents``: a row for each length that occurs; null texts have length 0,
+    repeated rows count each, and an empty table gives no rows."""
     return token_counts(read_table(spark, sf_dir, "documents"))
