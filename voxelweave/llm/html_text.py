@@ -3,12 +3,17 @@
 Pages are dealt out in ranges of host, URL path and id, so neighbours meet in one task and a
 host of any size spreads over many.  A first pass finds the runs of equal pages at both edges of
 each range; a range also gets the pages beyond its edges that its first and last run are
-differenced with, so the texts do not depend on the ranges.  Each page becomes text lines; those of a page and of its
-nearest neighbour, by common path prefix, are aligned by longest common subsequence, and lines
-that both share are the host's furniture and go.  Markup decides first where it speaks: lines in
-menus, headers, footers, sidebars, adverts, forms, notices or comments go in any case, and lines
-of an article element stay even if a neighbour repeats them, because a paragraph that two
-articles share is still the text of each.
+differenced with, so texts do not depend on the ranges.  Each page becomes text lines, and is
+aligned by longest common subsequence with the different pages before and after it, of which the
+nearest has the longer common path prefix.
+
+* A line that the nearest page shares is the host's furniture and goes.
+* The lines of an article or main element are judged together, because a paragraph that two
+  articles share is still the text of each: they go if most of their characters are shared with
+  both neighbours, as those of a subscription box in such an element; the first and last page of
+  a host have one neighbour, which isn't enough for that.
+* Lines in menus, headers, footers, sidebars, adverts, forms, notices or comments, by element,
+  role or name, go in any case: such furniture often differs from page to page.
 """
 
 from __future__ import annotations
@@ -26,57 +31,80 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, ensure_columns, read_table
 
-OPEN, ARTICLE, CHROME = 0, 1, 2
+OPEN, ARTICLE, CHROME, NAMED = 0, 1, 2, 3
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table"
     " tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea object canvas video audio title".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button select head search".split())
+RAW = frozenset("script style noscript template iframe svg textarea object canvas video audio title".split())
+DROPPED = frozenset("nav footer aside form menu dialog button select head search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar note".split())
-NAMED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|side-?bars?|comments?|comment-?list|replies|respond|disqus\w*"
-    r"|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|sign-?up|log-?in|share|sharing|social|related|recommended"
-    r"|bread-?crumbs?|menus?|nav|nav-?bar|navigation|footers?|headers?|masthead|pop-?up|modal|overlay|widgets?|pagination|pager|toolbar|skip-?link)(?:$|[^a-z])"
+#: A class or id names furniture if all its parts are words of the two lists, one of the first.
+FURNITURE = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos banner banners sidebar"
+    " sidebars comment comments replies respond disqus cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription"
+    " signup login share sharing social related recommended breadcrumb breadcrumbs menu menus nav navbar navigation footer masthead popup"
+    " modal overlay widget widgets pagination pager toolbar skiplink".split()
 )
+NEUTRAL = frozenset(
+    "area articles bar block bottom box buttons container form global icons items left link links list main message page panel posts primary"
+    " right secondary section sign site skip slot stories thread top unit up wrap wrapper".split()
+)
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Bits that a direct alignment may hold; larger ones are halved first.
 MOST_BITS = 1 << 27
 
 
-def is_chrome(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and NAMED.search(value):
+def names_furniture(names: str, inside: int) -> bool:
+    """Whether a class or id attribute has a name of furniture; 'header' is one outside articles only."""
+    for name in names.split():
+        parts = {x.lower() for x in PARTS.split(name) if x}
+        own = parts & FURNITURE or (inside != ARTICLE and "header" in parts)
+        if own and parts <= FURNITURE | NEUTRAL | {"header"}:
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int]]:
-    """Text of each block in page order, with white space as single spaces, and its kind."""
-    out: list[tuple[str, int]] = []
+def kind_of(tag: str, attributes: str, inside: int) -> int:
+    """Kind of the lines of an element, from its own markup and the kind around it."""
+    if inside == CHROME or (inside == NAMED and tag != "main"):
+        return inside
+    if tag in ("article", "main"):
+        return ARTICLE
+    if tag in DROPPED or (tag == "header" and inside != ARTICLE):
+        return CHROME
+    if not attributes or tag in ("html", "body"):
+        return inside
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return CHROME
+        if name == "role" and value.lower() in ROLES:
+            return CHROME
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return CHROME
+        if name in ("class", "id") and names_furniture(value, inside):
+            return NAMED
+    return inside
+
+
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """Text of each block in page order, with white space as single spaces, its kind, and the number
+    of the outermost article or main element around it, 0 if there is none."""
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []
-    kind, at = OPEN, 0
+    kind, at, region, regions = OPEN, 0, 0, 0
 
     def flush() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, kind))
+                out.append((line, kind, region))
             text.clear()
 
     while True:
@@ -101,6 +129,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                         flush()
                     kind = stack[i][1]
                     del stack[i:]
+                    if region and not any(k[0] in ("article", "main") for k in stack):
+                        flush()
+                        region = 0
                     break
             continue
         if tag in RAW:
@@ -111,10 +142,14 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         stack.append((tag, kind))
-        new = CHROME if kind == CHROME or is_chrome(tag, m[3]) else ARTICLE if tag in ("article", "main") else kind
+        new = kind_of(tag, m[3], kind)
         if new != kind:
             flush()
             kind = new
+        if tag in ("article", "main") and not region:
+            flush()
+            regions += 1
+            region = regions
     flush()
     return out
 
@@ -191,10 +226,25 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
     return {mine[i] for i in found}
 
 
-def main_text(lines: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> str:
-    """Lines of an article, and others that no markup rules out and no neighbour shares."""
-    shared = shared_lines([x for x, _ in lines], [x for x, _ in other]) if other and any(k == OPEN for _, k in lines) else set()
-    keep = [x for i, (x, k) in enumerate(lines) if k == ARTICLE or (k == OPEN and i not in shared)]
+def furniture_regions(lines: list[tuple[str, int, int]], shared: list[set[int]]) -> set[int]:
+    """Article elements of whose characters both neighbours share more than half."""
+    size: dict[int, int] = {}
+    common: list[dict[int, int]] = [{}, {}]
+    for i, (x, k, region) in enumerate(lines):
+        if k == ARTICLE:
+            size[region] = size.get(region, 0) + len(x)
+            for own, places in zip(common, shared, strict=False):
+                own[region] = own.get(region, 0) + len(x) * (i in places)
+    return {r for r, n in size.items() if len(shared) == 2 and all(2 * own[r] > n for own in common)}
+
+
+def main_text(lines: list[tuple[str, int, int]], near: list[list[tuple[str, int, int]]]) -> str:
+    """The text that is left of a page by differencing with its neighbours, the nearest first."""
+    own = [x for x, _, _ in lines]
+    shared = [shared_lines(own, [x for x, _, _ in other]) for other in near]
+    furniture = furniture_regions(lines, shared)
+    gone = shared[0] if shared else set()
+    keep = [x for i, (x, k, r) in enumerate(lines) if (k == ARTICLE and r not in furniture) or (k == OPEN and i not in gone)]
     return " ".join(keep)
 
 
@@ -204,13 +254,13 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def run_texts(run: dict, before: dict | None, after: dict | None) -> Iterator[tuple]:
-    """Rows of a run of pages with equal lines, each differenced with the nearer of the runs around it."""
+    """Rows of a run of pages with equal lines, each differenced with the runs around it, the nearer first."""
     near = [x for x in (before, after) if x and x["host"] == run["host"]]
     texts: dict[int, str] = {}
     for page_id, url, path in run["rows"]:
         best = max(range(len(near)), key=lambda i: common_prefix(near[i]["rows"][-1 if near[i] is before else 0][2], path), default=-1)
         if best not in texts:
-            texts[best] = main_text(run["lines"], near[best]["lines"] if near else None)
+            texts[best] = main_text(run["lines"], [x["lines"] for x in (near[best:] + near[:best] if near else [])])
         yield page_id, url, texts[best]
 
 
@@ -336,4 +386,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``, from the whole html; a null or empty page has the text
+    '', repeated rows are rows each, and an empty table gives no rows."""
     return extract_text(read_table(spark, sf_dir, "pages"))
