@@ -14,10 +14,24 @@ def word_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids + [1] for x in texts]
 
 
+def test_words_that_hold_added_tokens():
+    import pyarrow as pa
+    import public_tokenizers as P
+
+    from voxelweave.llm.arrow_text import text_buffer, words_of
+    from voxelweave.llm.bpe_words import WordEndBpe
+
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "Ä<|endoftext|>ß <| |>", "<|endoftext|"]
+    bpe = WordEndBpe(P.path("word_bpe_49k.json"))
+    for text in texts:
+        ids, _ = bpe.encode_words(words_of(*text_buffer(pa.array([text]))))
+        assert [*ids.tolist(), 1] == word_ids([text])[0]
+    assert 49407 in word_ids(texts)[0]
+
+
 def test_packing_of_odd_rows(odd, brute_texts):
     got = packing.pack_documents(odd).collect()
     want = Counter()

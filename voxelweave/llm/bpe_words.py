@@ -59,13 +59,15 @@ class WordEndBpe:
     White space never survives in it, so words are encoded one by one.  Plain ASCII words are
     cut here at changes between letters, digits and the rest, as its pattern cuts them; other
     words, and those with an apostrophe, pass its normalizer and pattern, or the whole pipeline.
+    Words that hold an added token, as ``<|endoftext|>``, always pass the whole, which gives them
+    the token's id as the library does by default.
     """
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.parts = Tokenizer.from_file(path)
         self.parts.encode_special_tokens = True
+        self.added = regex.compile("|".join(regex.escape(t.content) for t in self.full.get_added_tokens_decoder().values()) or r"(?!)")
         self.parts.normalizer = None
         self.parts.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -93,6 +95,7 @@ class WordEndBpe:
         data = LOWER[np.frombuffer(array.buffers()[2], np.uint8)]
         kind = self.kind[data]
         plain = sums_by(offsets, kind == 4) == 0
+        plain &= ~np.fromiter((b"<|" in w for w in new), bool, len(new))
         odd = np.flatnonzero(~plain)
         lengths = np.zeros(len(new), np.int64)
         cut = np.ones(len(data), dtype=bool)
@@ -136,7 +139,7 @@ class WordEndBpe:
         normal = self.full.normalizer.normalize_str(" ".join(words)).split(" ")
         if len(normal) != len(words):
             return self.encode_whole(words)
-        rest = {i: w for i, w in enumerate(words) if max(w) >= "\u0250" or max(normal[i], default="") >= "\u0250"}
+        rest = {i: w for i, w in enumerate(words) if max(w) >= "\u0250" or max(normal[i], default="") >= "\u0250" or self.added.search(w)}
         cut = [[w] if w.isalpha() else [] if i in rest else PATTERN.findall(w) for i, w in enumerate(normal)]
         for i in rest:
             cut[i] = []

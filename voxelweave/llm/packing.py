@@ -235,18 +235,22 @@ def pack_documents(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     with_ids: bool = False,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Packs whole documents into as few sequences as best fit finds.
 
     A document's ids end with ``end_id``; only longer ones are cut, into pieces of
     ``capacity``.  A null text counts as empty and gives the piece [end_id]; a null doc_id
-    stays null; repeated rows are packed separately; further columns are ignored.
+    stays null; repeated rows are packed separately; further columns are ignored; an empty table
+    gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "packing")
+    scratch = scratch or Scratch(docs.sparkSession, "packing")
     return best_fit(encode_pieces(docs, tokenizer_path, capacity, end_id, with_ids), scratch, capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents``, whole texts, with their places in sequences of 4096 tokens;
+    null and empty texts are the piece [1], repeated rows are pieces each, an empty table gives none."""
     from .scratch import read_table
 
     return pack_documents(read_table(spark, sf_dir, "documents"))
