@@ -2,8 +2,9 @@
 
 One pass over the texts counts words, symbols, repeated lines and repeated five-word windows,
 and hashes each document's normalised lines.  A second step counts, for every host and line,
-the distinct documents that hold it; lines above the limits are boilerplate and are removed,
-and documents that keep too little are rejected.  Only hashes are shuffled, each line once per
+the documents that hold it, each once; lines above the limits are boilerplate and are removed,
+and documents that keep too little are rejected.  A line that only copies of a few documents hold
+is their text, not the host's, and stays: deduplication is a later step.  Only hashes are shuffled, each line once per
 document, and sums are taken before the shuffle, so neither a hot host nor a common line meets
 in one task.
 """
@@ -24,9 +25,11 @@ from .scratch import Scratch, ensure_columns, read_table
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: A line is boilerplate in a host if over MIN_DOCS documents and over SHARE of the host's have it.
+#: A line is boilerplate in a host if over MIN_DOCS documents and over SHARE of the host's have it,
+#: and at least MIN_TEXTS of these differ.
 MIN_DOCS = 20
-SHARE = 0.05
+SHARE = 0.01
+MIN_TEXTS = 5
 #: A document is depleted if fewer words than MIN_WORDS, or less than KEEP of its words, remain.
 KEEP = 0.3
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -155,13 +158,14 @@ def base_failed() -> Column:
 def frequent_lines(counts: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """host, h, n_docs of the lines above the limits.
 
-    Documents of a host with the same lines count as one, so copies of a document do not make
-    its lines boilerplate.
+    A row is a document and counts once for a line; documents of equal lines are summed up
+    before the shuffle by line, so a hot host or a large group of copies is few rows there.
     """
     docs = counts.select("host", "content", "lines").filter(F.size("lines") > 0)
-    per_host = docs.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    lines = docs.select("host", "content", F.explode("lines.h").alias("h")).distinct()
-    common = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    per_host = docs.groupBy("host").agg(F.count("*").alias("host_docs"))
+    lines = docs.select("host", "content", F.explode("lines.h").alias("h")).groupBy("host", "h", "content").agg(F.count("*").alias("n"))
+    common = lines.groupBy("host", "h").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_texts"))
+    common = common.filter((F.col("n_docs") > min_docs) & (F.col("n_texts") >= MIN_TEXTS))
     limits = common.join(per_host, "host")
     return limits.filter(F.col("n_docs") > share * F.col("host_docs")).select("host", "h", "n_docs")
 
@@ -171,7 +175,8 @@ def judged(docs: DataFrame, scratch: Scratch, with_text: bool = False, min_docs:
     source = ensure_columns(docs, doc_id="long", source="string", text="string", **({"lang": "string", "n_chars": "long"} if with_text else {}))
     schema = COUNTS + ", text string, lang string, n_chars long" * with_text
     counts = source.mapInArrow(count_batches(with_text), schema)
-    counts = scratch.put(counts.withColumn("row", F.monotonically_increasing_id()).withColumn("host", F.coalesce("host", F.lit(""))), "counts")
+    named = [F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_source")]
+    counts = scratch.put(counts.select("*", F.monotonically_increasing_id().alias("row"), named[1]).withColumn("host", named[0]), "counts")
     frequent = scratch.put(frequent_lines(counts, min_docs, share), "frequent")
     held = counts.select("row", "host", F.inline("lines")).join(frequent.select("host", "h"), ["host", "h"])
     removed = held.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("h").alias("removed"))
@@ -183,8 +188,9 @@ def judged(docs: DataFrame, scratch: Scratch, with_text: bool = False, min_docs:
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
     """Counts and verdict of every document; hosts are the values of ``source``.
 
-    A null text has no words and fails; a null source is a host of its own; repeated rows are
-    judged each; further columns are ignored; an empty table gives no rows.
+    A null text has no words and fails; rows without a source, or with an empty one, are one host;
+    repeated rows count and are judged each; further columns are ignored; an empty table gives no
+    rows.
     """
     out = judged(docs, Scratch(docs.sparkSession, "rules"), False, min_docs, share, keep)
     return out.select(
@@ -207,18 +213,24 @@ def strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def clean_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+def clean_documents(
+    docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep: float = KEEP, scratch: Scratch | None = None
+) -> DataFrame:
     """The documents that the rules keep, without their boilerplate lines.
 
-    Rejected documents go; the other rows keep doc_id, lang and source, and n_chars follows
-    the text where lines went.  Columns that documents lack become null.
+    Rejected documents go, null and empty texts among them; the other rows keep doc_id, lang and
+    source, null where they were, and n_chars follows the text where lines went.  Repeated rows
+    stay repeated; columns that documents lack become null; an empty table gives no rows.
     """
-    out = judged(docs, Scratch(docs.sparkSession, "rules"), True, min_docs, share, keep).filter("kept")
-    rows = out.select("doc_id", "lang", "text", F.col("host").alias("source"), "n_chars", "removed")
+    out = judged(docs, scratch or Scratch(docs.sparkSession, "rules"), True, min_docs, share, keep).filter("kept")
+    source = F.when(~F.col("no_source"), F.col("host")).alias("source")
+    rows = out.select("doc_id", "lang", "text", source, "n_chars", "removed")
     return rows.mapInArrow(strip_batches, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row of ``documents``; null and empty texts have no words and fail,
+    repeated rows are judged each, and an empty table gives no rows."""
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
@@ -254,9 +266,9 @@ WITH d AS (
 ), c AS (
   SELECT doc_id, host, string_agg(h, chr(10) ORDER BY h) AS content FROM l GROUP BY ALL
 ), f AS (
-  SELECT host, h FROM (SELECT l.host, h, count(DISTINCT content) AS n FROM l JOIN c USING (doc_id) GROUP BY l.host, h)
-  JOIN (SELECT host, count(DISTINCT content) AS total FROM c GROUP BY host) USING (host)
-  WHERE n > {MIN_DOCS} AND n > {SHARE}::DOUBLE * total
+  SELECT host, h FROM (SELECT l.host, h, count(*) AS n, count(DISTINCT content) AS texts FROM l JOIN c USING (doc_id) GROUP BY l.host, h)
+  JOIN (SELECT host, count(*) AS total FROM c GROUP BY host) USING (host)
+  WHERE n > {MIN_DOCS} AND texts >= {MIN_TEXTS} AND n > {SHARE}::DOUBLE * total
 ), x AS (
   SELECT doc_id, sum(n) AS removed FROM l JOIN f USING (host, h) GROUP BY doc_id
 ), v AS (
