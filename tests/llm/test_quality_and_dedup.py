@@ -37,6 +37,19 @@ def test_boilerplate_goes_and_depleted_documents_too(spark):
     assert texts[0] == (own(0), len(own(0))) and 100 not in texts and texts[200][0].startswith(menu)
 
 
+def test_boilerplate_of_a_hot_host_is_a_small_share(spark):
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(12))
+    ad = "Buy these fine things here today"
+    rows = [(i, f"{ad}\n{own(i)}" if i % 50 == 0 else own(i), "en", "hot", 1) for i in range(3000)]
+    rows += [(5000 + i, f"{own(9000)}\n{own(9001)}", "en", None, 1) for i in range(40)] + [(6000, own(6000), None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality_rules.clean_documents(docs).collect()
+    texts = {r["doc_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and all(texts[i] == own(i) for i in range(0, 3000, 50))
+    # Copies of one document share its lines, which are not boilerplate; a null source stays null.
+    assert all(texts[5000 + i] == f"{own(9000)}\n{own(9001)}" for i in range(40)) and {r["source"] for r in got} == {"hot", None}
+
+
 def test_repeated_words_against_windows():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -124,6 +137,26 @@ def test_large_near_group_needs_no_pairs_and_loses_no_link(spark):
     assert near_dedup.distinct_groups(docs).count() == len(set(want.values()))
 
 
+def test_crowded_buckets_in_blocks_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}v{i}" for i in range(40)]
+        for i in range(60):
+            w = list(words)
+            for k in rng.choice(40, rng.integers(1, 4), replace=False):
+                w[k] = f"g{g}u{rng.integers(3)}x{k}"
+            rows.append((len(rows), " ".join(w) + " tail" * (i % 3)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, want = jaccard_components(rows, 5, 80)
+    monkeypatch.setattr(near_dedup, "MOST_ROUNDS", 0)
+    for few, block, shingles in ((1, 16, 10**6), (1, 512, 300), (10**9, 512, 10**6)):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
 def test_sketch_estimates_similarity_and_fills_every_coordinate():
     rng = np.random.default_rng(2)
     both = rng.integers(0, 1 << 63, 900).astype(np.uint64)
@@ -149,16 +182,62 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def brute_weights(texts, target):
+    """Log ratio of add-one bucket models of words and word pairs, by a loop."""
+    import math
+
+    import xxhash
+
+    wrap, m3 = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def buckets(t):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in t.lower().split()]
+        pairs = []
+        for a, b in zip(h, h[1:]):
+            x = ((a * m3) & wrap) ^ ((b + m3) & wrap)
+            pairs.append(((x ^ (x >> 29)) * m3) & wrap)
+        return [(x >> 17) % importance.BUCKETS for x in h + pairs]
+
+    own = [buckets(t) for t in texts]
+    raw, good = Counter(x for b in own for x in b), Counter(x for i in target for x in own[i])
+    n_raw, n_good = sum(raw.values()) + importance.BUCKETS, sum(good.values()) + importance.BUCKETS
+    return [sum(math.log((good[x] + 1) / n_good) - math.log((raw[x] + 1) / n_raw) for x in b) for b in own]
+
+
+def test_importance_of_the_table_by_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = [(i, t) for i, t in docs if t.translate(low) == t.lower() and not any(c.isspace() and c not in " \t\n\v\f\r" for c in t)]
+    assert len(plain) == len(docs) or plain
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_importance_resampling"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    if len(plain) == len(docs):
+        want = brute_weights([t for _, t in docs], [i for i, (d, _) in enumerate(docs) if d in good])
+        assert all(got[d]["log_weight"] == pytest.approx(w, abs=1e-6) for (d, _), w in zip(docs, want, strict=True))
+    # k rows of the largest keys stay, and k is the number of weights at or above the target's low end.
+    kept = [r["key"] for r in got.values() if r["kept"]]
+    cut = np.quantile([r["log_weight"] for d, r in got.items() if d in good], importance.LIGHTEST)
+    assert len(kept) == sum(r["log_weight"] >= cut for r in got.values())
+    assert min(kept) >= max([r["key"] for r in got.values() if not r["kept"]], default=-np.inf)
+
+
+def test_importance_does_not_follow_the_files(spark, sf, tmp_path):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = []
+    for n in (1, 7):
+        docs.repartition(n, "text").write.parquet(str(tmp_path / str(n)))
+        found.append({r["doc_id"]: (round(r["key"], 6), r["kept"]) for r in importance.importance(spark.read.parquet(str(tmp_path / str(n))), labels).collect()})
+    assert found[0] == found[1]
+
+
 def test_importance_prefers_target_words(spark, odd, empty):
     rows = [(i, " ".join(["good", "fine", f"g{i % 7}"] * 10)) for i in range(60)] + [(100 + i, " ".join(["junk", "spam", f"j{i % 5}"] * 10)) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(100, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in importance.importance(docs, labels).collect()}
     assert all(got[i]["kept"] for i in range(60)) and not any(got[100 + i]["kept"] for i in range(40))
-    at, parent = importance.features(importance.pa.array([t for _, t in rows]), importance.BUCKETS)
-    raw = np.bincount(at, minlength=importance.BUCKETS).astype(float)
-    target = np.bincount(at[parent < 30], minlength=importance.BUCKETS).astype(float)
-    weight = np.bincount(parent, weights=importance.log_ratio(target, raw)[at])
+    weight = brute_weights([t for _, t in rows], range(30))
     assert all(got[d]["log_weight"] == pytest.approx(weight[i]) for i, (d, _) in enumerate(rows))
     kept = importance.importance(docs, labels, k=25).filter("kept").collect()
     ranked = sorted((r["key"] for r in importance.importance(docs, labels, k=25).collect()), reverse=True)

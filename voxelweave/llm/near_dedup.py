@@ -39,7 +39,9 @@ MOST_ROUNDS = 24
 #: Members of a bucket that all others are compared with, in each round but the first.
 PIVOTS = 4
 #: Buckets with more pairs of different components than FEW are compared in blocks.
-FEW, BLOCK, COLUMNS = 1000, 512, 8192
+FEW, COLUMNS = 1000, 8192
+#: Members, and shingles of all of them, that a block holds about.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -184,10 +186,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Component pairs that links join within crowded buckets, found in blocks.
 
-    A bucket's members are dealt into parts of about BLOCK, and two parts meet in one task,
+    A bucket's members are dealt into parts of about BLOCK members and BLOCK_SHINGLES shingles,
+    whichever gives more parts, so long texts bound a part too; two parts meet in one task,
     which counts intersections by products of incidence matrices and returns links only.
     """
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    weights = members.groupBy("b").agg(F.sum("n").alias("weight"))
+    members = members.join(weights, "b")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("own", own).join(sets.withColumnRenamed("s", "set"), "node")
     meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
@@ -314,6 +319,8 @@ def near_groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, percent:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Every row with its shingle count and the smallest doc_id reachable over links.
 
+    Sets hold 64-bit hashes of shingles: two different shingles of a set of n count as one with
+    a chance of about n * n / 2 ** 65, 1e-9 for a text of 200,000 words.
     Texts are compared after lower-casing A-Z; a text with fewer words than a shingle is one
     shingle of all its words; texts without words, and null ones, have the size 0 and are
     linked with nothing.  kept means doc_id = component_id; a null doc_id is never the smallest
@@ -324,14 +331,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def distinct_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def distinct_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """One row of each group, that of the smallest doc_id, with the columns of documents.
 
-    Rows without words stay, each by itself.  Columns that documents lack become null.
+    Rows without words stay, each by itself; a null doc_id stays only if all of its group are
+    null; of repeated rows one stays.  Columns that documents lack become null, and an empty
+    table gives no rows.
     """
     carry = {"lang": "string", "source": "string", "n_chars": "long"}
     docs = ensure_columns(docs, doc_id="long", text="string", **carry)
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = scratch or Scratch(docs.sparkSession, "near")
     groups = near_groups(docs, scratch, size, percent)
     rows = scratch.put(groups.select("doc_id", "th", (F.col("row") == F.col("keep_row")).alias("stays")), "rows-kept")
     gone = rows.filter("NOT stays").select("doc_id", "th").distinct()
@@ -345,6 +354,8 @@ def distinct_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents`` over four-word shingles; texts without words and null ones have
+    no shingles and no links, repeated rows share a component, an empty table gives no rows."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
 
 
