@@ -41,8 +41,25 @@ def test_forward_and_counts_against_enumeration():
                 if i:
                     moves[z[i - 1], z[i]] += p / total
     assert np.allclose(hmm_lm.forward_scores(flat, at, model), logs)
-    got = hmm_lm.expected_counts(flat, *hmm_lm.runs_of(at), model)
+    got = hmm_lm.expected_counts(flat, hmm_lm.runs_of(at), model)
     assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2], out)
+    assert got[3] == pytest.approx(sum(logs))
+
+
+def test_runs_carry_the_state_across_their_borders():
+    rng = np.random.default_rng(1)
+    move = np.full((3, 3), 0.05) + 0.85 * np.eye(3)
+    emit = rng.dirichlet(np.full(40, 0.3), 3).T
+    model = np.array([0.6, 0.3, 0.1]), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    at = np.cumsum([0, 700, 5, 333, 1])
+    flat = rng.integers(0, 40, at[-1])
+    whole = hmm_lm.expected_counts(flat, hmm_lm.runs_of(at, run=10_000), model)
+    cut = hmm_lm.expected_counts(flat, hmm_lm.runs_of(at, run=64, warm=24), model)
+    apart = hmm_lm.expected_counts(flat, hmm_lm.runs_of(at, run=64, warm=0), model)
+    assert whole[2].sum() == pytest.approx(len(flat)) and cut[1].sum() == pytest.approx(len(flat) - 4)
+    for x, y, z in zip(whole[:3], cut[:3], apart[:3], strict=True):
+        assert np.allclose(x, y, atol=0.01) and np.abs(x - y).max() <= np.abs(x - z).max() + 1e-12
+    assert whole[3] == pytest.approx(cut[3], abs=0.01) and whole[3] == pytest.approx(hmm_lm.forward_scores(flat, at, model).sum())
 
 
 def check_base(rows, texts):
@@ -58,7 +75,7 @@ def check_base(rows, texts):
 
 
 def test_language_model(spark, sf, odd, brute_texts, empty):
-    check_base(hmm_lm.hmm_scores(odd, vocabulary=8, full_rounds=1).collect(), brute_texts)
+    check_base(hmm_lm.hmm_scores(odd, vocabulary=8, tolerance=0.5).collect(), brute_texts)
     assert hmm_lm.hmm_scores(empty).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = hmm_lm.hmm_scores(docs).collect()
@@ -67,6 +84,77 @@ def test_language_model(spark, sf, odd, brute_texts, empty):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_by_brute_force_and_under_two_layouts(spark, tmp_path):
+    """The whole of it again by loops: classes, start, rounds, likelihood, scores; and sums to 1."""
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in "klmnop" for b in ("an", "en", "on", "us")]
+    texts = [(i, " ".join(rng.choice(vocabulary[: 12 + i % 12], rng.integers(0, 12)))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = []
+    for n in (1, 5):
+        docs.repartition(n, "text").write.parquet(str(tmp_path / str(n)))
+        rows = hmm_lm.hmm_scores(spark.read.parquet(str(tmp_path / str(n))), states=2, vocabulary=10, classes=5, tolerance=0.01).collect()
+        found.append({r["doc_id"]: (r["held_out"], r["score"]) for r in rows})
+    assert all(found[0][i][1] == pytest.approx(found[1][i][1], abs=1e-9) for i, _ in texts)
+
+    train = [tokens(t) for i, t in texts if not found[0][i][0]]
+    c = Counter(w for t in train for w in t)
+    n_train = c.pop(None)
+    steps = Counter(math.floor(math.log2(x) * 32) for x in c.values() if x >= hmm_lm.LEAST)
+    taken, least = 0, math.inf
+    for s in sorted(steps, reverse=True):
+        if taken + steps[s] > 10:
+            break
+        taken, least = taken + steps[s], s
+    kind = lambda w: xxhash.xxh3_64_intdigest(w.encode()[-3:]) % 5
+    signed = lambda w: (xxhash.xxh3_64_intdigest(w.encode()) + (1 << 63)) % (1 << 64) - (1 << 63)
+    own = sorted((w for w in c if c[w] >= hmm_lm.LEAST and math.floor(math.log2(c[w]) * 32) >= least), key=signed)
+    rest = [1.0 + sum(c[w] + 1 for w in c if w not in own and kind(w) == k) for k in range(5)]
+    shares = np.array([c[w] + 1.0 for w in own] + rest + [n_train + 1.0])
+    base = shares / shares.sum()
+    symbol = lambda w: len(base) - 1 if w is None else own.index(w) if w in own else len(own) + kind(w)
+
+    def forward_backward(s, model):
+        start, move, emit = model
+        a, b = [start * emit[s[0]]], [np.ones(2)]
+        for x in s[1:]:
+            a.append(a[-1] @ move * emit[x])
+        for x in s[:0:-1]:
+            b.insert(0, move @ (emit[x] * b[0]))
+        return a, b, a[-1].sum()
+
+    model, levels, sample = hmm_lm.first_model(base, 2), [-math.inf], 0
+    while True:
+        start, move, emit, log = np.ones(2), np.full((2, 2), 0.1), hmm_lm.PRIOR * base[:, None] + np.zeros(2), 0.0
+        for t in train:
+            s = [symbol(w) for w in t]
+            a, b, total = forward_backward(s, model)
+            log += math.log10(total)
+            start = start + a[0] * b[0] / total
+            for j, x in enumerate(s):
+                emit[x] += a[j] * b[j] / total
+                if j:
+                    move = move + np.outer(a[j - 1], model[2][x] * b[j]) * model[1] / total
+        emit = (1 - hmm_lm.BACK_OFF) * emit / emit.sum(axis=0) + hmm_lm.BACK_OFF * base[:, None]
+        model = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit
+        levels.append(log / sum(map(len, train)))
+        sample += 1
+        # The sample is the whole table here: first its rounds, then those over all, each to the tolerance.
+        if levels[-1] - levels[-2] < 0.01 or sample == hmm_lm.SAMPLE_ROUNDS:
+            if levels[0] is None:
+                break
+            levels, sample = [None, -math.inf], -10_000
+    for i, t in texts:
+        s = [symbol(w) for w in tokens(t)]
+        shared = sum(math.log10((c[w] + 1) / rest[kind(w)]) for w in tokens(t) if w is not None and w not in own)
+        assert found[0][i][1] == pytest.approx(math.log10(forward_backward(s, model)[2]) + shared, abs=1e-6)
+    words = sum(model[2][symbol(w)] * (1 if w in own else (c[w] + 1) / rest[kind(w)]) for w in c)
+    unknown = sum(model[2][len(own) + k] / rest[k] for k in range(5))
+    assert np.allclose(words + unknown + model[2][-1], 1)
+
+
 def test_alignment_is_longest():
     rng = random.Random(1)
 
