@@ -263,8 +263,64 @@ def test_pages_of_the_table(spark, sf):
 def test_kernel_tolerates_gaps():
     k = toxicity.Marks([b"idiot"]).kernel([b"idiot", b"idixot", b"table"])[:, 0]
     assert k[0] == pytest.approx(1) and k[0] > k[1] > 0.15 > k[2]
-    names, codes, at = toxicity.instances_of(*toxicity.text_buffer(toxicity.pa.array(["An I d i o t here", None, "x, i.d.i.o.t!"])))
-    assert b"idiot" in {names[i] for i in codes[at[0] : at[1]]} and at[1] == at[2] and b"idiot" in {names[i] for i in codes[at[2] :]}
+    spans = toxicity.Spans(*toxicity.text_buffer(toxicity.pa.array(["An I d i o t here. Two", None, "x, i.d.i.o.t!\nend"])))
+    assert spans.joined == [(b"idiot", 0)] and spans.texts.tolist() == [0, 2, 2, 4] and b"idiot" in spans.names
+
+
+def kernel_by_loops(a, b):
+    """The span kernel from its definition: weighted ordered triples of characters, ends included."""
+    from itertools import combinations
+
+    def triples(w):
+        w, out = f"^{w}$", Counter()
+        for i, j, k in combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = triples(a), triples(b)
+    norm = lambda v: math.sqrt(sum(n * n for n in v.values()))
+    k = sum(n * y[t] for t, n in x.items()) / (norm(x) * norm(y))
+    return k**toxicity.POWER if k >= toxicity.FLOOR else 0.0
+
+
+def test_sentence_features_by_brute_force():
+    texts = ["You idiot. Nice day", "An id iot, and a mo ron! rotten apple egg", None, "rotten egg here\nthe rotten, egg i d i o t", "x"]
+    marks = ["idiot", "moron", "rottenegg"]
+    spans = toxicity.Spans(*toxicity.text_buffer(toxicity.pa.array(texts)))
+    number, values, *_ = toxicity.sentence_features(toxicity.Likeness([m.encode() for m in marks], [False, False, True]), spans)
+    got = dict(zip(number.tolist(), values.tolist(), strict=True))
+    sentences = [s for t in texts for line in (t or "").split("\n") for s in re.split(r"(?<=[.!?])\s+", line) if s.strip()]
+    for i, s in enumerate(sentences):
+        w = [re.sub(r"[^a-z0-9]", "", x.lower()) for x in s.split()]
+        pairs = [a + b for a, b in zip(w, w[1:]) if len(a + b) <= toxicity.SHORT or any(kernel_by_loops(a, m) and kernel_by_loops(b, m) for m in marks) or kernel_by_loops(a, marks[2]) or kernel_by_loops(b, marks[2])]
+        runs = [x.replace(" ", "") for x in re.findall(r"(?:\b\w\b ?){3,}", " ".join(w))]
+        want = [max(kernel_by_loops(x, m) for x in [*w, *pairs, *runs]) for m in marks]
+        assert got.get(i, [0, 0, 0]) == pytest.approx(want, abs=1e-5), (s, got.get(i), want)
+    assert len(sentences) == spans.texts[-1]
+
+
+def test_insults_in_disguise_and_their_harmless_parts(spark):
+    rng = np.random.default_rng(5)
+    syllables = ["ka", "lo", "mi", "ren", "tas", "vu", "pol", "shi", "den", "gra"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    text = lambda *put: " ".join([word() for _ in range(9)] + list(put) + [word() for _ in range(9)]) + "."
+    rows = []
+    for i in range(900):
+        kind = i % 6
+        put = ("idiot",) if kind == 0 else ("rotten", "egg") if kind == 1 else ("rotten", word()) if kind == 2 else (word(), "egg") if kind == 3 else (word(),)
+        rows.append((i, text(*put), int(kind < 2)))
+    asked = {
+        "idixot": 1, "id iot": 1, "i d i o t": 1, "i.d.i.o.t": 1, "IDIOT!": 1, "rotten egg": 1, "Rotten, egg": 1, "rottten egg": 1,
+        "rotten apple": 0, "boiled egg": 0, "rotten wood near an egg": 0, "idle riot": 0, "id card": 0,
+    }
+    held = (i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    asked = {next(held): (text(*x.split()), y, x) for x, y in asked.items()}
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(i, t) for i, (t, _, _) in asked.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    wrong = [(x, got[i]["score"]) for i, (_, y, x) in asked.items() if got[i]["predicted"] != y]
+    assert not wrong
 
 
 def test_toxicity_learns_and_keeps_to_its_inputs(spark, odd, empty):

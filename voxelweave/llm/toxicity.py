@@ -1,12 +1,16 @@
-"""Toxicity: a gapped subsequence string kernel, Nyström landmarks and a linear machine on words.
+"""Toxicity: a gapped subsequence string kernel, Nyström landmarks and a linear machine on sentences.
 
-Two words are alike in so far as they share ordered triples of characters, each weighted by
-DECAY to the power of its span, with gaps up to SPAN; so an insult keeps most of its likeness
-when characters are put in, endings change or letters are set apart.  Landmark words span the
-feature space; a support vector machine with squared hinge loss separates the words that make
-texts toxic (in each toxic text the one of highest score) from words of other texts.  A text's
-score is that of its worst word, mapped to 0..1 by a logistic curve.  The likeness is raised to
-POWER, which keeps it a kernel and makes chance likeness small.
+Two spans of text are alike in so far as they share ordered triples of characters, each weighted by
+DECAY to the power of its length with gaps, up to SPAN; so an insult keeps most of its likeness when
+characters are put in, endings change, or letters and halves are set apart.  The kernel of a sentence
+with a landmark is that of the span most alike to it, over the sentence's words, joined letters and
+pairs of neighbouring words; it is raised to POWER, and chance likeness below FLOOR counts as none.
+
+The landmarks are spans of labelled sentences, words or pairs of words, some of them harmless ones
+that resemble insults.  A support vector machine with squared hinge loss separates the sentences that
+make texts toxic, in each toxic text the one of highest score, from sentences of other texts, in the
+space that the landmarks span.  A text's score is that of its worst sentence, mapped to 0..1 by a
+logistic curve.
 
 Only the training sees a sample: at most SAMPLE labelled texts of each class, chosen by a hash.
 """
@@ -21,61 +25,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER, Words, slices, text_buffer, words_of
+from .arrow_text import LOWER, slices, text_buffer, words_of
 from .scratch import Scratch, ensure_columns, read_table
 
 SPAN = 5
 DECAY = 0.8
 POWER = 2
+FLOOR = 0.25
+#: Letters of two neighbouring words that always count as a span together.
+SHORT = 7
 #: Labelled texts of each class that the training sees at most.
 SAMPLE = {1: 3000, 0: 6000}
 LANDMARKS = 72
-#: Words of most votes that also train with a character put in.
+#: Spans of most votes that also train with a character put in.
 GAPPED = 40
-ROUNDS = 3
-#: Words of highest score, and others, that a text of the sample gives to the training.
+ROUNDS = 2
+#: Sentences of highest score, and others, that a harmless text of the sample gives to the training.
 TOP, OTHERS = 2, 3
 PENALTY = 1e-4
 FIXED_SEED = 11
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+STOP = np.zeros(256, dtype=bool)
+STOP[list(b".!?")] = True
 
 
-def instances_of(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, each text's words as places in them, and where each text's begin.
+class Spans:
+    """The words of some texts with their sentences, and the letters that stand apart, joined.
 
-    Words are lower-cased and lose ASCII characters other than letters and digits; runs of
-    three or more words of one letter also count as one word.
+    Words are lower-cased and lose ASCII characters other than letters and digits.  A sentence ends
+    with a word that ends in a full stop, exclamation or question mark, with a line, or with the
+    text.  A run of three or more words of one letter also counts as a word of its first sentence.
     """
-    low = LOWER[data]
-    words = words_of(low, offsets)
-    keep = LETTER[low]
-    total = np.concatenate([[0], np.cumsum(keep)])
-    lengths = total[words.starts + words.lengths] - total[words.starts]
-    bare = Words.__new__(Words)
-    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    bare.array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(low[keep]))])
-    bare.lengths = lengths
-    codes, distinct = bare.encoded()
-    names = distinct.to_pylist()
-    single = (lengths == 1) | ((lengths == 2) & (words.lengths == 2) & (low[words.starts] >= 0xC2)) if len(lengths) else lengths > 0
-    parent = words.parents()
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    extra_doc, extra = [], []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        if b - a >= 3:
-            cuts = [a, *(i for i in range(a + 1, b) if parent[i] != parent[i - 1]), b]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y - x >= 3:
-                    extra_doc.append(int(parent[x]))
-                    extra.append(b"".join(names[codes[i]] for i in range(x, y)))
-    if extra:
-        codes = np.concatenate([codes, np.arange(len(names), len(names) + len(extra))])
-        names = names + extra
-        parent = np.concatenate([parent, extra_doc])
-        order = np.argsort(parent, kind="stable")
-        codes, parent = codes[order], parent[order]
-    return names, codes.astype(np.int64), np.searchsorted(parent, np.arange(len(offsets)))
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        low = LOWER[data]
+        words = words_of(low, offsets)
+        keep = LETTER[low]
+        total = np.concatenate([[0], np.cumsum(keep)])
+        lengths = total[words.starts + words.lengths] - total[words.starts]
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        bare = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(low[keep]))])
+        both = bare.dictionary_encode()
+        self.names = both.dictionary.to_pylist() if len(lengths) else []
+        self.codes = both.indices.to_numpy().astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+        self.lengths, parent = lengths, words.parents()
+        lines = np.concatenate([[0], np.cumsum(low == 10)])[words.starts]
+        stop = STOP[low[words.starts + words.lengths - 1]] if len(lengths) else np.zeros(0, dtype=bool)
+        first = np.ones(len(lengths), dtype=bool)
+        first[1:] = (parent[1:] != parent[:-1]) | stop[:-1] | (lines[1:] != lines[:-1])
+        self.sentence = np.cumsum(first) - 1
+        #: Where each text's sentences begin.
+        self.texts = np.searchsorted(parent[first], np.arange(len(offsets)))
+        single = (lengths == 1) | ((lengths == 2) & (words.lengths == 2) & (low[words.starts] >= 0xC2)) if len(lengths) else lengths > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+        self.joined: list[tuple[bytes, int]] = []
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= 3:
+                cuts = [a, *(i for i in range(a + 1, b) if parent[i] != parent[i - 1]), b]
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    if y - x >= 3:
+                        self.joined.append((b"".join(self.names[self.codes[i]] for i in range(x, y)), int(self.sentence[x])))
 
 
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,20 +117,20 @@ def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Marks:
-    """Likeness of words to the landmark words."""
+    """Likeness of spans to the landmarks: the kernel scaled to 1 for equal spans."""
 
-    def __init__(self, words: list[bytes]):
-        owner, code, value = triples(words)
+    def __init__(self, spans: list[bytes]):
+        owner, code, value = triples(spans)
         self.codes, place = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(self.codes), len(words)), np.float32)
+        self.table = np.zeros((len(self.codes), len(spans)), np.float32)
         self.table[place, owner] = value
         self.place = np.full(1 << 24, -1, np.int32)
         self.place[self.codes] = np.arange(len(self.codes))
 
-    def kernel(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), self.table.shape[1]), np.float32)
-        for a in range(0, len(words), 1000):
-            part = words[a : a + 1000]
+    def likeness(self, spans: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(spans), self.table.shape[1]), np.float32)
+        for a in range(0, len(spans), 1000):
+            part = spans[a : a + 1000]
             owner, code, value = triples(part)
             at = self.place[code]
             hit = at >= 0
@@ -128,94 +138,183 @@ class Marks:
             if len(owner):
                 begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 out[a + owner[begin]] = np.add.reduceat(self.table[at] * value[:, None], begin)
+        return out
+
+    def kernel(self, spans: list[bytes]) -> np.ndarray:
+        """Likeness from FLOOR up, to the POWER; chance likeness counts as none."""
+        out = self.likeness(spans)
+        out[out < FLOOR] = 0
         return out**POWER
 
 
-class WordScorer:
-    """Scores of words under a machine's weights of landmarks; keeps those of words seen so far."""
+class Likeness:
+    """Kernel values of the spans seen so far by this worker; row 0 is of all that resemble nothing."""
 
-    def __init__(self, marks: list[bytes], weights: np.ndarray, bias: float, most: int = 500_000):
-        self.marks, self.weights = Marks(marks), weights.astype(np.float32)
-        self.bias, self.most, self.known = bias, most, {}
+    def __init__(self, marks: list[bytes], paired: list[bool], most: int = 500_000):
+        self.marks, self.paired, self.most = Marks(marks), np.array(paired, dtype=bool), most
+        self.clear()
 
-    def scores(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(words) > self.most:
-            self.known = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.table = np.zeros((1, self.marks.table.shape[1]), np.float32)
+        #: Whether a row resembles a landmark that is a pair of words.
+        self.half = np.zeros(1, dtype=bool)
+
+    def rows(self, spans: list[bytes]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(spans) if w not in self.known]
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            own = self.marks.kernel(part) @ self.weights + self.bias
-            self.known.update(zip(part, own.tolist(), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-
-
-def worst(scores: np.ndarray, at: np.ndarray, empty: float) -> np.ndarray:
-    """Largest score of each text; a text without words has ``empty``."""
-    out = np.full(len(at) - 1, empty)
-    full = np.flatnonzero(np.diff(at) > 0)
-    if len(full):
-        out[full] = np.maximum.reduceat(scores, at[full])
+            own = self.marks.kernel(part)
+            some = own.any(axis=1)
+            rows = np.where(some, len(self.table) + np.cumsum(some) - 1, 0)
+            self.table = np.concatenate([self.table, own[some]])
+            self.half = np.concatenate([self.half, own[some][:, self.paired].any(axis=1)])
+            self.known.update(zip(part, rows.tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, spans), np.int64, len(spans))
+
+
+def sentence_features(like: Likeness, spans: Spans) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Kernel values of sentences: for each landmark that of the span most alike to it.
+
+    Spans are words, letters joined, and pairs of neighbouring words of a sentence joined, so gaps
+    and inserted characters count within words and across a space.  A pair counts if it is short, if
+    both words are alike to one landmark, or if one is alike to a landmark that is a pair; others
+    are taken to be no more alike than their words.  Only sentences with some likeness get a row.  Returned are their numbers and values, and the spans
+    that gave them: names, sentences and rows of the likeness table.
+    """
+    if len(like.known) > like.most:
+        like.clear()
+    row = like.rows(spans.names)[spans.codes] if len(spans.codes) else spans.codes
+    same = spans.sentence[1:] == spans.sentence[:-1]
+    left, right = row[:-1], row[1:]
+    short = spans.lengths[:-1] + spans.lengths[1:] <= SHORT
+    both = np.flatnonzero(same & ~short & (left > 0) & (right > 0))
+    both = both[((like.table[left[both]] > 0) & (like.table[right[both]] > 0)).any(axis=1)]
+    taken = same & (short | like.half[left] | like.half[right])
+    taken[both] = True
+    pair = np.flatnonzero(taken)
+    n = max(len(spans.names), 1)
+    keys, back = np.unique(spans.codes[pair] * n + spans.codes[pair + 1], return_inverse=True)
+    names = [*spans.names, *(spans.names[k // n] + spans.names[k % n] for k in keys.tolist()), *(x for x, _ in spans.joined)]
+    more = like.rows(names[len(spans.names) :])
+    of_pair, of_joined = more[: len(keys)][back], more[len(keys) :]
+    rows = np.concatenate([row, of_pair, of_joined])
+    name = np.concatenate([spans.codes, len(spans.names) + back, len(spans.names) + len(keys) + np.arange(len(spans.joined))])
+    sentence = np.concatenate([spans.sentence, spans.sentence[pair], np.array([x for _, x in spans.joined], np.int64)])
+    hit = np.flatnonzero(rows)
+    hit = hit[np.argsort(sentence[hit], kind="stable")]
+    rows, sentence, name = rows[hit], sentence[hit], name[hit]
+    begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]])) if len(hit) else hit
+    values = np.zeros((len(begin), like.table.shape[1]), np.float32)
+    for a in range(0, len(begin), 20_000):
+        end = begin[a + 20_000] if a + 20_000 < len(begin) else len(hit)
+        values[a : a + 20_000] = np.maximum.reduceat(like.table[rows[begin[a] : end]], begin[a : a + 20_000] - begin[a])
+    return sentence[begin], values, [names[i] for i in name.tolist()], sentence, rows
+
+
+def worst(number: np.ndarray, scores: np.ndarray, texts: np.ndarray, bias: float) -> np.ndarray:
+    """Largest sentence score of each text; a sentence without a row scores the bias, and so does a
+    text without sentences."""
+    at = np.searchsorted(number, texts)
+    out = np.full(len(texts) - 1, bias)
+    some = np.flatnonzero(np.diff(at) > 0)
+    if len(some):
+        top = np.maximum.reduceat(scores, at[some])
+        every = np.diff(at)[some] == np.diff(texts)[some]
+        out[some] = np.where(every, top, np.maximum(top, bias))
     return out
 
 
 def pick_batches(model, score: dict[bytes, float]) -> Callable:
-    """For each sample text its words of highest score, some others, and its strongest seed."""
+    """For each sample text the values and spans of sentences to train on.
+
+    A toxic text gives the sentence of its strongest seed in the first pass, when there are no
+    weights, and that of its highest score later; another text gives its TOP sentences and OTHERS
+    more.  ``best`` is the text's score.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = WordScorer(*model.value)
+        marks, paired, weights, bias = model.value
+        like = Likeness(marks, paired)
         for batch in slices(batches, "text"):
-            names, codes, at = instances_of(*text_buffer(batch.column(2)))
-            scores = scorer.scores(names)
-            strength = np.array([score.get(n, 0.0) for n in names])
-            tops, others, best, seed = [], [], [], []
-            for d, doc in enumerate(batch.column(0).to_pylist()):
-                own = np.unique(codes[at[d] : at[d + 1]])
-                order = own[np.argsort(-scores[own], kind="stable")]
-                tops.append([names[i] for i in order[:TOP]])
-                rng = np.random.default_rng([FIXED_SEED, (doc or 0) & 0x7FFFFFFF])
-                others.append([names[i] for i in rng.permutation(order[TOP:])[:OTHERS]])
-                best.append(float(scores[order[0]]) if len(order) else scorer.bias)
-                first = own[np.argmax(strength[own])] if len(own) else -1
-                seed.append(names[first] if len(own) and strength[first] > 0 else None)
-            binary = pa.list_(pa.binary())
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "best": pa.array(best), "tops": pa.array(tops, binary), "others": pa.array(others, binary), "seed": pa.array(seed, pa.binary())})
+            spans = Spans(*text_buffer(batch.column(2)))
+            number, values, names, sentence, rows = sentence_features(like, spans)
+            scores = values @ weights.astype(np.float32) + bias
+            own = like.table[rows] @ weights.astype(np.float32)
+            strength = np.array([score.get(x, 0.0) for x in names])
+            best = worst(number, scores, spans.texts, bias)
+            out: dict[str, list] = {"toxic": [], "best": [], "values": [], "span": [], "strength": []}
+            for d, (doc, toxic) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                a, b = np.searchsorted(number, spans.texts[d : d + 2])
+                order = a + np.argsort(-scores[a:b], kind="stable")
+                if toxic == 1:
+                    i, j = np.searchsorted(sentence, [spans.texts[d], spans.texts[d + 1]])
+                    strongest = i + int(np.argmax(strength[i:j])) if j > i else -1
+                    if score:
+                        order = np.flatnonzero(number == sentence[strongest]) if j > i and strength[strongest] > 0 else order[:0]
+                    order = order[:1]
+                else:
+                    rng = np.random.default_rng([FIXED_SEED, (doc or 0) & 0x7FFFFFFF])
+                    order = np.concatenate([order[:TOP], rng.permutation(order[TOP:])[:OTHERS]])
+                for k in order.tolist():
+                    i, j = np.searchsorted(sentence, [number[k], number[k] + 1])
+                    top = i + int(np.argmax(strength[i:j] if score and toxic == 1 else own[i:j]))
+                    for c, x in (("toxic", toxic), ("best", float(best[d])), ("values", values[k]), ("span", names[top]), ("strength", float(strength[top]))):
+                        out[c].append(x)
+                if not len(order):
+                    for c, x in (("toxic", toxic), ("best", float(best[d])), ("values", None), ("span", None), ("strength", 0.0)):
+                        out[c].append(x)
+            types = {"toxic": pa.int32(), "best": pa.float64(), "values": pa.list_(pa.float32()), "span": pa.binary(), "strength": pa.float64()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(x, types[c]) for c, x in out.items()})
 
     return run
 
 
 def score_batches(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, weights, bias, slope, shift = model.value
-        scorer = WordScorer(marks, weights, bias)
+        marks, paired, weights, bias, slope, shift = model.value
+        like = Likeness(marks, paired)
         for batch in slices(batches, "text"):
-            names, words, at = instances_of(*text_buffer(batch.column(2)))
-            top = worst(scorer.scores(names)[words], at, bias)
+            spans = Spans(*text_buffer(batch.column(2)))
+            number, values, *_ = sentence_features(like, spans)
+            top = worst(number, values @ weights.astype(np.float32) + bias, spans.texts, bias)
             score = 1 / (1 + np.exp(-np.clip(slope * top + shift, -40, 40)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
     return run
 
 
-def associations(sample: DataFrame) -> dict[bytes, float]:
-    """Words of the bounded sample that toxic texts hold far more often, with a G-like score."""
+def associations(sample: DataFrame) -> tuple[dict[bytes, float], set[bytes]]:
+    """Words, letters joined, and pairs of words of the bounded sample that toxic texts hold far more
+    often, with a G-like score; pairs only where neither word is so by itself; and which are pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            names, codes, at = instances_of(*text_buffer(batch.column(2)))
-            toxic = np.repeat(batch.column(1).to_numpy(), np.diff(at))
-            docs = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            both = np.unique(docs * max(len(names), 1) + codes, return_index=True)[1]
-            pos = np.bincount(codes[both], weights=toxic[both] == 1, minlength=len(names)).astype(np.int64)
-            every = np.bincount(codes[both], minlength=len(names))
-            yield pa.RecordBatch.from_pydict({"w": pa.array(names, pa.binary()), "p": pa.array(pos), "n": pa.array(every - pos, pa.int64())})
-
-    words = sample.mapInArrow(run, "w binary, p long, n long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+            spans = Spans(*text_buffer(batch.column(2)))
+            n_words, n = len(spans.names), max(len(spans.names), 1)
+            text = np.repeat(np.arange(len(spans.texts) - 1), np.diff(spans.texts))
+            pair = np.flatnonzero(spans.sentence[1:] == spans.sentence[:-1])
+            keys, back = np.unique(spans.codes[pair] * n + spans.codes[pair + 1], return_inverse=True)
+            first = [*spans.names, *(spans.names[k // n] for k in keys.tolist()), *(x for x, _ in spans.joined)]
+            second = [None] * n_words + [spans.names[k % n] for k in keys.tolist()] + [None] * len(spans.joined)
+            code = np.concatenate([spans.codes, n_words + back, n_words + len(keys) + np.arange(len(spans.joined))])
+            doc = text[np.concatenate([spans.sentence, spans.sentence[pair], np.array([x for _, x in spans.joined], np.int64)]).astype(np.int64)]
+            both = np.unique(doc * max(len(first), 1) + code)
+            code, toxic = both % max(len(first), 1), batch.column(1).to_numpy()[both // max(len(first), 1)] == 1
+            pos, every = np.bincount(code, weights=toxic, minlength=len(first)).astype(np.int64), np.bincount(code, minlength=len(first))
+            binary = pa.binary()
+            yield pa.RecordBatch.from_pydict({"a": pa.array(first, binary), "b": pa.array(second, binary), "p": pa.array(pos), "n": pa.array(every - pos, pa.int64())})
+
+    spans = sample.mapInArrow(run, "a binary, b binary, p long, n long").groupBy("a", "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = dict(sample.groupBy("toxic").count().collect())
     n_pos, n_neg = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
     share = n_pos / (n_pos + n_neg)
     g = 2 * F.col("p") * F.log(F.col("p") / ((F.col("p") + F.col("n") + 0.01) * share))
-    ranked = words.filter("p >= 3 AND p >= 9 * n").withColumn("g", g).filter("g > 12").orderBy(F.desc("g"), "w").limit(2000)
-    return {bytes(r["w"]): r["g"] for r in ranked.collect()}  # at most 2,000 words
+    strong = spans.filter("p >= 3 AND p >= 9 * n").withColumn("g", g).filter("g > 12")
+    words = {bytes(r["a"]): r["g"] for r in strong.filter("b IS NULL").orderBy(F.desc("g"), "a").limit(2000).collect()}  # 2,000 at most
+    pairs = strong.filter("b IS NOT NULL").orderBy(F.desc("g"), "a", "b").limit(4000).collect()  # 4,000 at most
+    free = {bytes(r["a"]) + bytes(r["b"]): r["g"] for r in pairs if bytes(r["a"]) not in words and bytes(r["b"]) not in words}
+    return dict(sorted((free | words).items(), key=lambda x: (-x[1], x[0]))), set(free) - set(words)
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
@@ -234,17 +333,16 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: flo
     return w[:-1], float(w[-1])
 
 
-def train_words(positive: list[bytes], negative: list[bytes], marks: list[bytes]) -> tuple[list[bytes], np.ndarray, float]:
-    """Landmarks, their weights and the bias, from labelled words (Nyström features)."""
-    kernel = Marks(marks).kernel
-    values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
+def train(positive: np.ndarray, negative: np.ndarray, marks: list[bytes]) -> tuple[np.ndarray, float]:
+    """The landmarks' weights and the bias, from kernel values of labelled sentences (Nyström features)."""
+    values, vectors = np.linalg.eigh(Marks(marks).kernel(marks).astype(np.float64))
     good = values > 1e-4
     project = vectors[:, good] / np.sqrt(values[good])
-    x = kernel(positive + negative).astype(np.float64) @ project
+    x = np.concatenate([positive, negative]).astype(np.float64) @ project
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     weight = np.where(y > 0, len(y) / (2 * max(1, len(positive))), len(y) / (2 * max(1, len(negative))))
     w, bias = squared_hinge(x, y, weight, PENALTY)
-    return marks, project @ w, bias
+    return project @ w, bias
 
 
 def logistic_curve(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -262,7 +360,7 @@ def logistic_curve(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def varied(words: list[bytes], most: int, alike: float = 0.5) -> list[bytes]:
-    """The first words that are not too alike to one taken before, ``most`` of them."""
+    """The first spans that are not too alike to one taken before, ``most`` of them."""
     out: list[bytes] = []
     if words:
         k = Marks(words).kernel(words)
@@ -285,28 +383,22 @@ def gapped(words: list[bytes], rng) -> list[bytes]:
     return out
 
 
-def next_machine(picked: list, score: dict[bytes, float], first: bool):
-    """A machine from the words that the sample's texts gave."""
-    # A toxic text's witness is its strongest seed at first, then its worst word; some have none.
-    toxic = [r for r in picked if r["toxic"] == 1]
-    if first:
-        bad = [bytes(r["seed"]) for r in toxic if r["seed"] is not None]
-    else:
-        bad = [bytes(r["tops"][0]) for r in toxic if r["tops"] and r["best"] > 0]
-    votes = Counter(bad)
-    seeds = [w for w, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))]
-    known = set(seeds)
-    good = [bytes(w) for r in picked if r["toxic"] == 0 for w in [*r["tops"], *r["others"]]]
-    good += [bytes(w) for r in toxic for w in r["others"] if bytes(w) not in known]
-    marks = varied(seeds, LANDMARKS * 3 // 4)
-    rng = np.random.default_rng(FIXED_SEED)
-    names = sorted(set(good) - set(marks))
-    marks += [names[j] for j in rng.permutation(len(names))[: LANDMARKS - len(marks)]]
-    return train_words(bad + gapped(seeds[:GAPPED], rng), good, marks)
+def landmarks_of(picked: list[dict], score: dict[bytes, float]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """Landmarks, and spans of toxic and of other texts, from the first pass.
+
+    Three quarters of the landmarks are spans of toxic texts, by votes, and one quarter the spans
+    of other texts that a seed resembles most often.
+    """
+    votes = Counter(r["span"] for r in picked if r["toxic"] == 1 and r["strength"] > 0)
+    bad = [w for w, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))]
+    rest = Counter(r["span"] for r in picked if r["toxic"] == 0 and r["span"] is not None and r["span"] not in score)
+    good = [w for w, _ in sorted(rest.items(), key=lambda x: (-x[1], x[0]))]
+    marks = varied(bad, LANDMARKS * 3 // 4)
+    return marks + [w for w in varied(good, LANDMARKS) if w not in marks][: LANDMARKS - len(marks)], bad, good
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: dict[int, int] | None = None):
-    """(marks, weights, bias, slope, shift) from a bounded sample of the labelled training rows."""
+    """(marks, paired, weights, bias, slope, shift) from a bounded sample of the labelled training rows."""
     spark = docs.sparkSession
     limits = sample or SAMPLE
     labels = ensure_columns(labels, doc_id="long", toxic="int").filter("doc_id IS NOT NULL").filter(~held_out())
@@ -314,18 +406,37 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: dict[int,
     chosen = scratch.put(of(1).unionByName(of(0)).dropDuplicates(["doc_id"]), "chosen")
     texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most the sample's ids
     texts = scratch.put(texts.dropDuplicates(["doc_id"]).repartition(16), "texts")
-    score = associations(texts)
+    score, pairs = associations(texts)
     if not score:
-        return [b""], np.zeros(1), 0.0, 1.0, -3.0
-    model = train_words(list(score), [b""], varied(list(score), LANDMARKS))
-    for i in range(ROUNDS + 1):
+        return [b""], [False], np.zeros(1), 0.0, 1.0, -3.0
+
+    def picks(model, seeds: dict[bytes, float]) -> list[dict]:
         shared = spark.sparkContext.broadcast(model)
-        picked = texts.mapInArrow(pick_batches(shared, score), "toxic int, best double, tops array<binary>, others array<binary>, seed binary").collect()  # a row a sample text
+        schema = "toxic int, best double, values array<float>, span binary, strength double"
+        found = texts.mapInArrow(pick_batches(shared, seeds), schema).toArrow().to_pylist()  # a few rows a sample text
         shared.destroy()
-        if i < ROUNDS:
-            model = next_machine(picked, score, i == 0)
-    top, toxic = np.array([r["best"] for r in picked]), np.array([float(r["toxic"]) for r in picked])
-    return (*model, *logistic_curve(top, toxic))
+        return found
+
+    # The first pass finds the sentences of the seeds; their spans give the landmarks.
+    marks = varied(list(score), LANDMARKS)
+    found = picks((marks, [m in pairs for m in marks], np.ones(len(marks)), 0.0), score)
+    marks, bad, good = landmarks_of(found, score)
+    paired = [m in pairs for m in marks]
+    kernel, rng = Marks(marks).kernel, np.random.default_rng(FIXED_SEED)
+    disguised = kernel(gapped(bad[:GAPPED], rng))
+    nothing = np.zeros((1, len(marks)), np.float32)
+    model = train(np.concatenate([kernel(bad), disguised]), np.concatenate([kernel(good), nothing]), marks)
+    for _ in range(ROUNDS):
+        picked = picks((marks, paired, *model), {})
+        of_kind = lambda t: [r["values"] for r in picked if r["toxic"] == t and r["values"] is not None and (t == 0 or r["best"] > 0)]
+        positive, negative = of_kind(1), of_kind(0)
+        if positive:
+            model = train(np.concatenate([np.array(positive), disguised]), np.concatenate([np.array(negative or nothing), nothing]), marks)
+    shared = spark.sparkContext.broadcast((marks, paired, *model, 1.0, 0.0))
+    scored = texts.select("doc_id", (F.col("toxic") == 1).alias("is_toxic"), "text").mapInArrow(score_batches(shared), "doc_id long, is_toxic boolean, score double, predicted int")
+    table = scored.toArrow()  # a row a sample text
+    p = np.clip(table.column("score").to_numpy(), 1e-15, 1 - 1e-15)
+    return (marks, paired, *model, *logistic_curve(np.log(p / (1 - p)), table.column("is_toxic").to_numpy().astype(float)))
 
 
 def held_out():
@@ -336,8 +447,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None =
     """score (0 to 1) and predicted of every whole text.
 
     A null text is empty, and has the score of a text without words; a null doc_id counts as
-    the text '' for holding out and is never trained on; repeated rows are scored each; further
-    columns are ignored.  Without labelled toxic texts every score is the same and low; an
+    the text '' for holding out and is never trained on; repeated rows are scored each, and one of
+    them trains; further columns are ignored.  Without labelled toxic texts every score is the same and low; an
     empty table gives no rows.
     """
     docs = ensure_columns(docs, doc_id="long", text="string")
@@ -348,4 +459,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None =
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every row of ``documents``, learned from ``labels``; null and empty texts
+    have the score of no words, repeated rows are scored each, and an empty table gives no rows."""
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
