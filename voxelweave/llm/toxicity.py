@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,9 +311,10 @@ def associations(sample: DataFrame) -> tuple[dict[bytes, float], set[bytes]]:
     n_pos, n_neg = max(1, totals.get(1, 0)), max(1, totals.get(0, 0))
     share = n_pos / (n_pos + n_neg)
     g = 2 * F.col("p") * F.log(F.col("p") / ((F.col("p") + F.col("n") + 0.01) * share))
-    strong = spans.filter("p >= 3 AND p >= 9 * n").withColumn("g", g).filter("g > 12")
+    # Pairs are many, so chance needs a higher bar.
+    strong = spans.filter("p >= 3 AND p >= 9 * n").withColumn("g", g).filter("g > CASE WHEN b IS NULL THEN 12 ELSE 30 END")
     words = {bytes(r["a"]): r["g"] for r in strong.filter("b IS NULL").orderBy(F.desc("g"), "a").limit(2000).collect()}  # 2,000 at most
-    pairs = strong.filter("b IS NOT NULL").orderBy(F.desc("g"), "a", "b").limit(4000).collect()  # 4,000 at most
+    pairs = strong.filter("b IS NOT NULL").orderBy(F.desc("g"), "a", "b").limit(2000).collect()  # 2,000 at most
     free = {bytes(r["a"]) + bytes(r["b"]): r["g"] for r in pairs if bytes(r["a"]) not in words and bytes(r["b"]) not in words}
     return dict(sorted((free | words).items(), key=lambda x: (-x[1], x[0]))), set(free) - set(words)
 
@@ -362,12 +364,15 @@ def logistic_curve(top: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def varied(words: list[bytes], most: int, alike: float = 0.5) -> list[bytes]:
     """The first spans that are not too alike to one taken before, ``most`` of them."""
     out: list[bytes] = []
-    if words:
-        k = Marks(words).kernel(words)
-        free = np.ones(len(words), dtype=bool)
-        for i in range(len(words)):
+    for a in range(0, len(words), 256):
+        if len(out) >= most:
+            break
+        part = words[a : a + 256]
+        k = Marks(part).kernel(part)
+        free = (Marks(out).kernel(part) < alike).all(axis=1) if out else np.ones(len(part), dtype=bool)
+        for i in range(len(part)):
             if free[i] and len(out) < most:
-                out.append(words[i])
+                out.append(part[i])
                 free &= k[i] < alike
     return out
 
@@ -383,15 +388,16 @@ def gapped(words: list[bytes], rng) -> list[bytes]:
     return out
 
 
-def landmarks_of(picked: list[dict], score: dict[bytes, float]) -> tuple[list[bytes], list[bytes], list[bytes]]:
+def landmarks_of(picked: pa.Table, score: dict[bytes, float]) -> tuple[list[bytes], list[bytes], list[bytes]]:
     """Landmarks, and spans of toxic and of other texts, from the first pass.
 
     Three quarters of the landmarks are spans of toxic texts, by votes, and one quarter the spans
     of other texts that a seed resembles most often.
     """
-    votes = Counter(r["span"] for r in picked if r["toxic"] == 1 and r["strength"] > 0)
+    rows = picked.select(["toxic", "span", "strength"]).to_pylist()
+    votes = Counter(r["span"] for r in rows if r["toxic"] == 1 and r["strength"] > 0)
     bad = [w for w, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))]
-    rest = Counter(r["span"] for r in picked if r["toxic"] == 0 and r["span"] is not None and r["span"] not in score)
+    rest = Counter(r["span"] for r in rows if r["toxic"] == 0 and r["span"] is not None and r["span"] not in score)
     good = [w for w, _ in sorted(rest.items(), key=lambda x: (-x[1], x[0]))]
     marks = varied(bad, LANDMARKS * 3 // 4)
     return marks + [w for w in varied(good, LANDMARKS) if w not in marks][: LANDMARKS - len(marks)], bad, good
@@ -410,10 +416,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: dict[int,
     if not score:
         return [b""], [False], np.zeros(1), 0.0, 1.0, -3.0
 
-    def picks(model, seeds: dict[bytes, float]) -> list[dict]:
+    def picks(model, seeds: dict[bytes, float]) -> pa.Table:
         shared = spark.sparkContext.broadcast(model)
         schema = "toxic int, best double, values array<float>, span binary, strength double"
-        found = texts.mapInArrow(pick_batches(shared, seeds), schema).toArrow().to_pylist()  # a few rows a sample text
+        found = texts.mapInArrow(pick_batches(shared, seeds), schema).toArrow()  # a few rows a sample text
         shared.destroy()
         return found
 
@@ -428,10 +434,14 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: dict[int,
     model = train(np.concatenate([kernel(bad), disguised]), np.concatenate([kernel(good), nothing]), marks)
     for _ in range(ROUNDS):
         picked = picks((marks, paired, *model), {})
-        of_kind = lambda t: [r["values"] for r in picked if r["toxic"] == t and r["values"] is not None and (t == 0 or r["best"] > 0)]
-        positive, negative = of_kind(1), of_kind(0)
-        if positive:
-            model = train(np.concatenate([np.array(positive), disguised]), np.concatenate([np.array(negative or nothing), nothing]), marks)
+        picked = picked.filter(pa.compute.is_valid(picked.column("values"))).combine_chunks()
+        values = np.zeros((0, len(marks)), np.float32)
+        if len(picked):
+            values = picked.column("values").combine_chunks().flatten().to_numpy().reshape(-1, len(marks))
+        toxic, best = picked.column("toxic").to_numpy() == 1, picked.column("best").to_numpy()
+        positive, negative = values[toxic & (best > 0)], values[~toxic]
+        if len(positive):
+            model = train(np.concatenate([positive, disguised]), np.concatenate([negative, nothing]), marks)
     shared = spark.sparkContext.broadcast((marks, paired, *model, 1.0, 0.0))
     scored = texts.select("doc_id", (F.col("toxic") == 1).alias("is_toxic"), "text").mapInArrow(score_batches(shared), "doc_id long, is_toxic boolean, score double, predicted int")
     table = scored.toArrow()  # a row a sample text
