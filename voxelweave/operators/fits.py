@@ -13,48 +13,77 @@ from .signal import mapped
 
 
 def t2_linear(decay: DataFrame, max_t2: float) -> DataFrame:
-    """ln S = ln A - t / T2 by least squares; T2 is cut at ``max_t2``, and all is 0 if S grows."""
-    logs = decay.filter("value > 0").withColumn("y", F.log("value"))
-    line = logs.groupBy("voxel_id").agg(F.regr_slope("y", "t").alias("s"), F.regr_intercept("y", "t").alias("i"), F.regr_r2("y", "t").alias("r2"))
-    falls = F.col("s") < 0
-    pick = lambda x: F.when(falls, x).otherwise(F.lit(0.0))
-    return line.filter("s IS NOT NULL").select(
-        "voxel_id", pick(F.exp("i")).alias("a"), pick(F.least(-1 / F.col("s"), F.lit(float(max_t2)))).alias("t2"), pick(F.col("r2")).alias("r2")
-    )
-
-
-def levenberg(model, start: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Levenberg-Marquardt for many series at once; model(p) returns values and derivatives."""
+    """ln S = ln A - t / T2 by least squares; T2 is cut at ``max_t2``, and all is 0 if S grows.
+
+    Samples from the first one that is not positive on are left out; a voxel with fewer than two
+    before it has zeros.
+    """
+    stop = decay.filter("value <= 0").groupBy("voxel_id").agg(F.min("t").alias("stop"))
+    line = decay.join(stop, "voxel_id", "left").groupBy("voxel_id")
+    used = F.col("stop").isNull() | (F.col("t") < F.col("stop"))
+    y, t = F.when(used, F.log("value")), F.when(used, F.col("t"))
+    line = line.agg(F.regr_slope(y, t).alias("s"), F.regr_intercept(y, t).alias("i"), F.regr_r2(y, t).alias("r2"))
+    pick = lambda x: F.when(F.col("s") < 0, x).otherwise(F.lit(0.0))
+    return line.select("voxel_id", pick(F.exp("i")).alias("a"), pick(F.least(-1 / F.col("s"), F.lit(float(max_t2)))).alias("t2"), pick(F.col("r2")).alias("r2"))
+
+
+def used_samples(y: np.ndarray, positive: bool = False) -> np.ndarray:
+    """1 for samples before the first zero (or the first that is not positive), 0 from it on."""
+    return np.cumprod(y > 0 if positive else y != 0, axis=1).astype(float)
+
+
+def levenberg(model, start: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Levenberg-Marquardt for many series at once; model(p) returns values and derivatives.
+
+    Returns the parameters and whether each series converged: its last step changed the cost by
+    less than one part in 1e12, or no step lowers it any more.
+    """
     p, damp = start.copy(), np.full(len(y), 1e-3)
     value, slope = model(p)
-    cost = ((y - value) ** 2).sum(axis=1)
+    cost = (weight * (y - value) ** 2).sum(axis=1)
+    done = np.zeros(len(y), dtype=bool)
     for _ in range(rounds):
-        jt = np.swapaxes(slope, 1, 2)
+        jt = np.swapaxes(slope * weight[:, :, None], 1, 2)
         h = jt @ slope
         d = np.einsum("bii->bi", h)
         g = (jt @ (y - value)[:, :, None])[:, :, 0]
         step = np.linalg.solve(h + np.einsum("bi,ij->bij", damp[:, None] * d + 1e-12, np.eye(h.shape[1])), g[:, :, None])[:, :, 0]
         tried = p + step
         new_value, new_slope = model(tried)
-        new_cost = ((y - new_value) ** 2).sum(axis=1)
-        good = np.isfinite(new_cost) & (new_cost < cost)
+        new_cost = (weight * (y - new_value) ** 2).sum(axis=1)
+        good = np.isfinite(new_cost) & (new_cost < cost) & ~done
+        done |= (good & (cost - new_cost <= 1e-12 * cost)) | (~good & (damp >= 1e12)) | (cost <= 1e-24 * (weight * y * y).sum(axis=1))
         p = np.where(good[:, None], tried, p)
         value, cost = np.where(good[:, None], new_value, value), np.where(good, new_cost, cost)
         slope = np.where(good[:, None, None], new_slope, slope)
         damp = np.clip(np.where(good, damp / 5, damp * 5), 1e-12, 1e12)
-    return p
+        if done.all():
+            break
+    return p, done
+
+
+def centred_r2(y: np.ndarray, fit: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    n = np.maximum(weight.sum(axis=1, keepdims=True), 1)
+    spread = (weight * (y - (weight * y).sum(axis=1, keepdims=True) / n) ** 2).sum(axis=1)
+    return 1 - (weight * (y - fit) ** 2).sum(axis=1) / np.where(spread == 0, np.inf, spread)
 
 
 def t2_nonlinear(rows: DataFrame, times: list[float], constant: bool = False) -> DataFrame:
-    """A exp(-t / T2) (+ C) by Levenberg-Marquardt from the linear fit; series are packed."""
+    """A exp(-t / T2) (+ C) by Levenberg-Marquardt from the linear fit; series are packed.
+
+    Samples from the first one that is not positive on are left out; fewer than two give zeros.
+    """
     t = np.asarray(times, float)
 
     def kernel(y: np.ndarray) -> np.ndarray:
-        logs = np.log(np.maximum(y, 1e-12))
-        u = t - t.mean()
-        slope = logs @ u / (u @ u)
+        w = used_samples(y, positive=True)
+        n = np.maximum(w.sum(axis=1), 1)
+        logs = np.log(np.where(w > 0, y, 1.0))
+        mean_t, mean_l = (w @ t) / n, (w * logs).sum(axis=1) / n
+        u = w * (t - mean_t[:, None])
+        slope = (u * logs).sum(axis=1) / np.maximum((u * u).sum(axis=1), 1e-300)
         rate = np.maximum(-slope, 1e-6)
-        a = np.exp(logs.mean(axis=1) + rate * t.mean())
+        a = np.exp(np.clip(mean_l + rate * mean_t, -100, 100))
         start = np.stack([a, rate] + [np.zeros_like(a)] * constant, axis=1)
 
         def model(p: np.ndarray):
@@ -62,37 +91,86 @@ def t2_nonlinear(rows: DataFrame, times: list[float], constant: bool = False) ->
             parts = [e, -p[:, :1] * t * e] + [np.ones_like(e)] * constant
             return p[:, :1] * e + (p[:, 2:3] if constant else 0), np.stack(parts, axis=2)
 
-        p = levenberg(model, start, y)
-        return np.stack([p[:, 0], 1 / np.where(p[:, 1] == 0, np.inf, p[:, 1]), p[:, 2] if constant else np.zeros(len(p))], axis=1)
+        p, done = levenberg(model, start, y, w)
+        enough = w.sum(axis=1) >= 2
+        out = np.stack([p[:, 0], 1 / np.where(p[:, 1] == 0, np.inf, p[:, 1]), p[:, 2] if constant else np.zeros(len(p)), centred_r2(y, model(p)[0], w)], axis=1)
+        return np.concatenate([np.where(enough[:, None], out, 0.0), (done & enough)[:, None]], axis=1)
 
-    return named(mapped(rows, kernel), ["a", "t2", "c"])
+    return named(mapped(rows, kernel), ["a", "t2", "c", "r2", "converged"])
 
 
-def t1_inversion(rows: DataFrame, times: list[float], factor: float | None = 2.0, absolute: bool = False) -> DataFrame:
-    """A (1 - B exp(-t / T1)) with B fixed (2: inversion, 1: saturation) or fitted (None).
+#: The models of T1 recovery: whether magnitudes are given, whether B is fitted, B if not, and the form.
+T1_MODELS = {
+    "ideal_steady_state": (False, False, 1.0, "recovery"),
+    "inversion_recovery": (False, False, 2.0, "recovery"),
+    "absolute_inversion_recovery": (True, False, 2.0, "recovery"),
+    "look_locker": (False, True, 2.0, "look_locker"),
+    "absolute_look_locker": (True, True, 2.0, "look_locker"),
+    "hybrid_steady_state_3": (False, True, 1.0, "hybrid"),
+    "inversion_recovery_3": (False, True, 2.0, "recovery"),
+    "absolute_inversion_recovery_3": (True, True, 2.0, "recovery"),
+    "absolute_look_locker_3": (True, True, 2.0, "apparent"),
+}
+
 
-    ``absolute`` restores the sign of samples before the smallest one.
+def t1_fit(rows: DataFrame, times: list[float], model: str = "inversion_recovery") -> DataFrame:
+    """a, t1, b, r2 and whether the fit converged, for one of T1_MODELS.
+
+    recovery A (1 - B exp(-t / T1)); hybrid A (B - exp(-t / T1)); look_locker fits the first and
+    gives T1 (B - 1); apparent A - B exp(-(B / A - 1) t / T1).  Absolute models restore the sign of
+    the samples before the smallest.  Samples from the first zero on are left out; fewer than two
+    give zeros.
     """
+    absolute, free, b0, form = T1_MODELS[model]
     t = np.asarray(times, float)
 
     def kernel(y: np.ndarray) -> np.ndarray:
+        w = used_samples(y)
         if absolute:
-            y = np.where(np.arange(y.shape[1]) < y.argmin(axis=1)[:, None], -y, y)
-        b0 = factor if factor is not None else 2.0
-        near = np.abs(y).argmin(axis=1)
+            low = np.where(w > 0, y, np.inf).argmin(axis=1)
+            y = np.where(np.arange(y.shape[1]) < low[:, None], -y, y)
+        last = np.maximum(w.sum(axis=1).astype(int) - 1, 0)
+        near = np.where(w > 0, np.abs(y), np.inf).argmin(axis=1)
         r0 = np.log(max(b0, 1.2)) / np.maximum(t[near], t[t > 0].min())
-        start = np.stack([np.maximum(y[:, -1], 1e-6), r0] + [np.full(len(y), b0)] * (factor is None), axis=1)
+        a0 = np.maximum(np.abs(y[np.arange(len(y)), last]), 1e-6)
+        start = np.stack([a0, r0] + [np.full(len(y), b0) * (a0 if form == "apparent" else 1.0)] * free, axis=1)
+
+        def curve(p: np.ndarray):
+            a, r = p[:, :1], p[:, 1:2]
+            b = p[:, 2:3] if free else b0
+            if form == "apparent":
+                k = b / np.where(a == 0, 1e-12, a) - 1
+                e = np.exp(-np.clip(k * r * t, -50, 50))
+                parts = [1 - b * e * b / np.where(a == 0, 1e-12, a * a) * r * t, b * e * k * t, -e + b * e * r * t / np.where(a == 0, 1e-12, a)]
+                return a - b * e, np.stack(parts, axis=2)
+            e = np.exp(-np.clip(r * t, -50, 50))
+            if form == "hybrid":
+                return a * (b - e), np.stack([b - e, a * t * e, np.broadcast_to(a, e.shape)], axis=2)
+            parts = [1 - b * e, a * b * t * e] + [-a * e] * free
+            return a * (1 - b * e), np.stack(parts, axis=2)
+
+        p, done = levenberg(curve, start, y, w)
+        b = p[:, 2] if free else np.full(len(p), b0)
+        t1 = 1 / np.where(p[:, 1] == 0, np.inf, p[:, 1]) * (b - 1 if form == "look_locker" else 1.0)
+        enough = w.sum(axis=1) >= 2
+        out = np.stack([p[:, 0], t1, b, centred_r2(y, curve(p)[0], w)], axis=1)
+        return np.concatenate([np.where(enough[:, None], out, 0.0), (done & enough)[:, None]], axis=1)
+
+    return named(mapped(rows, kernel), ["a", "t1", "b", "r2", "converged"])
 
-        def model(p: np.ndarray):
-            e = np.exp(-np.clip(p[:, 1:2] * t, -50, 50))
-            b = p[:, 2:3] if factor is None else factor
-            parts = [1 - b * e, p[:, :1] * b * t * e] + [-p[:, :1] * e] * (factor is None)
-            return p[:, :1] * (1 - b * e), np.stack(parts, axis=2)
 
-        p = levenberg(model, start, y)
-        return np.stack([p[:, 0], 1 / np.where(p[:, 1] == 0, np.inf, p[:, 1]), p[:, 2] if factor is None else np.full(len(p), factor)], axis=1)
+def t1_inversion(rows: DataFrame, times: list[float], factor: float | None = 2.0, absolute: bool = False) -> DataFrame:
+    """A (1 - B exp(-t / T1)) with B 2 (inversion), 1 (saturation) or fitted (None)."""
+    names = {(1.0, False): "ideal_steady_state", (2.0, False): "inversion_recovery", (2.0, True): "absolute_inversion_recovery", (None, False): "inversion_recovery_3", (None, True): "absolute_inversion_recovery_3"}
+    return t1_fit(rows, times, names[factor, absolute])
+
 
-    return named(mapped(rows, kernel), ["a", "t1", "b"])
+def look_locker_times(spark, first: float, step: float, slices: int, samples: int, order: list[int]) -> DataFrame:
+    """(slice, k, t): first + (place of the slice in the order + k * slices) * step."""
+    place = {s: i for i, s in enumerate(order)}
+    grid = spark.createDataFrame([(s, place[s]) for s in range(slices)], "slice int, place int")
+    k = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return k.select("slice", "k", (first + (F.col("place") + F.col("k") * slices) * step).alias("t"))
 
 
 def named(rows: DataFrame, names: list[str]) -> DataFrame:

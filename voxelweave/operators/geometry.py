@@ -47,13 +47,15 @@ def reorient(voxels: DataFrame, axes: str, size: tuple[int, int, int]) -> DataFr
 def mask_ordinal(mask: DataFrame, block: int = 4096) -> DataFrame:
     """Raster rank from 0 of every voxel of a non-zero mask.
 
-    Ranks are counted within blocks of ids and shifted by the counts of earlier blocks, so no
-    task orders the whole mask.
+    Ranks are counted within blocks of ids and shifted by the counts of earlier blocks, those
+    within blocks of blocks, so no task orders the mask or all its blocks.
     """
     on = mask.filter("m <> 0").select("voxel_id", F.floor(F.col("voxel_id") / block).alias("block"))
-    sizes = on.groupBy("block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("block", before.alias("before"))  # a row for each ``block`` ids
+    sizes = on.groupBy("block").agg(F.count("*").alias("n")).withColumn("upper", F.floor(F.col("block") / block))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sizes.groupBy("upper").agg(F.sum("n").alias("n"))
+    tops = tops.select("upper", earlier(Window.orderBy("upper")).alias("shift"))  # a row for block * block ids
+    starts = sizes.withColumn("inside", earlier(Window.partitionBy("upper").orderBy("block"))).join(tops, "upper").select("block", (F.col("shift") + F.col("inside")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("block").orderBy("voxel_id")) - 1
     return on.join(starts, "block").select("voxel_id", (F.col("before") + inner).alias("ordinal"))
 

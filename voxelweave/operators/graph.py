@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; a local one only where it names none.
+    """A checkpoint in the folder that the session names; a local one only in a local session that
+    names none, for on a cluster it would not be shared.
 
     The result leaves behind the size that Spark estimates for its plan: a checkpoint keeps it,
     joins multiply it, and after some twenty rounds planning with such numbers takes minutes.
@@ -17,7 +20,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voxelweave-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="voxelweave-"))
     kept = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
@@ -36,44 +42,68 @@ def degree(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def clustering_binary(edges: DataFrame) -> DataFrame:
-    """2 * links / (k (k - 1)) of every node with two neighbours or more.
+def triangles(edges: DataFrame) -> DataFrame:
+    """Triangles (a, b, c, product of the three weights), each once.
 
-    Each triangle is found once, from the corner that precedes the others by (degree, id), which
-    keeps the pairs of neighbours of hubs few.
+    A triangle is found from the corner that precedes the others by (degree, id), which keeps the
+    pairs of neighbours of hubs few.
     """
     deg = degree(edges).select("node", F.col("degree").alias("k"))
     key = lambda n, k: F.struct(F.col(k), F.col(n))
-    known = edges.select("src", "dst").join(deg.withColumnsRenamed({"node": "src", "k": "ks"}), "src").join(deg.withColumnsRenamed({"node": "dst", "k": "kd"}), "dst")
+    known = edges.select("src", "dst", "weight").join(deg.withColumnsRenamed({"node": "src", "k": "ks"}), "src").join(deg.withColumnsRenamed({"node": "dst", "k": "kd"}), "dst")
     first = key("src", "ks") < key("dst", "kd")
     out = known.select(
         F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b"),
-        F.when(first, F.col("kd")).otherwise(F.col("ks")).alias("kb"),
+        F.when(first, F.col("kd")).otherwise(F.col("ks")).alias("kb"), F.col("weight").alias("wb"),
     )
-    other = out.select("a", F.col("b").alias("c"), F.col("kb").alias("kc"))
+    other = out.select("a", F.col("b").alias("c"), F.col("kb").alias("kc"), F.col("wb").alias("wc"))
     wedges = out.join(other, "a").filter(key("b", "kb") < key("c", "kc"))
-    closed = out.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    triangles = wedges.join(closed, ["b", "c"]).select(F.explode(F.array("a", "b", "c")).alias("node"))
-    links = triangles.groupBy("node").agg(F.count("*").alias("links"))
+    closed = out.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("wb").alias("w"))
+    return wedges.join(closed, ["b", "c"]).select("a", "b", "c", (F.col("wb") * F.col("wc") * F.col("w")).alias("product"))
+
+
+def of_corners(found: DataFrame) -> DataFrame:
+    """Number and sum of products of the triangles of each node that has one."""
+    corners = found.select(F.explode(F.array("a", "b", "c")).alias("node"), "product")
+    return corners.groupBy("node").agg(F.count("*").alias("links"), F.sum("product").alias("closed"))
+
+
+def clustering_binary(edges: DataFrame) -> DataFrame:
+    """2 * links / (k (k - 1)) of every node with two neighbours or more."""
+    deg = degree(edges).select("node", F.col("degree").alias("k"))
     c = 2 * F.coalesce("links", F.lit(0)) / (F.col("k") * (F.col("k") - 1))
-    return deg.filter("k > 1").join(links, "node", "left").select("node", c.alias("clustering"))
+    return deg.filter("k > 1").join(of_corners(triangles(edges)), "node", "left").select("node", c.alias("clustering"))
 
 
 def clustering_weighted(edges: DataFrame) -> DataFrame:
     """sum(w_ik w_il w_kl) / sum(w_ik w_il) over pairs of neighbours k, l of i."""
-    e = both_ways(edges)
-    sums = e.groupBy("src").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
-    pairs = sums.select(F.col("src").alias("node"), ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"))
-    two = e.select(F.col("src").alias("i"), F.col("dst").alias("k"), F.col("weight").alias("wk"))
-    wedges = two.join(edges.select(F.col("src").alias("k"), F.col("dst").alias("l"), F.col("weight").alias("wl")), "k")
-    closed = wedges.join(two.withColumnsRenamed({"k": "l", "wk": "wil"}), ["i", "l"])
-    over = closed.groupBy(F.col("i").alias("node")).agg(F.sum(F.col("wk") * F.col("wl") * F.col("wil")).alias("closed"))
-    return pairs.filter("pairs > 0").join(over, "node", "left").select("node", (F.coalesce("closed", F.lit(0.0)) / F.col("pairs")).alias("clustering"))
-
-
-def laplacian(edges: DataFrame) -> DataFrame:
-    """Entries of D - A."""
+    sums = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
+    pairs = sums.select("node", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).filter("pairs > 0")
+    c = F.coalesce("closed", F.lit(0.0)) / F.col("pairs")
+    return pairs.join(of_corners(triangles(edges)), "node", "left").select("node", c.alias("clustering"))
+
+
+def clustering_directed(arcs: DataFrame) -> DataFrame:
+    """Fagiolo's coefficient over directed arcs (src, dst, weight): cycles of the cube roots of the
+    weights of both directions, over k (k - 1) - 2 r with total degree k and r mutual neighbours."""
+    root = F.cbrt(F.col("weight"))
+    pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    joined = arcs.filter("src <> dst").groupBy(*pair).agg(F.sum(root).alias("weight"), F.count("*").alias("n"))
+    ends = joined.select(F.explode(F.array("src", "dst")).alias("node"), "n")
+    deg = ends.groupBy("node").agg(F.sum("n").alias("k"), F.sum((F.col("n") - 1)).alias("mutual"))
+    below = F.col("k") * (F.col("k") - 1) - 2 * F.col("mutual")
+    c = F.when(F.coalesce("closed", F.lit(0.0)) == 0, 0.0).otherwise(F.col("closed") / below)
+    return deg.join(of_corners(triangles(joined)), "node", "left").select("node", c.alias("clustering"))
+
+
+def laplacian(edges: DataFrame, normalised: bool = False) -> DataFrame:
+    """Entries of D - A, or of I - D^-1/2 A D^-1/2 on edges."""
     d = degree(edges)
+    if normalised:
+        e = both_ways(edges).join(d.select(F.col("node").alias("src"), F.col("strength").alias("a")), "src")
+        e = e.join(d.select(F.col("node").alias("dst"), F.col("strength").alias("b")), "dst")
+        off = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("weight") / F.sqrt(F.col("a") * F.col("b"))).alias("value"))
+        return off.unionByName(d.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("value")))
     off = both_ways(edges).select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("weight")).alias("value"))
     return off.unionByName(d.select(F.col("node").alias("i"), F.col("node").alias("j"), F.col("strength").alias("value")))
 
@@ -116,7 +146,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
-    """Borůvka's rounds on length 1 / weight; ties go to the smaller edge."""
+    """Borůvka's rounds on length 1 / weight; ties go to the smaller edge.  Edges come with both."""
     e = cut(edges.select("src", "dst", "weight", F.col("src").alias("cs"), F.col("dst").alias("cd")))
     taken = None
     while True:
@@ -131,7 +161,8 @@ def minimum_spanning_tree(edges: DataFrame) -> DataFrame:
         for c in ("cs", "cd"):
             e = e.join(label.withColumnsRenamed({"node": c, "root": "to"}), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
         e = cut(e)
-    return taken if taken is not None else e.select("src", "dst", "weight").limit(0)
+    tree = taken if taken is not None else e.select("src", "dst", "weight").limit(0)
+    return tree.withColumn("length", 1 / F.col("weight"))
 
 
 def merged(edges: DataFrame) -> DataFrame:
@@ -159,3 +190,226 @@ def ring_lattice(spark, n: int, k: int) -> DataFrame:
     node = spark.range(n).select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("s"))
     b = (F.col("a") + F.col("s")) % n
     return node.select(F.least("a", b).alias("src"), F.greatest("a", b).alias("dst"), F.lit(1.0).alias("weight")).filter("src <> dst").distinct()
+
+
+def threshold_at_strength(edges: DataFrame, k: float, steps: int = 1000) -> DataFrame:
+    """The least of the thresholds 0, max / steps, ... at which the mean strength of the nodes is at
+    most ``k``, with that strength; a ``k`` above the mean strength of all edges is an error."""
+    one = edges.filter("src <> dst AND weight > 0")
+    n, top = degree(edges).count(), one.agg(F.max("weight")).first()[0]
+    step = (top or 0.0) / steps
+    # An edge counts at thresholds j * step below its weight: all j up to ceil(weight / step) - 1.
+    last = F.least(F.ceil(F.col("weight") / (step or 1.0)) - 1, F.lit(steps)).cast("int")
+    sums = one.groupBy(last.alias("j")).agg((2 * F.sum("weight") / n).alias("s"))
+    every = edges.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("j"))
+    after = Window.orderBy("j").rowsBetween(Window.currentRow, Window.unboundedFollowing)  # ``steps`` rows
+    means = every.join(F.broadcast(sums), "j", "left").select("j", F.sum(F.coalesce("s", F.lit(0.0))).over(after).alias("mean"))
+    if (means.filter("j = 0").first()["mean"] or 0.0) < k:
+        raise ValueError("the mean strength of all edges is below k")
+    best = F.min(F.struct("j", "mean"))
+    return means.filter(F.col("mean") <= k).agg(best.alias("b")).select((F.col("b.j") * step).alias("threshold"), "b.mean")
+
+
+def standardised(measure: DataFrame, column: str) -> DataFrame:
+    """Adds z: deviations of a node measure from its mean in population deviations, 0 if constant."""
+    stats = measure.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s"))  # one row
+    z = F.when(F.col("s") > 0, (F.col(column) - F.col("m")) / F.col("s")).otherwise(0.0)
+    return measure.crossJoin(F.broadcast(stats)).withColumn("z", z).drop("m", "s")
+
+
+def node_strengths(edges: DataFrame, nodes: DataFrame, upper: bool = False) -> DataFrame:
+    """degree and strength of every node, 0 for isolated ones; ``upper`` counts edges at src only."""
+    one = edges.select("src", "dst", "weight") if upper else both_ways(edges)
+    sums = one.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
+    return nodes.select("node").distinct().join(sums, "node", "left").na.fill({"degree": 0, "strength": 0.0})
+
+
+def harmonic_path_length(paths: DataFrame) -> DataFrame:
+    """Mean of the inverse distances of all pairs, and its inverse."""
+    nodes = paths.select("source").distinct().count()
+    inverse = F.sum(1 / F.col("d")) / F.lit(float(max(1, nodes * (nodes - 1))))
+    return paths.filter("source <> node").agg(inverse.alias("efficiency"), (1 / inverse).alias("length"))
+
+
+def betweenness(edges: DataFrame, sources: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Shares of shortest paths that pass through each node, over unordered pairs (length 1 / weight).
+
+    Shortest paths from all sources make one table of steps; counts of paths run along it, and
+    dependencies against it, in as many rounds as a path has edges.  Nothing is gathered.
+    """
+    nodes = degree(edges).select("node")
+    d = cut(shortest_paths(edges, sources if sources is not None else nodes))
+    e = both_ways(edges).select("src", "dst", (1 / F.col("weight")).alias("length"))
+    near = d.join(e, F.col("node") == F.col("src")).select("source", F.col("node").alias("v"), F.col("dst").alias("w"), (F.col("d") + F.col("length")).alias("far"))
+    steps = near.join(d.select("source", F.col("node").alias("w"), "d"), ["source", "w"]).filter(F.abs(F.col("far") - F.col("d")) <= tolerance * F.col("d"))
+    steps = cut(steps.select("source", "v", "w"))
+
+    def summed(start: DataFrame, at: str, to: str) -> DataFrame:
+        """Sum of what reaches each (source, node) from ``start`` along the steps, over all lengths."""
+        front, total = start, start
+        while not front.isEmpty():
+            moved = front.withColumnRenamed("node", at).join(steps, ["source", at])
+            front = cut(moved.groupBy("source", F.col(to).alias("node")).agg(F.sum("x").alias("x")))
+            total = cut(total.unionByName(front).groupBy("source", "node").agg(F.sum("x").alias("x")))
+        return total
+
+    first = d.filter("source = node").select("source", "node", F.lit(1.0).alias("x"))
+    paths = summed(first, "v", "w").withColumnRenamed("x", "sigma")
+    inverse = paths.select("source", F.col("node").alias("w"), (1 / F.col("sigma")).alias("x"))
+    back = inverse.join(steps, ["source", "w"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("x").alias("x"))
+    y = summed(cut(back), "w", "v")
+    through = y.join(paths, ["source", "node"]).filter("source <> node").groupBy("node").agg((F.sum(F.col("x") * F.col("sigma")) / 2).alias("b"))
+    return nodes.join(through, "node", "left").select("node", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
+def central_point_dominance(measure: DataFrame) -> DataFrame:
+    """Mean difference of the largest relative betweenness from the others."""
+    n = F.count("*")
+    relative = 2 / ((n - 1) * (n - 2))
+    top = F.max("betweenness")
+    return measure.agg((relative * (n * top - F.sum("betweenness")) / (n - 1)).alias("dominance"))
+
+
+def multiplied(entries: DataFrame, vector: DataFrame) -> DataFrame:
+    """(i, value) of the product of a sparse matrix (i, j, value) and a vector (i, value)."""
+    v = vector.select(F.col("i").alias("j"), F.col("value").alias("x"))
+    return entries.join(v, "j").groupBy("i").agg(F.sum(F.col("value") * F.col("x")).alias("value"))
+
+
+def lanczos(entries: DataFrame, steps: int = 40, tolerance: float = 1e-10, seed: int = 1) -> list[float]:
+    """Ritz values of a symmetric sparse matrix, ascending; the ends converge to its eigenvalues.
+
+    Vectors are tables, so a step is one join and a few sums; only the small tridiagonal matrix
+    comes to the driver.  New vectors are made orthogonal to all before, which keeps copies out.
+    """
+    basis: list[DataFrame] = []
+    noise = F.xxhash64("i", F.lit(seed)) / F.lit(float(1 << 63))
+    nodes = entries.select("i").distinct()
+    v = nodes.select("i", noise.alias("value"))
+    norm = v.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
+    v = cut(v.select("i", (F.col("value") / norm).alias("value")))
+    alphas: list[float] = []
+    betas: list[float] = []
+    for _ in range(steps):
+        basis.append(v)
+        w = cut(nodes.join(multiplied(entries, v), "i", "left").na.fill(0.0))
+        table = w
+        for k, b in enumerate(basis):
+            table = table.join(b.withColumnRenamed("value", f"b{k}"), "i")
+        # The second pass takes out what rounding left of the first.
+        for again in range(2):
+            dots = table.agg(*[F.sum(F.col("value") * F.col(f"b{k}")).alias(f"d{k}") for k in range(len(basis))]).first()  # ``steps`` numbers
+            if not again:
+                alphas.append(dots[len(basis) - 1])
+            rest = F.col("value") - sum((F.lit(x) * F.col(f"b{k}") for k, x in enumerate(dots)), F.lit(0.0))
+            table = table.withColumn("value", rest)
+        w = cut(table.select("i", "value"))
+        beta = w.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 0.0
+        if beta <= tolerance * max(1.0, abs(alphas[0])):
+            break
+        betas.append(beta)
+        v = w.select("i", (F.col("value") / beta).alias("value"))
+    n = len(alphas)
+    small = np.diag(alphas) + np.diag(betas[: n - 1], 1) + np.diag(betas[: n - 1], -1)
+    return np.linalg.eigvalsh(small).tolist()
+
+
+def synchronisability(edges: DataFrame, steps: int = 40) -> DataFrame:
+    """Largest and second smallest eigenvalue of the Laplacian of a connected graph, and their ratio."""
+    values = lanczos(laplacian(edges), steps)
+    scale = max(map(abs, values), default=0.0)
+    high, low = (values[-1], next((x for x in values if x > 1e-9 * scale), None)) if values else (None, None)
+    return edges.sparkSession.createDataFrame([(high, low, high / low if low else None)], "largest double, second double, ratio double")
+
+
+def permuted(entries: DataFrame, seed: int = 1) -> DataFrame:
+    """A matrix with its values off the diagonal dealt out anew at random; the diagonal stays.
+
+    Places and values are numbered in blocks by two hashes, and equal numbers meet.
+    """
+    off = entries.filter("i <> j")
+    numbered = lambda df, *key: row_numbers(df.withColumn("h", F.xxhash64("i", "j", F.lit(seed), *key)), "h", ["i", "j"])
+    places = numbered(off).select("n", "i", "j")
+    values = numbered(off, F.lit("value")).select("n", "value")
+    return places.join(values, "n").select("i", "j", "value").unionByName(entries.filter("i = j").select("i", "j", "value"))
+
+
+def row_numbers(df: DataFrame, order: str, ties: list[str], blocks: int = 4096) -> DataFrame:
+    """Adds n from 0 by a 64-bit hash ``order``: ranks inside blocks of it, shifted by earlier blocks."""
+    block = F.shiftrightunsigned(order, 64 - 12)
+    with_block = df.withColumn("block", block)
+    sizes = with_block.groupBy("block").agg(F.count("*").alias("size"))  # ``blocks`` rows at most
+    before = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("block").orderBy(order, *ties)) - 1
+    return with_block.join(F.broadcast(sizes.select("block", before.alias("start"))), "block").withColumn("n", F.col("start") + inner).drop("block", "start")
+
+
+def rewired(edges: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
+    """Random graph of the same degrees: pairs of edges swap their ends, synchronously.
+
+    In a round edges meet in pairs by a hash; (a, b), (c, d) become (a, d), (c, b) unless that makes
+    a loop or an edge that exists or that another pair makes.  Negative weights become 0.
+    """
+    e = cut(edges.filter("src <> dst").select("src", "dst", F.greatest("weight", F.lit(0.0)).alias("weight")))
+    for r in range(rounds):
+        flip = F.xxhash64("src", "dst", F.lit(seed), F.lit(-r)) % 2 == 0
+        h = row_numbers(e.withColumn("h", F.xxhash64("src", "dst", F.lit(seed), F.lit(r))), "h", ["src", "dst"])
+        h = h.select((F.floor(F.col("n") / 2)).alias("pair"), (F.col("n") % 2).alias("side"), F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("b"), "weight")
+        one = h.filter("side = 0").drop("side")
+        two = h.filter("side = 1").select("pair", F.col("a").alias("c"), F.col("b").alias("d"), F.col("weight").alias("w2"))
+        both = cut(one.join(two, "pair", "left"))
+        new = both.filter("a <> d AND c <> b").select("pair", F.explode(F.array(F.struct(F.least("a", "d").alias("src"), F.greatest("a", "d").alias("dst")), F.struct(F.least("b", "c").alias("src"), F.greatest("b", "c").alias("dst")))).alias("e")).select("pair", "e.*")
+        taken = new.join(e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), ["src", "dst"], "left_semi").select("pair")
+        double = new.join(new.groupBy("src", "dst").agg(F.count("*").alias("k")).filter("k > 1"), ["src", "dst"]).select("pair")
+        good = new.select("pair").distinct().join(taken.unionByName(double).distinct(), "pair", "left_anti").withColumn("good", F.lit(True))
+        done = both.join(good, "pair", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+        edge = lambda x, y, w: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"), F.col(w).alias("weight"))
+        swapped = F.array(edge("a", "d", "weight"), edge("c", "b", "w2"))
+        kept = F.when(F.col("c").isNull(), F.array(edge("a", "b", "weight"))).otherwise(F.array(edge("a", "b", "weight"), edge("c", "d", "w2")))
+        e = cut(done.select(F.explode(F.when(F.col("good"), swapped).otherwise(kept)).alias("e")).select("e.*"))
+    return e
+
+
+def power_law(values: DataFrame, finite_size: bool = False) -> DataFrame:
+    """alpha, xmin, ks, log likelihood and n of the continuous power law, xmin by the least KS distance.
+
+    Suffix sums over distinct values give the exponent for every candidate; the candidates, a stated
+    query set, then meet the distinct values and keep one maximum each.
+    """
+    v = values.filter("value > 0").groupBy("value").agg(F.count("*").alias("c"))
+    v = cut(v.withColumn("l", F.log("value") * F.col("c")).withColumn("block", F.floor(F.log2("value") * 64)))
+    # Blocks of the value axis, of which there are a few thousand whatever the rows.
+    blocks = v.groupBy("block").agg(F.sum("c").alias("bc"), F.sum("l").alias("bl"))
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.select("block", F.coalesce(F.sum("bc").over(later), F.lit(0)).alias("bc"), F.coalesce(F.sum("bl").over(later), F.lit(0.0)).alias("bl"))
+    inner = Window.partitionBy("block").orderBy("value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    v = v.join(blocks, "block").select("value", (F.sum("c").over(inner) + F.col("bc")).alias("n"), (F.sum("l").over(inner) + F.col("bl")).alias("logs"), "c")
+    v = cut(v)
+    spread = F.col("logs") - F.col("n") * F.log("value")
+    cands = v.filter(spread > 0).select(F.col("value").alias("xmin"), F.col("n").alias("m"), (1 + F.col("n") / spread).alias("alpha"), spread.alias("spread"))
+    met = cands.join(v, F.col("value") >= F.col("xmin"))
+    fitted = 1 - F.pow(F.col("value") / F.col("xmin"), 1 - F.col("alpha"))
+    at = lambda n: F.abs(1 - n / F.col("m") - fitted)
+    ks = met.groupBy("xmin", "m", "alpha", "spread").agg(F.max(F.greatest(at(F.col("n")), at(F.col("n") - F.col("c")))).alias("ks"))
+    best = ks.agg(F.min(F.struct("ks", "xmin", "m", "alpha", "spread")).alias("b")).select("b.*")
+    alpha = F.col("alpha") * (F.col("m") - 1) / F.col("m") + 1 / F.col("m") if finite_size else F.col("alpha")
+    best = best.withColumn("alpha", alpha)
+    log = F.col("m") * F.log((F.col("alpha") - 1) / F.col("xmin")) - F.col("alpha") * F.col("spread")
+    return best.select("alpha", "xmin", "ks", log.alias("log_likelihood"), F.col("m").alias("n"))
+
+
+def power_law_bootstrap(values: DataFrame, xmin: float, samples: int = 100, seed: int = 1) -> DataFrame:
+    """Mean and deviation of alpha and log likelihood over Poisson bootstrap samples, one aggregation.
+
+    A row is in a sample as often as a Poisson(1) draw by its hash says, so rows are never copied.
+    """
+    shares = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)]).tolist()
+    rows = values.filter(F.col("value") >= xmin).withColumn("row", F.monotonically_increasing_id())
+    u = F.shiftrightunsigned(F.xxhash64("row", "value", "sample", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    drawn = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", u)
+    times = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in shares), F.lit(0))
+    per = drawn.withColumn("k", times).groupBy("sample").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log(F.col("value") / xmin)).alias("s"))
+    fits = per.filter("s > 0").select((1 + F.col("n") / F.col("s")).alias("alpha"), "n", "s")
+    log = F.col("n") * F.log((F.col("alpha") - 1) / xmin) - F.col("alpha") * F.col("s")
+    fits = fits.withColumn("log", log)
+    return fits.agg(*[f(c).alias(f"{n}_{c}") for c in ("alpha", "log") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])

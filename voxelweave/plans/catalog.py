@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fx
@@ -25,12 +25,10 @@ PARTS = {
     "vox": "vox AS (SELECT voxel_id, voxel_id % 8 AS x, (voxel_id // 8) % 8 AS y, voxel_id // 64 AS z, t, value FROM s)",
     "e0": "e0 AS (SELECT DISTINCT l_orderkey, l_suppkey AS src FROM lineitem)",
     "e": "e AS (SELECT a.src, b.src AS dst, count(*)::DOUBLE AS weight FROM e0 a JOIN e0 b USING (l_orderkey) WHERE a.src < b.src GROUP BY ALL)",
-    "g": "g AS (SELECT * FROM e WHERE weight > {t})",
+    "g": "g AS (SELECT * FROM e WHERE weight >= (SELECT quantile_disc(weight, 0.5) FROM e))",
     "two": "two AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)",
     "decay": "decay AS (SELECT l_orderkey AS voxel_id, l_linenumber::DOUBLE AS t, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)",
 }
-#: Edge weight above which the supplier graph is sparse enough to have structure.
-CUT = 23.0
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -43,7 +41,7 @@ def query(name: str, parts: str = "", sql: str | None = None, doubles: str = "")
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, d: rounded(f(spark, d))
         if sql is not None:
-            head = ", ".join(PARTS[p].replace("{t}", str(CUT)) for p in parts.split())
+            head = ", ".join(PARTS[p] for p in parts.split())
             replaced = ", ".join(f"round({c}, {DIGITS}) + 0.0 AS {c}" for c in doubles.split())
             body = f"SELECT * {f'REPLACE ({replaced})' if replaced else ''} FROM ({sql})"
             ORACLE_SQL[name] = (f"WITH {head} " if head else "") + body
@@ -258,13 +256,16 @@ def _(s, d):
     return connectivity.phase_coherence(signal.analytic_phase(tb.packed(s, d)))
 
 
-@query("visibility_graph", "s", "SELECT a.voxel_id, a.t AS i, b.t AS j, abs((b.value - a.value) / (b.t - a.t)) AS weight FROM s a JOIN s b ON a.voxel_id = b.voxel_id AND a.t < b.t WHERE a.voxel_id < 50 AND NOT EXISTS (SELECT 1 FROM s c WHERE c.voxel_id = a.voxel_id AND c.t > a.t AND c.t < b.t AND (c.value - a.value) / (c.t - a.t) >= (b.value - a.value) / (b.t - a.t))", "weight")
+@query("visibility_graph", "s", "SELECT a.voxel_id, a.t AS i, b.t AS j, abs((b.value - a.value) / (b.t - a.t)) AS weight FROM s a JOIN s b ON a.voxel_id = b.voxel_id AND a.t < b.t WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.voxel_id = a.voxel_id AND c.t > a.t AND c.t < b.t AND (c.value - a.value) / (c.t - a.t) >= (b.value - a.value) / (b.t - a.t))", "weight")
 def _(s, d):
-    return connectivity.visibility_graph(tb.packed(s, d)).filter("voxel_id < 50")
+    return connectivity.visibility_graph(tb.packed(s, d))
 
 
 def _graph(s, d):
-    return graph.thresholded(tb.edges(s, d), CUT)
+    """The supplier graph's edges of at least median weight: a share of it at every scale."""
+    e = tb.edges(s, d)
+    middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY weight)").alias("m"))  # one row
+    return e.crossJoin(F.broadcast(middle)).filter("weight >= m").drop("m")
 
 
 @query("edge_table", "e0 e g", "SELECT src, dst, weight FROM g", "weight")
@@ -311,10 +312,12 @@ def _(s, d):
     return graph.power_law_alpha(tb.table(s, d, "orders").select(F.col("o_totalprice").alias("value")), 1000.0)
 
 
-@query("nearest_neighbours", "", "SELECT id, CAST(k AS INT) AS rank, near, label FROM (SELECT a.vec_id AS id, b.vec_id AS near, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND b.vec_id % 25 <> 0) WHERE k <= 5")
+@query("nearest_neighbours", "", "SELECT id, CAST(k AS INT) AS rank, near, label FROM (SELECT a.vec_id AS id, b.vec_id AS near, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) WHERE k <= 5")
 def _(s, d):
     f = tb.features(s, d)
-    return cluster.knn(f.filter("id % 25 <> 0"), f.filter("id % 25 = 0"), 5).select("id", "rank", "near", "label")
+    found = cluster.knn(f, f.filter("id % 100 = 0"), 6).filter("id <> near")
+    first = Window.partitionBy("id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(first)).filter("rank <= 5").select("id", "rank", "near", "label")
 
 
 @query("kmeans_clusters")
@@ -327,7 +330,12 @@ def _(s, d):
     return cluster.z_scored(tb.features(s, d))
 
 
-@query("t2_linear", "decay", "SELECT voxel_id, CASE WHEN s < 0 THEN i ELSE 0 END AS log_a, CASE WHEN s < 0 THEN least(-1 / s, 100.0) ELSE 0 END AS t2, CASE WHEN s < 0 THEN r2 ELSE 0 END AS r2 FROM (SELECT voxel_id, regr_slope(ln(value), t) AS s, regr_intercept(ln(value), t) AS i, regr_r2(ln(value), t) AS r2 FROM decay WHERE value > 0 GROUP BY voxel_id HAVING count(DISTINCT t) > 1)", "log_a t2 r2")
+T2 = """SELECT voxel_id, CASE WHEN s < 0 THEN i ELSE 0 END AS log_a, CASE WHEN s < 0 THEN least(-1 / s, 100.0) ELSE 0 END AS t2, CASE WHEN s < 0 THEN r2 ELSE 0 END AS r2
+FROM (SELECT DISTINCT voxel_id FROM decay) LEFT JOIN (SELECT voxel_id, regr_slope(ln(value), t) AS s, regr_intercept(ln(value), t) AS i, regr_r2(ln(value), t) AS r2
+FROM decay LEFT JOIN (SELECT voxel_id, min(t) AS stop FROM decay WHERE value <= 0 GROUP BY voxel_id) USING (voxel_id) WHERE t < coalesce(stop, 1e300) GROUP BY voxel_id HAVING count(DISTINCT t) > 1) USING (voxel_id)"""
+
+
+@query("t2_linear", "decay", T2, "log_a t2 r2")
 def _(s, d):
     fitted = fits.t2_linear(tb.decay(s, d), 100.0)
     return fitted.select("voxel_id", F.when(F.col("a") > 0, F.log("a")).otherwise(0.0).alias("log_a"), "t2", "r2")
