@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,3 +60,58 @@ def phase_difference(a: Column, b: Column) -> Column:
     """a - b wrapped into (-pi, pi]."""
     d = a - b
     return F.atan2(F.sin(d), F.cos(d))
+
+
+def inverted(label: Column) -> Column:
+    """1 where a label is 0, else 0."""
+    return F.when(label == 0, F.lit(1)).otherwise(F.lit(0))
+
+
+def upper_tail(z: Column) -> Column:
+    """Two-sided p of a standard normal z, from erfc in Arrow batches: Spark has no such function."""
+    @F.pandas_udf("double")
+    def two_sided(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+
+    return two_sided(z)
+
+
+def correlation_p(z: Column, n: int) -> Column:
+    """p of a Fisher z over n samples; fewer than four are an error."""
+    if n < 4:
+        raise ValueError("four samples are needed")
+    return upper_tail(z * F.sqrt(F.lit(float(n - 3))))
+
+
+def gamma_density(x: Column, alpha: float, beta: float) -> Column:
+    log = (alpha - 1) * F.log(x) - x / beta - alpha * math.log(beta) - math.lgamma(alpha)
+    return F.when(x > 0, F.exp(log)).otherwise(0.0)
+
+
+def scaled_header(factor: float) -> dict[str, Column]:
+    """Columns of an image table (sx, sy, sz, ox, oy, oz) with spacing and origin multiplied."""
+    return {c: F.col(c) * factor for c in ("sx", "sy", "sz", "ox", "oy", "oz")}
+
+
+def divided_spacing(axis: str, by: float) -> dict[str, Column]:
+    if by <= 0:
+        raise ValueError("the divisor must be positive")
+    return {f"s{axis}": F.col(f"s{axis}") / by}
+
+
+def with_origin(x: float, y: float, z: float) -> dict[str, Column]:
+    return {"ox": F.lit(x), "oy": F.lit(y), "oz": F.lit(z)}
+
+
+def gradient_colour(value: Column, low: float, high: float, stops: list[tuple[float, float, float]]) -> Column:
+    """Red, green and blue of a value on a colour map given by stops from low to high."""
+    place = F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0)) * (len(stops) - 1)
+    i = F.least(F.floor(place), F.lit(len(stops) - 2)).cast("int")
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in stops])
+    a, b = F.element_at(table, i + 1), F.element_at(table, i + 2)
+    return F.zip_with(a, b, lambda p, q: p + (q - p) * (place - i))
+
+
+def blended(a: Column, b: Column, alpha: float) -> Column:
+    """Alpha blend of two colours."""
+    return F.zip_with(a, b, lambda p, q: p * (1 - alpha) + q * alpha)

@@ -154,3 +154,85 @@ def bounding_box_crop(voxels: DataFrame, where: Column) -> DataFrame:
     for c in "xyz":
         near = near.filter(F.col(c).between(F.col(f"lo{c}"), F.col(f"hi{c}")))
     return near.select("voxel_id", *[(F.col(c) - F.col(f"lo{c}")).alias(c) for c in "xyz"], "value")
+
+
+def distinct_labels(labels: DataFrame) -> DataFrame:
+    return labels.filter("label >= 1").select("label").distinct()
+
+
+def unique_values(values: DataFrame) -> DataFrame:
+    """Distinct values with their counts, in a total order."""
+    return values.groupBy("value").agg(F.count("*").alias("n")).orderBy("value")
+
+
+def off_diagonal_peak(entries: DataFrame) -> DataFrame:
+    """Largest entry of a matrix (i, j, value) off its diagonal, the first place on ties."""
+    best = F.max(F.struct("value", (-F.col("i")).alias("a"), (-F.col("j")).alias("b")))
+    return entries.filter("i <> j").agg(best.alias("p")).select((-F.col("p.a")).alias("i"), (-F.col("p.b")).alias("j"), "p.value")
+
+
+def extreme_rows(rows: DataFrame) -> DataFrame:
+    """Mean of each row's values (i, values), and the first rows of the least and the largest; -1 if none."""
+    mean = F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / F.size("values")
+    low = F.min(F.struct("m", "i"))
+    high = F.max(F.struct("m", (-F.col("i")).alias("k")))
+    found = rows.filter("size(values) > 0").select("i", mean.alias("m")).agg(low.alias("a"), high.alias("b"))
+    return found.select(F.coalesce("a.i", F.lit(-1)).alias("argmin"), F.col("a.m").alias("low"), F.coalesce(-F.col("b.k"), F.lit(-1)).alias("argmax"), F.col("b.m").alias("high"))
+
+
+def image_histograms(images: DataFrame, bins: int = 250, cumulative: bool = False) -> DataFrame:
+    """Share of the voxels of each image (image_id, value) in bins of [0, 1], with mean and population
+    deviation over the images; ``cumulative`` sums the bins from each on."""
+    at = F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int")
+    inside = images.filter(F.col("value").between(0, 1))
+    counts = inside.groupBy("image_id", at.alias("bin")).agg(F.count("*").alias("n"))
+    every = images.select("image_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    filled = every.join(counts, ["image_id", "bin"], "left").select("image_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    one = Window.partitionBy("image_id")  # ``bins`` rows an image
+    n = F.sum("n").over(one.orderBy("bin").rowsBetween(Window.currentRow, Window.unboundedFollowing)) if cumulative else F.col("n")
+    share = filled.select("image_id", "bin", (n / F.nullif(F.sum("n").over(one), F.lit(0))).alias("share"))
+    return share.groupBy("bin").agg(F.avg("share").alias("mean"), F.stddev_pop("share").alias("sd"), F.count("*").alias("n_images"))
+
+
+def list_histogram(values: DataFrame, bins: int, low: float, high: float) -> DataFrame:
+    """Density of equal bins with one bin below (-1) and one from ``high`` up (``bins``)."""
+    width = (high - low) / bins
+    at = F.when(F.col("value") < low, -1).when(F.col("value") >= high, bins).otherwise(F.floor((F.col("value") - low) / width)).cast("int")
+    counts = values.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    every = values.sparkSession.range(-1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    total = F.nullif(F.sum("n").over(Window.partitionBy()), F.lit(0))  # bins + 2 rows
+    return every.join(F.broadcast(counts), "bin", "left").na.fill(0, ["n"]).select("bin", "n", (F.col("n") / total).alias("density"))
+
+
+def probabilistic_similarity(pairs: DataFrame) -> DataFrame:
+    """2 * sum of the probability inside the reference / (sum of probabilities + size of the reference)."""
+    inside = F.sum(F.when(F.col("ref") == 1, F.col("prob")).otherwise(0.0))
+    return pairs.agg((2 * inside / (F.sum("prob") + F.count_if(F.col("ref") == 1))).alias("similarity"))
+
+
+def area_under(sweep: DataFrame) -> DataFrame:
+    """Area under a sweep of ``roc`` by trapezoids, from (1, 1) to (0, 0)."""
+    w = Window.orderBy("threshold")  # a row a threshold
+    fpr, tpr = F.lead("fpr", 1, 0.0).over(w), F.lead("tpr", 1, 0.0).over(w)
+    return sweep.select(((F.col("fpr") - fpr) * (F.col("tpr") + tpr) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+
+
+def auto_crop(voxels: DataFrame, least: float = 0.0) -> DataFrame:
+    """Voxels in the box of those above a value."""
+    return bounding_box_crop(voxels, F.col("value") > least)
+
+
+def multi_crop(images: DataFrame, first: str, where: Column) -> DataFrame:
+    """All images (image_id, x, y, z, value) cut to the box of one of them, with coordinates from 0."""
+    own = images.filter(F.col("image_id") == first).filter(where)
+    box = own.agg(*[f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))])  # one row
+    near = images.crossJoin(F.broadcast(box))
+    for c in "xyz":
+        near = near.filter(F.col(c).between(F.col(f"lo{c}"), F.col(f"hi{c}")))
+    return near.select("image_id", *[(F.col(c) - F.col(f"lo{c}")).alias(c) for c in "xyz"], "value")
+
+
+def label_axes(voxels: DataFrame) -> DataFrame:
+    """Covariances of the coordinates of each label, for its axes and orientation."""
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    return voxels.filter("label >= 1").groupBy("label").agg(*[F.covar_pop(a, b).alias(a + b) for a, b in pairs])

@@ -6,52 +6,254 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kmeans(rows: DataFrame, k: int, rounds: int = 20, seed: int = 1, tolerance: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
-    """Assignments (id, cluster) and centres; rounds sum k vectors per partition."""
-    first = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(k).collect()  # k rows
-    centres = np.array([r["features"] for r in first], float)
+def squared_distances(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0)
 
-    def nearest(c: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
 
-    def sums(c: np.ndarray) -> dict:
+def assigned_sums(rows: DataFrame, centres: np.ndarray, squares: bool = False) -> dict[int, tuple[int, np.ndarray, np.ndarray | None]]:
+    """Number, sum of features (and of squares) and nothing else of the rows nearest to each centre.
+
+    Tasks sum first and the sums meet in one aggregation, so the driver gets a row a centre however
+    many partitions there are.
+    """
+    k, d = centres.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, more, n = np.zeros((k, d)), np.zeros((k, d)), np.zeros(k, np.int64)
+        for part in batches:
+            x = np.stack(part["features"].to_list()).astype(float)
+            at = squared_distances(centres, x).argmin(axis=1)
+            np.add.at(total, at, x)
+            np.add.at(more, at, x * x)
+            n += np.bincount(at, minlength=k)
+        yield pd.DataFrame({"c": range(k), "n": n, "s": list(np.concatenate([total, more], axis=1) if squares else total)})
+
+    width = 2 * d if squares else d
+    found = rows.select("features").mapInPandas(run, "c int, n long, s array<double>").filter("n > 0")
+    sums = found.groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).collect()  # a row a centre
+    return {r["c"]: (r["n"], np.array(r[2 : 2 + d]), np.array(r[2 + d :]) if squares else None) for r in sums}
+
+
+def seeded_centres(rows: DataFrame, k: int, seed: int = 1) -> np.ndarray:
+    """k-means++ seeds: each next one drawn with a chance in proportion to the distance from the others.
+
+    A row's draw is an exponential variable by its hash over its distance, and the least one wins, so
+    a seed is one aggregation; a row at a seed is never drawn again.
+    """
+    first = rows.agg(F.min_by("features", F.xxhash64("id", F.lit(seed)))).first()[0]  # one row
+    if first is None:
+        return np.zeros((0, 0))
+    centres = [np.array(first, float)]
+
+    def far(c: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
             for part in batches:
                 x = np.stack(part["features"].to_list()).astype(float)
-                at = nearest(c, x)
-                np.add.at(total, at, x)
-                n += np.bincount(at, minlength=len(c))
-            yield pd.DataFrame({"c": range(len(c)), "n": n, "s": list(total)})
-
-        found = rows.select("features").mapInPandas(run, "c int, n long, s array<double>").collect()  # k rows a partition
-        out: dict = {}
-        for r in found:
-            a = out.setdefault(r["c"], [0, np.zeros(c.shape[1])])
-            a[0] += r["n"]
-            a[1] += np.array(r["s"])
-        return out
+                yield pd.DataFrame({"id": part["id"], "features": part["features"], "d": np.sqrt(squared_distances(c, x).min(axis=1))})
 
-    for _ in range(rounds):
+        return run
+
+    while len(centres) < k:
+        d = rows.select("id", F.col("features").cast("array<double>").alias("features")).mapInPandas(far(np.array(centres)), "id long, features array<double>, d double")
+        u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(len(centres))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        best = d.filter("d > 1e-9").agg(F.min_by("features", -F.log(u) / F.col("d"))).first()[0]  # one row
+        if best is None:
+            break
+        centres.append(np.array(best, float))
+    return np.array(centres)
+
+
+def kmeans(rows: DataFrame, k: int, rounds: int | None = None, seed: int = 1, tolerance: float = 1e-6, centres: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """Assignments (id, cluster) and centres, by Lloyd's rounds from k-means++ seeds or given centres.
+
+    Rounds go on until no centre moves by ``tolerance``, or for ``rounds`` if a number is given.  A
+    cluster that loses its rows keeps its centre; fewer distinct rows than k give fewer clusters.
+    """
+    centres = seeded_centres(rows, k, seed) if centres is None else np.asarray(centres, float)
+    done = 0
+    while len(centres) and (rounds is None or done < rounds):
         new = centres.copy()
-        for i, (n, s) in sums(centres).items():
-            if n:
-                new[i] = s / n
-        moved = np.sqrt(((new - centres) ** 2).sum(axis=1)).max()
-        centres = new
+        for i, (n, s, _) in assigned_sums(rows, centres).items():
+            new[i] = s / n
+        moved, centres, done = np.sqrt(((new - centres) ** 2).sum(axis=1)).max(), new, done + 1
         if moved < tolerance:
             break
-    final = centres
+    return assigned(rows, centres), centres
+
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(id, cluster): the nearest centre of every row; the centres go to the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"id": part["id"], "cluster": nearest(final, np.stack(part["features"].to_list()).astype(float)).astype(np.int32)})
+            x = np.stack(part["features"].to_list()).astype(float)
+            yield pd.DataFrame({"id": part["id"], "cluster": squared_distances(centres, x).argmin(axis=1).astype(np.int32)})
+
+    return rows.select("id", "features").mapInPandas(run, "id long, cluster int")
+
 
-    return rows.select("id", "features").mapInPandas(assign, "id long, cluster int"), centres
+def isodata(rows: DataFrame, k: int, least: int = 5, split: float = 1.0, lump: float = 0.5, pairs: int = 2, rounds: int = 10, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """ISODATA: k-means whose clusters are dropped, split and lumped between rounds.
+
+    Clusters of fewer than ``least`` rows go; one whose largest deviation is over ``split`` becomes two
+    if there are few clusters or it is looser than average and large; then the closest pairs, at most
+    ``pairs``, nearer than ``lump`` become one.  Every other round splits, as do all while there are no
+    more than k / 2 clusters.
+    """
+    centres = seeded_centres(rows, k, seed)
+    for number in range(1, rounds + 1):
+        sums = {i: v for i, v in assigned_sums(rows, centres, squares=True).items() if v[0] >= least}
+        if not sums:
+            break
+        kept = sorted(sums)
+        n = np.array([sums[i][0] for i in kept])
+        centres = np.array([sums[i][1] / sums[i][0] for i in kept])
+        spread = np.sqrt(np.maximum(np.array([sums[i][2] / sums[i][0] for i in kept]) - centres**2, 0))
+        if number == rounds:
+            break
+        loose = np.sqrt((spread**2).sum(axis=1))
+        average = (loose * n).sum() / n.sum()
+        if len(centres) <= k / 2 or (number % 2 and len(centres) < 2 * k):
+            new = []
+            for c, s, m, q in zip(centres, spread, n, loose, strict=True):
+                axis = int(s.argmax())
+                if s[axis] > split and ((q > average and m > 2 * (least + 1)) or len(centres) <= k / 2):
+                    step = np.zeros_like(c)
+                    step[axis] = s[axis] / 2
+                    new += [c + step, c - step]
+                else:
+                    new.append(c)
+            centres = np.array(new)
+        else:
+            d = np.sqrt(squared_distances(centres, centres))
+            order = sorted((d[i, j], i, j) for i in range(len(d)) for j in range(i) if d[i, j] < lump)
+            used: set[int] = set()
+            taken = [(i, j) for _, i, j in order if not (i in used or j in used or used.update((i, j)))][:pairs]
+            gone = {x for p in taken for x in p}
+            merged = [(centres[i] * n[i] + centres[j] * n[j]) / (n[i] + n[j]) for i, j in taken]
+            centres = np.array([c for i, c in enumerate(centres) if i not in gone] + merged)
+    return assigned(rows, centres), centres
+
+
+def affinity_propagation(similarities: DataFrame, preference: float | None = None, damping: float = 0.5, rounds: int = 50) -> DataFrame:
+    """(node, exemplar) from similarities (i, k, s) of different nodes, by message passing over the edges.
+
+    A round's responsibilities need the two best sums of a row, its availabilities the positive sum of
+    a column: both are aggregations, so a sparse graph costs its edges.  The preference of a node to be
+    an exemplar is the least of the rows' medians if none is given.
+    """
+    from .graph import cut
+
+    if preference is None:
+        preference = similarities.groupBy("i").agg(F.percentile("s", 0.5).alias("m")).agg(F.min("m")).first()[0]  # one number
+    nodes = similarities.select(F.col("i").alias("node")).union(similarities.select("k")).distinct()
+    own = nodes.select(F.col("node").alias("i"), F.col("node").alias("k"), F.lit(float(preference or 0.0)).alias("s"))
+    m = cut(similarities.select("i", "k", "s").unionByName(own).withColumns({"r": F.lit(0.0), "a": F.lit(0.0)}))
+    for _ in range(rounds):
+        first = F.max(F.struct((F.col("a") + F.col("s")).alias("v"), "k"))
+        best = m.groupBy("i").agg(first.alias("one"))
+        other = m.join(best, "i").filter(F.col("k") != F.col("one.k")).groupBy("i").agg(F.max(F.col("a") + F.col("s")).alias("two"))
+        with_best = m.join(best, "i").join(other, "i", "left")
+        rest = F.when(F.col("k") == F.col("one.k"), F.coalesce("two", F.lit(0.0))).otherwise(F.col("one.v"))
+        r = damping * F.col("r") + (1 - damping) * (F.col("s") - rest)
+        m = cut(with_best.select("i", "k", "s", r.alias("r"), "a"))
+        column = m.groupBy("k").agg(F.sum(F.when(F.col("i") != F.col("k"), F.greatest("r", F.lit(0.0))).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("i") == F.col("k"), F.col("r")).otherwise(0.0)).alias("rkk"))
+        support = F.col("p") - F.greatest("r", F.lit(0.0))
+        new = F.when(F.col("i") == F.col("k"), F.col("p")).otherwise(F.least(F.lit(0.0), F.col("rkk") + support))
+        m = cut(m.join(column, "k").select("i", "k", "s", "r", (damping * F.col("a") + (1 - damping) * new).alias("a")))
+    chosen = m.filter("i = k AND r + a > 0").select("k")
+    found = m.join(chosen, "k", "left_semi").groupBy("i").agg(F.max_by("k", F.struct((F.col("i") == F.col("k")).alias("own"), "s", (-F.col("k")).alias("t"))).alias("exemplar"))
+    return nodes.join(found.withColumnRenamed("i", "node"), "node", "left")
+
+
+def spectral(edges: DataFrame, k: int, seed: int = 1, sweeps: int = 60) -> DataFrame:
+    """(node, cluster): k-means of the leading eigenvectors of the normalised adjacency I + D^-1/2 A D^-1/2.
+
+    The vectors come from a block power iteration whose products are joins; only k x k matrices reach
+    the driver.
+    """
+    from .graph import cut, laplacian
+
+    entries = laplacian(edges, normalised=True)
+    # 2 I - L has the same vectors with the order reversed and no negative value.
+    entries = cut(entries.select("i", "j", (F.when(F.col("i") == F.col("j"), 2.0).otherwise(0.0) - F.col("value")).alias("value")))
+    names = [f"v{c}" for c in range(k)]
+    block = entries.select("i").distinct().select("i", *[(F.xxhash64("i", F.lit(seed), F.lit(c)) / F.lit(float(1 << 63))).alias(n) for c, n in enumerate(names)])
+    for _ in range(sweeps):
+        moved = entries.join(block.withColumnRenamed("i", "j"), "j")
+        block = cut(moved.groupBy("i").agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names]))
+        pairs = [(a, b) for a in range(k) for b in range(a, k)]
+        dots = block.agg(*[F.sum(F.col(names[a]) * F.col(names[b])).alias(f"d{a}_{b}") for a, b in pairs]).first()  # k * k numbers
+        gram = np.zeros((k, k))
+        for (a, b), x in zip(pairs, dots, strict=True):
+            gram[a, b] = gram[b, a] = x
+        turn = np.linalg.inv(np.linalg.cholesky(gram + 1e-14 * np.trace(gram) * np.eye(k))).T
+        block = block.select("i", *[sum((F.col(names[a]) * float(turn[a, b]) for a in range(k)), F.lit(0.0)).alias(names[b]) for b in range(k)])
+    norm = F.sqrt(sum((F.col(n) * F.col(n) for n in names), F.lit(0.0)))
+    rows = cut(block.select(F.col("i").alias("id"), F.array(*[F.col(n) / F.greatest(norm, F.lit(1e-300)) for n in names]).alias("features")))
+    return kmeans(rows, k, seed=seed)[0].withColumnRenamed("id", "node")
+
+
+def cluster_search(edges: DataFrame, thresholds: list[float], ks: list[int], repeats: int = 3) -> DataFrame:
+    """(threshold, k, modularity): mean modularity of spectral clusters over a grid of parameters."""
+    from .graph import cut, modularity, thresholded
+
+    out = []
+    for t in thresholds:
+        e = cut(thresholded(edges, t))
+        for k in ks:
+            q = [modularity(e, spectral(e, k, seed)).first()["q"] for seed in range(1, repeats + 1)]
+            out.append((float(t), k, float(np.mean([x for x in q if x is not None] or [0.0]))))
+    return edges.sparkSession.createDataFrame(out, "threshold double, k int, modularity double")
+
+
+def relabelled(labels: DataFrame, reference: DataFrame) -> DataFrame:
+    """Labels (voxel_id, x, y, z, label) named after the reference label of the nearest centroid."""
+    centre = lambda df, name: df.filter("label >= 1").groupBy(F.col("label").alias(name)).agg(*[F.avg(c).alias(f"{name}_{c}") for c in "xyz"])
+    a, b = centre(labels, "own"), centre(reference, "ref")  # a row a label
+    d = sum((F.pow(F.col(f"own_{c}") - F.col(f"ref_{c}"), 2) for c in "xyz"), F.lit(0.0))
+    near = a.join(F.broadcast(b)).groupBy("own").agg(F.min_by("ref", F.struct(d.alias("d"), "ref")).alias("new"))
+    return labels.join(F.broadcast(near), labels["label"] == near["own"], "left").select("voxel_id", F.coalesce("new", "label").alias("label"))
+
+
+def train_table(images: DataFrame, labels: DataFrame, geometry: bool = True) -> DataFrame:
+    """(id, features, label) of labelled voxels: values of all images, then, if asked, offsets from the
+    mask's centre, distance and the three angles.  images has voxel_id, image_id, x, y, z, value."""
+    named = images.join(labels, "voxel_id")
+    centre = named.agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])  # one row
+    rows = named.groupBy("voxel_id", "x", "y", "z", "label").agg(F.array_sort(F.collect_list(F.struct("image_id", "value"))).alias("v"))  # a value an image
+    values = F.transform("v", lambda s: s["value"])
+    if not geometry:
+        return rows.select(F.col("voxel_id").alias("id"), values.alias("features"), "label")
+    d = {c: F.col(c) - F.col(f"m{c}") for c in "xyz"}
+    far = F.sqrt(sum((v * v for v in d.values()), F.lit(0.0)))
+    angles = [F.atan2(d["y"], d["x"]), F.atan2(d["z"], d["x"]), F.atan2(d["z"], d["y"])]
+    return rows.crossJoin(F.broadcast(centre)).select(F.col("voxel_id").alias("id"), F.concat(values, F.array(*d.values(), far, *angles)).alias("features"), "label")
+
+
+def within_radius(train: DataFrame, query: DataFrame, radius: float, k: int | None = None) -> DataFrame:
+    """Rows of ``train`` within a radius of every query row, (id, near, d2), the k nearest if given.
+
+    Rows meet in cells as wide as the radius over their first two features, so each is compared with
+    its neighbourhood only.
+    """
+    cell = lambda i: F.floor(F.element_at("features", i) / radius)
+    two = F.size("features") > 1
+    at = [cell(1).alias("cx"), F.when(two, cell(F.when(two, 2).otherwise(1))).otherwise(0).alias("cy")]
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    q = query.select(F.col("id"), F.col("features").alias("fq"), *at, F.explode(around).alias("o"))
+    q = q.select("id", "fq", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
+    t = train.select(F.col("id").alias("near"), "features", *at)
+    d2 = F.aggregate(F.zip_with("fq", "features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    found = q.join(t, ["cx", "cy"]).select("id", "near", d2.alias("d2")).filter(F.col("d2") <= radius * radius)
+    if k is None:
+        return found
+    w = Window.partitionBy("id").orderBy("d2", "near")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
 
 def knn(train: DataFrame, query: DataFrame, k: int) -> DataFrame:

@@ -88,6 +88,132 @@ def seed_map(series: DataFrame, labels: DataFrame) -> DataFrame:
     return series.join(seeds, "t").groupBy("label", "voxel_id").agg(F.corr("seed", "value").alias("r"))
 
 
+def seed_maps(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The same for packed series and packed seeds (label, series): series stay whole, so no time point
+    is a key; seeds are a row a label and go to every task."""
+    names, table = zip(*[(r["label"], r["series"]) for r in seeds.collect()], strict=True)  # a row a label
+    s = standardised(np.asarray(table, float))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            r = standardised(np.stack(batch["series"].to_list())) @ s.T
+            yield pd.DataFrame({"label": np.tile(names, len(batch)), "voxel_id": np.repeat(batch["voxel_id"].to_numpy(), len(names)), "r": r.ravel()})
+
+    return rows.select("voxel_id", "series").mapInPandas(run, "label int, voxel_id long, r double").filter(~F.isnan("r"))
+
+
+def inverse_correlation(rows: DataFrame, least: float | None = None) -> DataFrame:
+    """1 - r where r is not negative, else 1; ``least`` keeps pairs of at least that value."""
+    return pair_matrix(rows, standardised, lambda a, b: np.where((r := np.clip(a @ b.T, -1, 1)) >= 0, 1 - r, 1.0), least)
+
+
+def label_agreement(rows: DataFrame, least: float | None = None) -> DataFrame:
+    """Share of places at which two labelled series (voxel_id, series) agree."""
+
+    def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(((a == v) * 1.0) @ ((b == v) * 1.0).T for v in np.union1d(a, b)) / a.shape[1]
+
+    return pair_matrix(rows, lambda x: x, combine, least)
+
+
+def similarity_matrix(rows: DataFrame, sigma: float | None = None, least: float | None = None) -> DataFrame:
+    """exp(-(d / sigma)^2) of the Euclidean distance; sigma is the median distance if not given."""
+    if sigma is None:
+        d = distance_matrix(rows)
+        sigma = d.agg(F.percentile_approx("value", 0.5, 10_000)).first()[0] or 1.0  # one number
+
+    def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d2 = np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0)
+        return np.exp(-d2 / sigma**2)
+
+    return pair_matrix(rows, lambda x: x, combine, least)
+
+
+def coherency(rows: DataFrame, imaginary: bool = False, least: float | None = None) -> DataFrame:
+    """Absolute or imaginary coherency of every pair: the normalised mean of a times conjugate b over
+    the analytic signals."""
+
+    def prepare(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        h = np.zeros(n)
+        h[0] = 1
+        h[1 : (n + 1) // 2] = 2
+        if n % 2 == 0:
+            h[n // 2] = 1
+        z = np.fft.ifft(np.fft.fft(x, axis=1) * h, axis=1)
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+
+    return pair_matrix(rows, prepare, lambda a, b: (a @ b.conj().T).imag if imaginary else np.abs(a @ b.conj().T), least)
+
+
+def principal_signal(series: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, t, value): first principal component of each label's series, over voxels.
+
+    The time-by-time products of a label are summed over its voxels in parallel, so only a small
+    matrix a label reaches the solver, whatever the voxels.  The sign is that of the label's mean.
+    """
+    from .signal import packed
+
+    rows = packed(series).join(labels.filter("label >= 1"), "voxel_id")
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, list] = {}
+        for batch in batches:
+            for label, part in batch.groupby("label"):
+                x = np.stack(part["series"].to_list()).astype(float)
+                own = total.setdefault(label, [0.0, 0.0, 0])
+                own[0], own[1], own[2] = own[0] + x.T @ x, own[1] + x.sum(axis=0), own[2] + len(x)
+        yield pd.DataFrame([(k, np.asarray(g).ravel(), m, n) for k, (g, m, n) in total.items()], columns=["label", "g", "m", "n"])
+
+    sums = rows.select("label", "series").mapInPandas(products, "label int, g array<double>, m array<double>, n long")
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        n, mean = part["n"].sum(), sum(np.asarray(m) for m in part["m"])
+        t = len(mean)
+        gram = sum(np.asarray(g) for g in part["g"]).reshape(t, t)
+        mean = mean / n
+        values, vectors = np.linalg.eigh(gram / n - np.outer(mean, mean))
+        first = vectors[:, -1] * (1 if vectors[:, -1] @ mean >= 0 else -1)
+        return pd.DataFrame({"label": part["label"].iloc[0], "t": range(t), "value": first})
+
+    return sums.groupBy("label").applyInPandas(solve, "label int, t int, value double")  # a row a task and label
+
+
+def series_components(rows: DataFrame, share: float | None = None, count: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PCA over time of packed series: (eigenvalues, components by time, voxel maps of correlation).
+
+    The mean over voxels is taken out at each time; the T x T products are summed over tasks, and
+    the components, by number or by share of the variance, go back to the series.
+    """
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g, m, n = 0.0, 0.0, 0
+        for batch in batches:
+            x = np.stack(batch["series"].to_list()).astype(float)
+            g, m, n = g + x.T @ x, m + x.sum(axis=0), n + len(x)
+        if n:
+            yield pd.DataFrame({"i": [0], "g": [np.asarray(g).ravel()], "m": [m], "n": [n]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [sum(np.asarray(x) for x in part["g"])], "m": [sum(np.asarray(x) for x in part["m"])], "n": [part["n"].sum()]})
+
+    one = rows.select("series").mapInPandas(products, "i int, g array<double>, m array<double>, n long")
+    total = one.groupBy("i").applyInPandas(summed, "g array<double>, m array<double>, n long").first()  # a T x T matrix
+    m, n = np.array(total["m"]) / total["n"], total["n"]
+    t = len(m)
+    values, vectors = np.linalg.eigh(np.array(total["g"]).reshape(t, t) / n - np.outer(m, m))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    if count is None:
+        count = int(np.searchsorted(np.cumsum(values) / max(values.sum(), 1e-300), share if share is not None else 1.0) + 1)
+    kept = vectors[:, : min(count, t)]
+    kept = kept * np.where(kept[np.abs(kept).argmax(axis=0), range(kept.shape[1])] < 0, -1, 1)
+    spark = rows.sparkSession
+    eigen = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, eigenvalue double")
+    parts = spark.createDataFrame([(c, i, float(kept[i, c])) for c in range(kept.shape[1]) for i in range(t)], "component int, t int, value double")
+    seeds = spark.createDataFrame([(c, kept[:, c].tolist()) for c in range(kept.shape[1])], "label int, series array<double>")
+    return eigen, parts, seed_maps(rows, seeds).withColumnRenamed("label", "component")
+
+
 def roi_correlation(series: DataFrame, labels: DataFrame) -> DataFrame:
     """Correlation of the mean series of every pair of labels."""
     means = series.join(labels.filter("label >= 1"), "voxel_id").groupBy("label", "t").agg(F.avg("value").alias("value"))
@@ -96,18 +222,30 @@ def roi_correlation(series: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.groupBy("i", "j").agg(F.corr("value", "w").alias("r"))
 
 
-def visibility_graph(rows: DataFrame) -> DataFrame:
-    """Edges between samples that see each other over all samples between them."""
+def visibility_graph(rows: DataFrame, weighted: bool = True) -> DataFrame:
+    """Edges between samples that see each other over all samples between them; weight 1 if not weighted.
+
+    A sample is compared with all later ones of all series of a batch at once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for v, s in zip(batch["voxel_id"], batch["series"], strict=True):
-                y = np.asarray(s, float)
-                for i in range(len(y) - 1):
-                    slope = (y[i + 1 :] - y[i]) / np.arange(1, len(y) - i)
-                    best = np.maximum.accumulate(np.concatenate([[-np.inf], slope[:-1]]))
-                    out += [(v, i, i + 1 + k, abs(slope[k])) for k in np.flatnonzero(slope > best)]
-            yield pd.DataFrame(out, columns=["voxel_id", "i", "j", "weight"])
+            for _, part in batch.groupby(batch["series"].map(len)):
+                ids, y = part["voxel_id"].to_numpy(), np.stack(part["series"].to_list()).astype(float)
+                for i in range(y.shape[1] - 1):
+                    slope = (y[:, i + 1 :] - y[:, i : i + 1]) / np.arange(1, y.shape[1] - i)
+                    best = np.maximum.accumulate(slope, axis=1)
+                    seen = np.ones_like(slope, dtype=bool)
+                    seen[:, 1:] = slope[:, 1:] > best[:, :-1]
+                    v, k = np.nonzero(seen)
+                    yield pd.DataFrame({"voxel_id": ids[v], "i": i, "j": i + 1 + k, "weight": np.abs(slope[v, k]) if weighted else 1.0})
 
     return rows.select("voxel_id", "series").mapInPandas(run, "voxel_id long, i int, j int, weight double")
+
+
+def visibility_by_label(series: DataFrame, labels: DataFrame) -> DataFrame:
+    """Visibility graphs of the mean series of every label."""
+    from .signal import packed
+
+    means = series.join(labels.filter("label >= 1"), "voxel_id").groupBy("label", "t").agg(F.avg("value").alias("value"))
+    return visibility_graph(packed(means.withColumnRenamed("label", "voxel_id"))).withColumnRenamed("voxel_id", "label")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,10 +235,15 @@ def patlak(series: DataFrame, inputs: DataFrame, tr: float) -> DataFrame:
 
 
 def logistic_glm(df: DataFrame, features: list[str], response: str, rounds: int = 25) -> DataFrame:
-    """Logistic regression by reweighted least squares; each round sums one small matrix over all rows."""
+    """Logistic regression by reweighted least squares; each round sums one small matrix over all rows.
+
+    Rows with a null are left out.  The columns are checkpointed once, so rounds don't read the source
+    again.  p is two-sided from the normal distribution.
+    """
+    from .graph import cut
     names, k = ["intercept", *features], len(features) + 1
     beta = np.zeros(k)
-    rows = df.select(*[F.col(c).cast("double") for c in features], F.col(response).cast("double").alias("y"))
+    rows = cut(df.select(*[F.col(c).cast("double") for c in features], F.col(response).cast("double").alias("y")).dropna())
 
     def sums(b: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,4 +269,36 @@ def logistic_glm(df: DataFrame, features: list[str], response: str, rounds: int
         if (step**2).sum() < 1e-12:
             break
     se = np.sqrt(np.diag(np.linalg.inv(sums(beta)[0] + 1e-12 * np.eye(k))))
-    return df.sparkSession.createDataFrame([(n, float(b), float(s), float(b / s)) for n, b, s in zip(names, beta, se, strict=True)], "term string, beta double, se double, z double")
+    table = [(n, float(b), float(s), float(b / s), math.erfc(abs(b / s) / math.sqrt(2))) for n, b, s in zip(names, beta, se, strict=True)]
+    return df.sparkSession.createDataFrame(table, "term string, beta double, se double, z double, p double")
+
+
+def prewhitened_glm(rows: DataFrame, design: list[list[float]], taper: int | None = None) -> DataFrame:
+    """(voxel_id, beta, se) of packed series on a design, with noise correlated in time.
+
+    Residuals of least squares give autocorrelations up to ``taper`` lags (2 sqrt(T) if not given),
+    tapered by a cosine; the covariance V that they form whitens series and design for a second fit.
+    """
+    x = np.asarray(design, float)
+    t, k = x.shape
+    m = min(t - 1, taper or int(2 * np.sqrt(t)))
+    inverse = np.linalg.pinv(x)
+    lag = np.abs(np.subtract.outer(np.arange(t), np.arange(t)))
+
+    def kernel(y: np.ndarray) -> np.ndarray:
+        r = y - y @ inverse.T @ x.T
+        out = []
+        for own, rest in zip(y, r, strict=True):
+            c = np.array([rest[: t - i] @ rest[i:] for i in range(m + 1)])
+            rho = c / c[0] * (1 + np.cos(np.pi * np.arange(m + 1) / m)) / 2 if c[0] > 1e-300 and m else np.eye(1, m + 1)[0]
+            v = np.where(lag <= m, rho[np.minimum(lag, m)], 0.0)
+            values, vectors = np.linalg.eigh(v)
+            w = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
+            wx, wy = w @ x, w @ own
+            gram = np.linalg.pinv(wx.T @ wx)
+            beta = gram @ wx.T @ wy
+            s2 = ((wy - wx @ beta) ** 2).sum() / max(1, t - k)
+            out.append(np.concatenate([beta, np.sqrt(np.maximum(np.diag(gram) * s2, 0))]))
+        return np.array(out)
+
+    return mapped(rows, kernel).select("voxel_id", F.slice("series", 1, k).alias("beta"), F.slice("series", k + 1, k).alias("se"))

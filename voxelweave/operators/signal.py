@@ -87,16 +87,21 @@ def mapped(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataF
     return rows.select("voxel_id", "series").mapInPandas(run, "voxel_id long, series array<double>")
 
 
-def bandpass(rows: DataFrame, low_hz: float, high_hz: float, dt: float) -> DataFrame:
-    """Keeps the frequencies from low to high, after zero padding to a power of two."""
+def bandpass(rows: DataFrame, low_hz: float, high_hz: float, dt: float, retrend: bool = False) -> DataFrame:
+    """Keeps the frequencies from low to high, after zero padding to a power of two.
+
+    ``retrend`` takes the line of each series out before and puts it back after.
+    """
 
     def kernel(x: np.ndarray) -> np.ndarray:
         n = 1 << max(1, (x.shape[1] - 1).bit_length())
-        f = np.fft.rfft(x, n)
+        t = np.arange(x.shape[1]) - (x.shape[1] - 1) / 2
+        line = x.mean(axis=1, keepdims=True) + (x @ t / max(t @ t, 1e-300))[:, None] * t if retrend else 0.0
+        f = np.fft.rfft(x - line, n)
         first, last = int(np.ceil(low_hz * n * dt)), int(np.floor(high_hz * n * dt))
         keep = np.zeros(f.shape[1], dtype=bool)
         keep[first : last + 1] = True
-        return np.fft.irfft(f * keep, n)[:, : x.shape[1]]
+        return np.fft.irfft(f * keep, n)[:, : x.shape[1]] + line
 
     return mapped(rows, kernel)
 
@@ -141,19 +146,142 @@ def lagged_correlation(rows: DataFrame, other: list[float]) -> DataFrame:
 def dfa(rows: DataFrame) -> DataFrame:
     """Detrended fluctuation exponent: slope of log F against log n for boxes from 4 to a quarter."""
 
+    return fluctuations(rows).groupBy("voxel_id").agg(F.regr_slope("f", "n").alias("alpha"))
+
+
+def exact_bandpass(rows: DataFrame, low_hz: float, high_hz: float, dt: float) -> DataFrame:
+    """Keeps the frequencies from low to high and the mean, without padding."""
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        f = np.fft.rfft(x, axis=1)
+        k = np.arange(f.shape[1])
+        keep = (k >= np.ceil(low_hz * n * dt)) & (k <= np.floor(high_hz * n * dt)) | (k == 0)
+        return np.fft.irfft(f * keep, n, axis=1)
+
+    return mapped(rows, kernel)
+
+
+def regressed(rows: DataFrame, regressors: list[list[float]]) -> DataFrame:
+    """(voxel_id, series, beta): what linear regression on several regressors leaves, and its weights.
+
+    The regressors are a bounded table, a row a time point; their pseudo-inverse goes to the tasks.
+    """
+    x = np.asarray(regressors, float)
+    x = x if x.shape[0] >= x.shape[1] else x.T
+    inverse, k = np.linalg.pinv(x), x.shape[1]
+
+    def kernel(b: np.ndarray) -> np.ndarray:
+        beta = b @ inverse.T
+        return np.concatenate([beta, b - beta @ x.T], axis=1)
+
+    out = mapped(rows, kernel)
+    return out.select("voxel_id", F.slice("series", k + 1, x.shape[0]).alias("series"), F.slice("series", 1, k).alias("beta"))
+
+
+def resting_state(series: DataFrame, target: float = 1000.0, band: tuple[float, float] | None = (0.01, 0.1), dt: float = 1.0, smooth=None, regress: bool = True) -> DataFrame:
+    """Resting-state preparation of (voxel_id, t, value): intensity normalisation, detrending with the
+    mean kept, smoothing by a function on series, band-pass and global regression, each if asked for."""
+    from .aggregate import median_normalised
+
+    out = detrend(median_normalised(series, target), add_mean=True)
+    if smooth is not None:
+        out = smooth(out)
+    if band is not None:
+        out = unpacked(bandpass(packed(out), *band, dt))
+    return global_regress(out) if regress else out
+
+
+def cross_correlation(rows: DataFrame, other: list[float], normalised: bool = True, means: bool = True) -> DataFrame:
+    """Sum of products with one given series over n - 1, with or without means, or the correlation."""
+    ref = np.asarray(other, float)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        a, b = (x - x.mean(axis=1, keepdims=True), ref - ref.mean()) if means else (x, ref)
+        c = a @ b / max(1, len(ref) - 1)
+        if normalised:
+            c = c * max(1, len(ref) - 1) / np.maximum(np.linalg.norm(a, axis=1) * np.linalg.norm(b), 1e-300)
+        return c[:, None]
+
+    return mapped(rows, kernel).select("voxel_id", F.col("series")[0].alias("r"))
+
+
+def circular_correlation(rows: DataFrame, other: list[float]) -> DataFrame:
+    """Sums of products with one given series at every circular lag, by transforms."""
+    ref = np.conj(np.fft.rfft(np.asarray(other, float)))
+    return mapped(rows, lambda x: np.fft.irfft(np.fft.rfft(x, axis=1) * ref, x.shape[1], axis=1))
+
+
+def tapered(rows: DataFrame, window: str = "welch") -> DataFrame:
+    """Series times a taper: 'constant' or 'welch', 1 - (2 j / (n - 1) - 1)^2."""
+    j = lambda i: 2 * i / F.nullif(F.size("series") - 1, F.lit(0)) - 1
+    weight = (lambda i: F.lit(1.0)) if window == "constant" else (lambda i: 1 - j(i) * j(i))
+    return rows.select("voxel_id", F.transform("series", lambda x, i: x * weight(i)).alias("series"))
+
+
+def fluctuations(rows: DataFrame) -> DataFrame:
+    """(voxel_id, n, f): log10 of each box size and of the detrended fluctuation."""
+
     def kernel(x: np.ndarray) -> np.ndarray:
         y = np.cumsum(x - x.mean(axis=1, keepdims=True), axis=1)
-        total = y.shape[1]
-        sizes = np.unique(np.floor(4 * 2 ** (np.arange(0, 200) / 8)).astype(int))
-        sizes = sizes[sizes <= max(4, total // 4)]
-        logs = []
-        for n in sizes:
-            boxes = y[:, : total // n * n].reshape(len(y), -1, n)
+        out = []
+        for n in box_sizes(y.shape[1]):
+            boxes = y[:, : y.shape[1] // n * n].reshape(len(y), -1, n)
             t = np.arange(n) - (n - 1) / 2
-            slope = boxes @ t / (t @ t)
-            rest = boxes - boxes.mean(axis=2, keepdims=True) - slope[:, :, None] * t
-            logs.append(0.5 * np.log10((rest**2).mean(axis=(1, 2)) + 1e-300))
-        u = np.log10(sizes) - np.log10(sizes).mean()
-        return ((np.stack(logs, axis=1) @ u) / max(u @ u, 1e-300))[:, None]
+            rest = boxes - boxes.mean(axis=2, keepdims=True) - (boxes @ t / (t @ t))[:, :, None] * t
+            out += [np.full(len(y), np.log10(n)), 0.5 * np.log10((rest**2).mean(axis=(1, 2)) + 1e-300)]
+        return np.stack(out, axis=1)
 
-    return mapped(rows, kernel).select("voxel_id", F.col("series")[0].alias("alpha"))
+    each = mapped(rows, kernel).select("voxel_id", "series", F.explode(F.sequence(F.lit(0), (F.size("series") / 2).cast("int") - 1)).alias("k"))
+    return each.select("voxel_id", F.element_at("series", 2 * F.col("k") + 1).alias("n"), F.element_at("series", 2 * F.col("k") + 2).alias("f"))
+
+
+def box_sizes(total: int) -> np.ndarray:
+    sizes = np.unique(np.floor(4 * 2 ** (np.arange(0, 200) / 8)).astype(int))
+    return sizes[sizes <= max(4, total // 4)]
+
+
+def gamma_response(rows: DataFrame, dt: float, baseline: int = 1) -> DataFrame:
+    """Amplitude, time to peak and largest value of k * gamma density(alpha, beta) over a baseline.
+
+    The fit is by Levenberg-Marquardt on (ln k, ln(alpha - 1), ln beta) from a few starting shapes,
+    of which each series keeps the best; ``ssd`` is what it leaves.
+    """
+    import math
+
+    from .fits import levenberg
+
+    lgamma = np.vectorize(math.lgamma)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        base = x[:, :baseline].mean(axis=1, keepdims=True)
+        y = x - base
+        t = (np.arange(x.shape[1]) + 1e-3) * dt
+
+        def density(p: np.ndarray) -> np.ndarray:
+            a, b = 1 + np.exp(np.clip(p[:, 1:2], -5, 5)), np.exp(np.clip(p[:, 2:3], -6, 6))
+            return np.exp(np.clip((a - 1) * np.log(t) - t / b - a * np.log(b) - lgamma(a), -700, 50))
+
+        def model(p: np.ndarray):
+            value = p[:, :1] * density(p)
+            slope = [density(p)]
+            for i in (1, 2):
+                up = p.copy()
+                up[:, i] += 1e-5
+                slope.append((p[:, :1] * density(up) - value) / 1e-5)
+            return value, np.stack(slope, axis=2)
+
+        best, least = None, np.full(len(y), np.inf)
+        for peak in (0.1, 0.25, 0.5):
+            at = np.tile([0.0, np.log(4.0), np.log(max(peak * t[-1] / 4, 1e-2))], (len(y), 1))
+            d = density(at)
+            at[:, 0] = (d * y).sum(axis=1) / (d * d).sum(axis=1)
+            p, _ = levenberg(model, at, y, np.ones_like(y))
+            ssd = ((y - model(p)[0]) ** 2).sum(axis=1)
+            best = p if best is None else np.where((ssd < least)[:, None], p, best)
+            least = np.minimum(least, ssd)
+        a, b = 1 + np.exp(np.clip(best[:, 1], -5, 5)), np.exp(np.clip(best[:, 2], -6, 6))
+        return np.stack([best[:, 0], a, b, (a - 1) * b, model(best)[0].max(axis=1), least], axis=1)
+
+    out = mapped(rows, kernel)
+    return out.select("voxel_id", *[F.col("series")[i].alias(n) for i, n in enumerate(("k", "alpha", "beta", "time_to_peak", "top", "ssd"))])

@@ -456,3 +456,6 @@ def _(s, d):
 def _(s, d):
     votes = tb.series(s, d).select("voxel_id", F.col("t").alias("rater"), (F.col("value") > 0).cast("int").alias("v"))
     return geometry.staple(votes)[0]
+
+
+from . import imaging  # noqa: E402, F401  (registers its queries here)
