@@ -161,3 +161,20 @@ def test_fusion_of_all_volumes(spark, sf):
             break
     got = {r["voxel_id"]: r["w"] for r in catalog.QUERIES["label_fusion"](spark, sf).collect()}
     assert got == {i: pytest.approx(y, abs=1e-4) for i, y in zip(x["vec_id"], w, strict=True)}
+
+
+def test_the_supplier_graph_is_not_empty_at_any_scale(spark):
+    for sf in ("sf0.001", "sf0.1"):
+        e = catalog._graph(spark, f"/root/testdata/{sf}")
+        found, every = e.count(), catalog.tb.edges(spark, f"/root/testdata/{sf}").count()
+        assert 0 < found < every
+
+
+def test_classify_and_mask(spark):
+    near = spark.createDataFrame([(1, 3), (1, 3), (1, 2), (2, 5), (2, 4)], "id long, label int")
+    assert {r["id"]: (r["label"], round(r["share"], 3)) for r in cluster.classify(near).collect()} == {1: (3, 0.667), 2: (4, 0.5)}
+    from voxelweave.operators import aggregate
+
+    series = spark.createDataFrame([(v, t, 1.0) for v in range(3) for t in range(2)], "voxel_id long, t int, value double")
+    mask = spark.createDataFrame([(0, 0), (1, 1), (2, 5)], "voxel_id long, m int")
+    assert {r["voxel_id"] for r in aggregate.apply_mask(series, mask).collect()} == {1, 2}

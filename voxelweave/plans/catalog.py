@@ -25,7 +25,7 @@ PARTS = {
     "vox": "vox AS (SELECT voxel_id, voxel_id % 8 AS x, (voxel_id // 8) % 8 AS y, voxel_id // 64 AS z, t, value FROM s)",
     "e0": "e0 AS (SELECT DISTINCT l_orderkey, l_suppkey AS src FROM lineitem)",
     "e": "e AS (SELECT a.src, b.src AS dst, count(*)::DOUBLE AS weight FROM e0 a JOIN e0 b USING (l_orderkey) WHERE a.src < b.src GROUP BY ALL)",
-    "g": "g AS (SELECT * FROM e WHERE weight >= (SELECT quantile_disc(weight, 0.5) FROM e))",
+    "g": "g AS (SELECT * FROM e WHERE weight >= (SELECT quantile_disc(weight, 0.75) FROM e))",
     "two": "two AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)",
     "decay": "decay AS (SELECT l_orderkey AS voxel_id, l_linenumber::DOUBLE AS t, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)",
 }
@@ -262,9 +262,9 @@ def _(s, d):
 
 
 def _graph(s, d):
-    """The supplier graph's edges of at least median weight: a share of it at every scale."""
+    """The supplier graph's edges from the upper quartile of weights on: a share of it at every scale."""
     e = tb.edges(s, d)
-    middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY weight)").alias("m"))  # one row
+    middle = e.agg(F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY weight)").alias("m"))  # one row
     return e.crossJoin(F.broadcast(middle)).filter("weight >= m").drop("m")
 
 
