@@ -85,6 +85,40 @@ def test_short_documents_fill_sequences(spark, hot):
     assert max(sums.values()) <= 4096 and len(sums) <= 1.05 * least + 1, (len(sums), least)
 
 
+def test_short_documents_meet_the_same_gaps_again(spark):
+    from voxelweave.llm.scratch import Scratch
+
+    lengths = [4050] * 200 + [20] * 390 + [32] * 5 + [11] * 40  # a gap of 46 holds two of them or four
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    sums = Counter()
+    for r in packing.best_fit(df, Scratch(spark, "t")).collect():
+        sums[r["sequence_id"]] += r["length"]
+    assert sum(sums.values()) == sum(lengths) and max(sums.values()) <= 4096
+    assert len(sums) == 201
+
+
+def test_ranks_without_a_gap_fill_sequences():
+    lengths = sorted(np.random.default_rng(5).integers(3, 40, 5000).tolist(), reverse=True)
+    counts = Counter((x, 1, 0, k % 3) for k, x in enumerate(lengths))
+    plan = packing.Sweep([(*k, n) for k, n in counts.items()], 39, 100)
+    rows = {(r["v"], r["salt"]): r for r in plan.table.to_pylist()}
+    at, sums = {}, Counter()
+    for v, _, _, salt in sorted(counts, key=lambda k: (-k[0], k[3])):
+        r = rows[v, salt]
+        for rank in range(1, counts[v, 1, 0, salt] + 1):
+            k = rank - r["depth"] - 1 - r["begin"]
+            s = r["started"] if k < r["more"] else r["next"] + (k - r["more"]) // r["per"]
+            at[len(at)] = s
+            sums[s] += v
+    want, number, room = {}, -1, 0
+    for k, v in enumerate(lengths):
+        if room < v:
+            number, room = number + 1, 100
+        room -= v
+        want[k] = number
+    assert at == want and max(sums.values()) <= 100 and plan.without_gap == len(lengths)
+
+
 def test_empty_tables(empty):
     assert packing.pack_documents(empty).count() == 0
     assert byte_bpe.encode(empty).count() == 0

@@ -6,8 +6,10 @@ gap that is still free (its successor), which is the matching of brackets with g
 and documents as closing ones.  The sweep is distributed: prefix sums over the at most
 ``capacity`` sizes give each row its depth, and rows of one depth alternate, so a window over
 the depth finds the partner.  Rank resolves conflicts: the k-th document of a size meets the
-k-th free gap.  Documents without a gap open sequences, longest first and only as many as their
-tokens need; the gaps are updated, and what is left of the class meets them again until none is.
+k-th free gap.  Documents without a gap fill new sequences one after another, longest first, by
+their rank among those; the gaps are updated, and the next class meets them.  In a class whose
+longest documents are twice as long as its shortest, a gap can take more than the sweep gave it:
+there, documents without a gap meet the updated gaps again as long as that places any of them.
 
 Every table of a round is keyed by sequence or by depth, so none has a hot key, and sizes that
 many rows share are ranked in salted parts.
@@ -110,24 +112,45 @@ def classes(histogram: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def depths(parts: list[tuple], high: int) -> tuple[pa.Table, int]:
-    """Depth of the sweep before each (size, kind, gap, salt) part, and the slots of the first run.
+class Sweep:
+    """What a sweep will do, from the counts of its (size, kind, gap, salt) parts.
 
-    There are at most 2 * capacity * SALTS parts, whatever the number of rows.
+    There are at most 2 * capacity * SALTS parts, whatever the number of rows.  A document that
+    brings the depth below all before it finds no gap, and -depth is its rank among those.
     """
-    depth = slots = 0
-    out = []
-    for v, kind, gap, salt, n in sorted(parts, key=lambda x: (-x[0], x[1], -x[2], x[3])):
-        out.append((v, kind, gap, salt, depth))
-        depth += -n if kind else n
-        slots += n if not kind and v == high else 0
-    columns = list(zip(*out, strict=True))
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    names = ("v", "kind", "gap", "salt", "depth")
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types, strict=True)}), slots
-
-
-def sweep(docs: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int, round_no: int) -> DataFrame:
+
+    def __init__(self, parts: list[tuple], high: int, capacity: int):
+        self.slots = self.wanted = self.lowest = 0
+        depth, rows, alone = 0, [], {}
+        for v, kind, gap, salt, n in sorted(parts, key=lambda x: (-x[0], x[1], -x[2], x[3])):
+            rows.append((v, kind, gap, salt, depth))
+            depth += -n if kind else n
+            if kind:
+                self.wanted += n
+                alone.setdefault(v, [-self.lowest, 0])[1] += max(0, self.lowest - depth)
+                self.lowest = min(self.lowest, depth)
+            elif v == high:
+                self.slots += n
+        fills, last, room = {}, -1, 0
+        for v, (begin, n) in alone.items():  # lengths from long to short
+            more = min(n, room // v)
+            per = capacity // v
+            fills[v] = (begin, more, last, last + 1, per)
+            room -= more * v
+            if n > more:
+                last += -(-(n - more) // per)
+                room = capacity - ((n - more - 1) % per + 1) * v
+        names = ("v", "kind", "gap", "salt", "depth", "begin", "more", "started", "next", "per")
+        types = (pa.int64(), pa.int32(), *[pa.int64()] * 8)
+        columns = zip(*[(*r, *(fills[r[0]] if r[1] else [None] * 5)) for r in rows], strict=True)
+        self.table = pa.table({k: pa.array(c, t) for k, c, t in zip(names, columns, types, strict=True)})
+
+    @property
+    def without_gap(self) -> int:
+        return -self.lowest
+
+
+def sweep(docs: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int, round_no: int) -> tuple[DataFrame, Sweep]:
     """Documents of one class with the sequence that each goes to; ``opened`` marks new ones."""
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
     payload = [c for c in docs.columns if c != "item_id"]
@@ -145,32 +168,37 @@ def sweep(docs: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
     events = opening.unionByName(closing)
     part = ["v", "kind", "gap", "salt"]
     counted = events.groupBy(*part).agg(F.sum("k").alias("n")).collect()
-    table, slots_at_top = depths([tuple(r) for r in counted], high)
-    wanted = sum(r["n"] for r in counted if r["kind"])
+    plan = Sweep([tuple(r) for r in counted], high, capacity)
     rank = Window.partitionBy(*part).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = events.withColumn("rank", F.sum("k").over(rank)).join(F.broadcast(docs.sparkSession.createDataFrame(table)), part)
+    ranked = events.withColumn("rank", F.sum("k").over(rank)).join(F.broadcast(docs.sparkSession.createDataFrame(plan.table)), part)
     top = F.col("depth") + F.col("rank")
+    alone = F.col("rank") - F.col("depth") - 1 - F.col("begin")  # rank among those of its length without a gap
+    fill = F.when(alone < F.col("more"), F.col("started")).otherwise(
+        F.col("next") + F.floor((alone - F.col("more")) / F.col("per"))
+    )
+    columns = ["level", "v", "kind", "id", "doc", "fill"]
     slots = (
         ranked.filter("kind = 0")
-        .filter((F.col("v") < high) | (top > slots_at_top - wanted))  # deeper ones stay free
+        .filter((F.col("v") < high) | (top > plan.slots - plan.wanted))  # deeper ones stay free
         .withColumn("level", F.explode(F.sequence(top - F.col("k") + 1, top)))
-        .select("level", "v", "kind", "id", "doc")
+        .withColumn("fill", F.lit(None).cast("long"))
+        .select(columns)
     )
     levels = slots.unionByName(
-        ranked.filter("kind = 1").withColumn("level", F.col("depth") - F.col("rank") + 1).select("level", "v", "kind", "id", "doc")
+        ranked.filter("kind = 1").withColumn("level", F.col("depth") - F.col("rank") + 1).withColumn("fill", fill).select(columns)
     )
     by_level = Window.partitionBy("level").orderBy(F.desc("v"), "kind")
     found = levels.select(
-        "level", "kind", "id", "doc",
+        "kind", "id", "doc", "fill",
         F.lag("kind").over(by_level).alias("before_kind"), F.lag("id").over(by_level).alias("gap_of"),
     ).filter("kind = 1")
     matched = F.coalesce(F.col("before_kind") == 0, F.lit(False))
-    new_id = F.lit(round_no).cast("long") * F.lit(1 << 44) + F.floor(-F.col("level") / (capacity // high))
+    new_id = F.lit(round_no).cast("long") * F.lit(1 << 44) + F.col("fill")
     return found.select(
         F.col("id").alias("item_id"), "doc.*",
         F.when(matched, F.col("gap_of")).otherwise(new_id).cast("long").alias("sequence_id"),
         (~matched).alias("opened"),
-    )
+    ), plan
 
 
 def no_gaps(spark: SparkSession) -> DataFrame:
@@ -190,27 +218,26 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> D
         raise ValueError(f"lengths must be from 1 to {capacity}")
     gaps: DataFrame | None = None
     placed: list[DataFrame] = []
-    todo = classes(histogram, capacity)
     number = 0
-    for low, high in todo:
-        docs = items.filter(F.col("length").between(low, high))
-        while high:
+    for low, high in classes(histogram, capacity):
+        docs: DataFrame | None = items.filter(F.col("length").between(low, high))
+        while docs is not None:
             number += 1
-            first = F.lit(number).cast("long") * F.lit(1 << 44)
-            apart = gaps is None and 2 * low > capacity  # no two of them go together
-            if apart:
-                found = docs.withColumn("sequence_id", first + F.col("item_id")).withColumn("opened", F.lit(True))
+            again = False
+            if gaps is None and 2 * low > capacity:  # no two of them go together; other ids are positive
+                found = docs.withColumn("sequence_id", -1 - F.col("item_id")).withColumn("opened", F.lit(True))
             else:
-                found = sweep(docs, gaps if gaps is not None else no_gaps(spark), low, high, capacity, number)
+                found, plan = sweep(docs, no_gaps(spark) if gaps is None else gaps, low, high, capacity, number)
+                again = 2 * low <= high and 0 < plan.without_gap < plan.wanted
             found = scratch.put(found, f"placed-{high}")
-            done, high = found, 0
-            if not apart:
-                tokens = found.filter("opened").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-                waits = F.col("opened") & (F.col("sequence_id") - first >= -(-tokens // capacity))
-                done, docs = found.filter(~waits), found.filter(waits).drop("sequence_id", "opened")
-                high = docs.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-            placed.append(done.drop("opened"))
-            used = done.select("sequence_id", (-F.col("length")).alias("gap"), "opened")
+            docs = None
+            if again:
+                docs = found.filter("opened").drop("sequence_id", "opened")
+                found = found.filter("NOT opened")
+            placed.append(found.drop("opened"))
+            if docs is None and low <= min(histogram):
+                break  # nothing is left that could meet the gaps
+            used = found.select("sequence_id", (-F.col("length")).alias("gap"), "opened")
             old, every = gaps, used
             if old is not None:
                 every = old.withColumn("opened", F.lit(False)).unionByName(used)
