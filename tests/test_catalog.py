@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxelweave.operators import cluster, connectivity, fits, graph, signal
+from voxelweave.operators import aggregate, cluster, connectivity, fits, graph, signal
 from voxelweave.plans import catalog
 
 
@@ -20,6 +20,31 @@ def test_query_equals_sql(spark, duck, sf, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, atol=2e-6)
 
 
+@pytest.mark.parametrize("discrete", [False, True])
+def test_quantiles_equal_sorted_lists(spark, discrete):
+    r = np.random.default_rng(5)
+    data = [("hot", float(v)) for v in r.integers(0, 40, 4000)] + [("real", float(v)) for v in r.normal(size=777)]
+    data += [("tie", 2.5)] * 301 + [("one", -1.0), (None, 1.0), (None, 4.0), ("none", None), ("hot", None)]
+    df = spark.createDataFrame(data, "k string, value double")
+    fractions = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {x["k"]: x for x in aggregate.exact_quantiles(df, ["k"], fractions, discrete).collect()}
+    assert set(got) == {"hot", "real", "tie", "one", None, "none"}
+    assert all(got["none"][n] is None for n in fractions)
+    for k in set(got) - {"none"}:
+        values = [v for g, v in data if g == k and v is not None]
+        for n, q in fractions.items():
+            assert got[k][n] == pytest.approx(np.quantile(values, q, method="inverted_cdf" if discrete else "linear"))
+
+
+def test_statistics_of_no_values(spark):
+    none = spark.createDataFrame([], "k string, value double")
+    assert aggregate.vector_stats(none).first().asDict() == {"n": 0, "mean": None, "sd": None, "median": None, "low": None, "high": None}
+    assert aggregate.iqr_bounds(none, ["k"]).count() == 0 and aggregate.median_deviation(none, ["k"]).count() == 0
+    assert aggregate.median_normalised(none).count() == 0
+    own = spark.createDataFrame([(None, 1.0), (None, 4.0), (None, 5.0)], "k string, value double")
+    assert aggregate.median_deviation(own, ["k"]).first().asDict() == {"k": None, "median": 4.0, "mad": 1.0}
+
+
 def rows(spark, series):
     return spark.createDataFrame([(i, [float(v) for v in s]) for i, s in enumerate(series)], "voxel_id long, series array<double>")
 

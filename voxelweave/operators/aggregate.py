@@ -5,6 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
+
+def exact_quantiles(df: DataFrame, by: list[str], fractions: dict[str, float], discrete: bool = False) -> DataFrame:
+    """Exact quantiles of ``value`` per group, by name; interpolated, or (discrete) the first value
+    whose share of values up to it reaches the fraction.
+
+    Values are counted, dealt by range of (group, value) and checkpointed.  The sizes of the ranges
+    tell which of them hold a wanted rank, and only those are put in order, so no task holds more
+    than a range of distinct values, however large a group is.  Nulls do not count; null keys are a
+    group; a group without values has null quantiles, and with no ``by`` there is always one row.
+    """
+    spark = df.sparkSession
+    group = F.struct(*[F.col(c) for c in by] or [F.lit(0).alias("all")]).alias("g")
+    counts = df.select(group, F.col("value").cast("double").alias("value")).groupBy("g", "value").agg(F.count("value").alias("n"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(counts.repartitionByRange(ranges, "g", "value").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy("g")
+    before = inside.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("g", "part").agg(F.sum("n").alias("size"))  # ``ranges`` rows a group at most
+    sizes = sizes.select("g", "part", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"), F.sum("size").over(inside).alias("total"))
+    place = {name: F.greatest(F.ceil(F.col("total") * q) - 1, F.lit(0)).cast("double") if discrete else (F.col("total") - 1) * F.lit(float(q)) for name, q in fractions.items()}
+    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)]))
+    held = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("size")))
+    hits = sizes.withColumn("ranks", held).filter((F.size("ranks") > 0) | (F.col("total") == 0)).drop("size")
+    upto = Window.partitionBy("g", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.join(hits, ["g", "part"]).withColumn("last", F.col("before") + F.sum("n").over(upto))
+    mine = F.filter("ranks", lambda r: (r >= F.col("last") - F.col("n")) & (r < F.col("last")))
+    picked = rows.select("g", "total", "value", F.explode_outer(mine).alias("rank"))
+    at = lambda f, p: F.max(F.when(F.col("rank") == f(p).cast("long"), F.col("value")))
+    ends = picked.groupBy("g", "total").agg(*[at(f, p).alias(f"{name} {k}") for name, p in place.items() for k, f in (("low", F.floor), ("high", F.ceil))])
+    between = lambda name, p: F.when(F.col(f"{name} low") == F.col(f"{name} high"), F.col(f"{name} low")).otherwise(
+        F.col(f"{name} low") + (F.col(f"{name} high") - F.col(f"{name} low")) * (p - F.floor(p))
+    )
+    out = ends.select(*[F.col(f"g.{c}").alias(c) for c in by], *[between(name, p).alias(name) for name, p in place.items()])
+    return out if by else out.agg(*[F.max(name).alias(name) for name in fractions])
+
 
 def voxel_count(df: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Count, sum and mean of the values at or above a threshold."""
@@ -33,10 +70,14 @@ def global_signal(series: DataFrame) -> DataFrame:
 
 
 def vector_stats(df: DataFrame) -> DataFrame:
-    return df.agg(
+    """Count, moments, exact median and bounds of all values; nulls do not count, an empty table
+    gives n = 0 and nulls."""
+    stats = df.agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-        F.median("value").alias("median"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
     )
+    middle = exact_quantiles(df, [], {"median": 0.5})
+    return stats.crossJoin(F.broadcast(middle)).select("n", "mean", "sd", "median", "low", "high")  # one row each
 
 
 def peak_per_volume(series: DataFrame) -> DataFrame:
@@ -101,20 +142,25 @@ def histogram(df: DataFrame, bins: int = 1000, low: float = 0.0, high: float = 1
 
 
 def median_normalised(df: DataFrame, target: float = 1000.0) -> DataFrame:
-    """Values scaled so that the element n/2 of the sorted values equals ``target``."""
-    middle = df.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("m"))
+    """Values scaled so that the element n/2 of the sorted values equals ``target``; nulls stay null."""
+    middle = exact_quantiles(df, [], {"m": 0.5}, discrete=True)
     return df.crossJoin(F.broadcast(middle)).withColumn("value", F.col("value") * target / F.col("m")).drop("m")  # one row
 
 
 def iqr_bounds(df: DataFrame, by: list[str]) -> DataFrame:
-    q1, q3 = F.percentile("value", 0.25), F.percentile("value", 0.75)
-    return df.groupBy(*by).agg((q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"))
+    """Quartiles less and plus 1.5 times their distance, per group; null for groups without values."""
+    q1, q3 = F.col("q1"), F.col("q3")
+    found = exact_quantiles(df, by, {"q1": 0.25, "q3": 0.75})
+    return found.select(*by, (q1 - 1.5 * (q3 - q1)).alias("low"), (q3 + 1.5 * (q3 - q1)).alias("high"))
 
 
 def median_deviation(df: DataFrame, by: list[str]) -> DataFrame:
-    """Median and median absolute deviation per group."""
-    mid = df.groupBy(*by).agg(F.median("value").alias("median"))
-    return df.join(mid, by).groupBy(*by, "median").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
+    """Exact median and median absolute deviation per group; null for groups without values."""
+    mid = exact_quantiles(df, by, {"median": 0.5})
+    theirs = mid.select(*[F.col(c).alias(f"mid {c}") for c in by], "median")
+    same = [F.col(c).eqNullSafe(F.col(f"mid {c}")) for c in by]
+    away = df.select(*by, "value").join(theirs, same).select(*by, "median", F.abs(F.col("value") - F.col("median")).alias("value"))
+    return exact_quantiles(away, [*by, "median"], {"mad": 0.5})
 
 
 def overlap(pairs: DataFrame) -> DataFrame:
