@@ -46,20 +46,21 @@ def triangles(edges: DataFrame) -> DataFrame:
     """Triangles (a, b, c, product of the three weights), each once.
 
     A triangle is found from the corner that precedes the others by (degree, id), which keeps the
-    pairs of neighbours of hubs few.
+    pairs of neighbours of hubs few.  The directed edges meet three times, so they are checkpointed;
+    pairs look their closing edge up in hashed parts of the edges and are never sorted.
     """
     deg = degree(edges).select("node", F.col("degree").alias("k"))
-    key = lambda n, k: F.struct(F.col(k), F.col(n))
+    precedes = lambda m, km, n, kn: (F.col(km) < F.col(kn)) | ((F.col(km) == F.col(kn)) & (F.col(m) < F.col(n)))
     known = edges.select("src", "dst", "weight").join(deg.withColumnsRenamed({"node": "src", "k": "ks"}), "src").join(deg.withColumnsRenamed({"node": "dst", "k": "kd"}), "dst")
-    first = key("src", "ks") < key("dst", "kd")
-    out = known.select(
+    first = precedes("src", "ks", "dst", "kd")
+    out = cut(known.select(
         F.when(first, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("b"),
         F.when(first, F.col("kd")).otherwise(F.col("ks")).alias("kb"), F.col("weight").alias("wb"),
-    )
+    ))
     other = out.select("a", F.col("b").alias("c"), F.col("kb").alias("kc"), F.col("wb").alias("wc"))
-    wedges = out.join(other, "a").filter(key("b", "kb") < key("c", "kc"))
+    wedges = out.join(other, "a").filter(precedes("b", "kb", "c", "kc"))
     closed = out.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("wb").alias("w"))
-    return wedges.join(closed, ["b", "c"]).select("a", "b", "c", (F.col("wb") * F.col("wc") * F.col("w")).alias("product"))
+    return wedges.join(closed.hint("shuffle_hash"), ["b", "c"]).select("a", "b", "c", (F.col("wb") * F.col("wc") * F.col("w")).alias("product"))
 
 
 def of_corners(found: DataFrame) -> DataFrame:
@@ -70,6 +71,7 @@ def of_corners(found: DataFrame) -> DataFrame:
 
 def clustering_binary(edges: DataFrame) -> DataFrame:
     """2 * links / (k (k - 1)) of every node with two neighbours or more."""
+    edges = cut(edges)
     deg = degree(edges).select("node", F.col("degree").alias("k"))
     c = 2 * F.coalesce("links", F.lit(0)) / (F.col("k") * (F.col("k") - 1))
     return deg.filter("k > 1").join(of_corners(triangles(edges)), "node", "left").select("node", c.alias("clustering"))
@@ -77,6 +79,7 @@ def clustering_binary(edges: DataFrame) -> DataFrame:
 
 def clustering_weighted(edges: DataFrame) -> DataFrame:
     """sum(w_ik w_il w_kl) / sum(w_ik w_il) over pairs of neighbours k, l of i."""
+    edges = cut(edges)
     sums = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("q"))
     pairs = sums.select("node", ((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).filter("pairs > 0")
     c = F.coalesce("closed", F.lit(0.0)) / F.col("pairs")
@@ -88,7 +91,7 @@ def clustering_directed(arcs: DataFrame) -> DataFrame:
     weights of both directions, over k (k - 1) - 2 r with total degree k and r mutual neighbours."""
     root = F.cbrt(F.col("weight"))
     pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
-    joined = arcs.filter("src <> dst").groupBy(*pair).agg(F.sum(root).alias("weight"), F.count("*").alias("n"))
+    joined = cut(arcs.filter("src <> dst").groupBy(*pair).agg(F.sum(root).alias("weight"), F.count("*").alias("n")))
     ends = joined.select(F.explode(F.array("src", "dst")).alias("node"), "n")
     deg = ends.groupBy("node").agg(F.sum("n").alias("k"), F.sum((F.col("n") - 1)).alias("mutual"))
     below = F.col("k") * (F.col("k") - 1) - 2 * F.col("mutual")
