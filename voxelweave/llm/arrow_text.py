@@ -72,9 +72,8 @@ class Words:
         return both.indices.to_numpy(), both.dictionary
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Maximal runs of bytes other than the six ASCII white-space characters."""
-    inside = ~IS_SPACE[data]
+def runs_of(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of bytes marked in ``inside``, none of them across two texts."""
     before = np.zeros(len(data), dtype=bool)
     before[1:] = inside[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
@@ -88,6 +87,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data[inside], starts, ends, offsets)
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Maximal runs of bytes other than the six ASCII white-space characters."""
+    return runs_of(data, ~IS_SPACE[data], offsets)
+
+
 def units_of(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> Words:
     """A text cut before every ASCII white-space run that follows something else.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op2_byte_bpe
+from .decontaminate import ORACLE as LEAK_SQL
+from .decontaminate import op11_decontamination
 from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
 from .hmm_lm import op6_hmm_scores
@@ -27,9 +29,11 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_decontamination": op11_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": RULES_SQL,
     "op8_exact_dedup": DEDUP_SQL,
     "op9_near_dedup": NEAR_SQL,
+    "op11_decontamination": LEAK_SQL,
 }
