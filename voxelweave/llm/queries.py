@@ -15,6 +15,8 @@ from .near_dedup import op9_near_dedup
 from .packing import op1_best_fit_packing
 from .quality_rules import ORACLE as RULES_SQL
 from .quality_rules import op3_quality_rules
+from .spelling import ORACLE as SPELLING_SQL
+from .spelling import op13_spelling_variants
 from .token_counts import op5_token_counts
 from .toxicity import op10_toxicity
 
@@ -30,10 +32,12 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_decontamination": op11_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": RULES_SQL,
     "op8_exact_dedup": DEDUP_SQL,
     "op9_near_dedup": NEAR_SQL,
     "op11_decontamination": LEAK_SQL,
+    "op13_spelling_variants": SPELLING_SQL,
 }
