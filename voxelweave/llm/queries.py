@@ -7,6 +7,8 @@ from .decontaminate import ORACLE as LEAK_SQL
 from .decontaminate import op11_decontamination
 from .exact_dedup import ORACLE as DEDUP_SQL
 from .exact_dedup import op8_exact_dedup
+from .hard_negatives import ORACLE as NEGATIVE_SQL
+from .hard_negatives import op12_hard_negatives
 from .hmm_lm import op6_hmm_scores
 from .html_text import op7_html_text
 from .importance import op4_importance_resampling
@@ -32,6 +34,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_decontamination": op11_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -39,5 +42,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": DEDUP_SQL,
     "op9_near_dedup": NEAR_SQL,
     "op11_decontamination": LEAK_SQL,
+    "op12_hard_negatives": NEGATIVE_SQL,
     "op13_spelling_variants": SPELLING_SQL,
 }
