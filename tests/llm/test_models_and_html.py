@@ -250,9 +250,48 @@ def test_texts_do_not_depend_on_the_partitions(spark):
     assert not any("Site name" in r[2] for r in found[0])
 
 
-def test_pages_of_the_table(spark, sf):
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>T</title><body><p>Body text", "Body text"),
+        ("<head><meta charset=x><p>Body text", "Body text"),
+        ("<html><head><title>T</title>Loose words<p>Body", "Loose words Body"),
+        ('<article><p class="advert">Buy now<p>Real text', "Real text"),
+        ('<ul><li class="ad">Buy<li>Real item</ul>', "Real item"),
+        ('<dl><dt class="ad">Buy<dd>Real item</dl>', "Real item"),
+        ('<table><tr class="ad"><td>Buy<tr><td class="promo">Buy<td>Real cell</table>', "Real cell"),
+        ('<ul><li class="ad">Buy<ul><li>Inner</ul>More<li>Real</ul>', "Real"),
+        ('<form id="aspnetForm"><article>The article</article><input></form>', "The article"),
+        ('<div class="widget-area"><article>The article</article></div>', "The article"),
+        ('<div class="page sidebar-left"><article>The article</article></div>', "The article"),
+        ('<div class="sidebar"><article>Teaser</article></div><article>The whole article</article>', "The whole article"),
+        ('<article>Text<article class="comment">First!</article></article>', "Text"),
+        ('<article>Text<div class="post-comments"><p>First!</div></article>', "Text"),
+        ('<article>Text<div class="comment-body">First!</div><div id="user-comments">Second</div></article>', "Text"),
+        ('<article>Text<div itemscope itemtype="https://schema.org/Comment">First!</div></article>', "Text"),
+        ('<article class="post comments-open">Text</article>', "Text"),
+        ("<aside><article>Teaser</article></aside>", ""),
+    ],
+)
+def test_page_by_page(page, want):
+    assert html_text.main_text(html_text.lines_of(page), []) == want
+
+
+def test_the_only_article_stays_whatever_neighbours_share(spark):
+    rows = [(i, f"http://h.example/{i}", f"<nav>Home</nav><article><p>One story in three editions</p><p>{'It ends.' if i else 'It begins.'}</p></article>") for i in range(3)]
+    rows.append((3, "http://h.example/3", "<article>One story in three editions</article>" + "<p>open words</p>" * 3))
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == "One story in three editions It ends." and got[0].endswith("It begins.") and got[3].startswith("One story")
+
+
+@pytest.mark.parametrize("folder", ["", "/root/testdata/sf0.1"])
+def test_pages_of_the_table(spark, sf, folder):
     import html
+    import os
 
+    sf = folder or sf
+    if not os.path.isdir(sf):
+        pytest.skip("no such table")
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op7_html_text"](spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         body = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)

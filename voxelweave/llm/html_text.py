@@ -10,10 +10,15 @@ nearest has the longer common path prefix.
 * A line that the nearest page shares is the host's furniture and goes.
 * The lines of an article or main element are judged together, because a paragraph that two
   articles share is still the text of each: they go if most of their characters are shared with
-  both neighbours, as those of a subscription box in such an element; the first and last page of
-  a host have one neighbour, which isn't enough for that.
+  both neighbours and the page has another such element that stays, as beside a subscription box in
+  such an element.  So a page's only article stays, whatever its neighbours share with it.
 * Lines in menus, headers, footers, sidebars, adverts, forms, notices or comments, by element,
-  role or name, go in any case: such furniture often differs from page to page.
+  role or name, go in any case: such furniture often differs from page to page.  An article within
+  a form, or within an element that only a name marks as furniture, stays if the page has no more
+  article text elsewhere.
+
+Elements end where HTML implies it: a paragraph at the next block, an item at the next item, the
+head at the first element of the body.
 """
 
 from __future__ import annotations
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, ensure_columns, read_table
 
-OPEN, ARTICLE, CHROME, NAMED = 0, 1, 2, 3
+#: HELD: an article within a form or an element that is furniture by its name.
+OPEN, ARTICLE, CHROME, NAMED, HELD = range(5)
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table"
@@ -39,7 +45,21 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea object canvas video audio title".split())
-DROPPED = frozenset("nav footer aside form menu dialog button select head search".split())
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: What a start tag ends, and the elements beyond which it does not look.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "tr": ({"tr"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"optgroup"}, {"select"}),
+} | dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl"})) | dict.fromkeys(("td", "th"), ({"td", "th"}, {"tr", "table"}))
+ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot"}, {"table"}))
+PARAGRAPH_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
+    " hgroup hr li main menu nav ol p pre search section summary table ul".split()
+)
+PARAGRAPH_SCOPE = frozenset("button caption table td th".split())
+DROPPED = frozenset("nav footer aside menu dialog button select head search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar note".split())
 #: A class or id names furniture if all its parts are words of the two lists, one of the first.
 FURNITURE = frozenset(
@@ -52,6 +72,9 @@ NEUTRAL = frozenset(
     "area articles bar block bottom box buttons container form global icons items left link links list main message page panel posts primary"
     " right secondary section sign site skip slot stories thread top unit up wrap wrapper".split()
 )
+COMMENT = frozenset("comment comments commentlist disqus respond".split())
+#: A name with one of these tells whether comments are there, and holds none.
+STATE = frozenset("allow allowed closed disabled enabled has no off on open with without".split())
 PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -63,33 +86,46 @@ def names_furniture(names: str, inside: int) -> bool:
     """Whether a class or id attribute has a name of furniture; 'header' is one outside articles only."""
     for name in names.split():
         parts = {x.lower() for x in PARTS.split(name) if x}
-        own = parts & FURNITURE or (inside != ARTICLE and "header" in parts)
+        own = parts & FURNITURE or (inside not in (ARTICLE, HELD) and "header" in parts)
         if own and parts <= FURNITURE | NEUTRAL | {"header"}:
             return True
     return False
 
 
+def names_comments(names: str) -> bool:
+    """Whether a class or id attribute names readers' comments."""
+    for name in names.split():
+        parts = {x.lower() for x in PARTS.split(name) if x}
+        if parts & COMMENT and not parts & STATE:
+            return True
+    return False
+
+
 def kind_of(tag: str, attributes: str, inside: int) -> int:
     """Kind of the lines of an element, from its own markup and the kind around it."""
-    if inside == CHROME or (inside == NAMED and tag != "main"):
-        return inside
-    if tag in ("article", "main"):
-        return ARTICLE
-    if tag in DROPPED or (tag == "header" and inside != ARTICLE):
+    if inside == CHROME:
         return CHROME
-    if not attributes or tag in ("html", "body"):
-        return inside
-    for name, value in ATTRIBUTE.findall(attributes):
+    article = tag in ("article", "main")
+    if tag in DROPPED or (tag == "header" and inside not in (ARTICLE, HELD)):
+        return CHROME
+    named = tag == "form"
+    for name, value in ATTRIBUTE.findall(attributes) if attributes and tag not in ("html", "body") else ():
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return CHROME
-        if name == "role" and value.lower() in ROLES:
+        if name == "role" and value.lower() in ROLES and not article:
             return CHROME
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return CHROME
-        if name in ("class", "id") and names_furniture(value, inside):
-            return NAMED
-    return inside
+        if name == "itemtype" and value.rstrip("/").endswith("/Comment"):
+            return CHROME
+        if name in ("class", "id"):
+            if names_comments(value):
+                return CHROME
+            named = named or (not article and names_furniture(value, inside))
+    if article:
+        return HELD if inside == HELD or (inside == NAMED and tag == "article") else ARTICLE
+    return NAMED if named else inside
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -104,9 +140,33 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
+                if stack and stack[-1][0] == "head":
+                    close(len(stack) - 1)
                 out.append((line, kind, region))
             text.clear()
 
+    def close(i: int) -> None:
+        """Ends the i-th open element and those within it."""
+        nonlocal kind, region
+        before = stack[i][1]
+        left = region and not any(x in ("article", "main") for x, _ in stack[:i])
+        if before != kind or left:
+            if stack[i][0] != "head":
+                flush()
+            kind, region = before, 0 if left else region
+        del stack[i:]
+
+    def end_implied(tag: str) -> None:
+        for ended, scope in ([({"p"}, PARAGRAPH_SCOPE)] if tag in PARAGRAPH_ENDS else []) + ([ENDS[tag]] if tag in ENDS else []):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in ended:
+                    close(i)
+                    break
+                if stack[i][0] in scope:
+                    break
+        if tag not in HEAD and stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     while True:
         m = MARKUP.search(page, at)
         if m is None:
@@ -124,14 +184,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush_needed = stack[i][1] != kind
-                    if flush_needed:
-                        flush()
-                    kind = stack[i][1]
-                    del stack[i:]
-                    if region and not any(k[0] in ("article", "main") for k in stack):
-                        flush()
-                        region = 0
+                    close(i)
                     break
             continue
         if tag in RAW:
@@ -139,6 +192,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        end_implied(tag)
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         stack.append((tag, kind))
@@ -151,7 +205,9 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             regions += 1
             region = regions
     flush()
-    return out
+    size = [sum(len(x) for x, k, _ in out if k == wanted) for wanted in (ARTICLE, HELD)]
+    held = ARTICLE if size[1] > size[0] else NAMED
+    return [(x, held if k == HELD else k, r) for x, k, r in out]
 
 
 def row_after(a: list, masks: dict, width: int, keep: list[int] | None = None) -> int:
@@ -227,7 +283,7 @@ def shared_lines(own: list[str], other: list[str]) -> set[int]:
 
 
 def furniture_regions(lines: list[tuple[str, int, int]], shared: list[set[int]]) -> set[int]:
-    """Article elements of whose characters both neighbours share more than half."""
+    """Article elements of whose characters both neighbours share more than half, if others stay."""
     size: dict[int, int] = {}
     common: list[dict[int, int]] = [{}, {}]
     for i, (x, k, region) in enumerate(lines):
@@ -235,7 +291,8 @@ def furniture_regions(lines: list[tuple[str, int, int]], shared: list[set[int]])
             size[region] = size.get(region, 0) + len(x)
             for own, places in zip(common, shared, strict=False):
                 own[region] = own.get(region, 0) + len(x) * (i in places)
-    return {r for r, n in size.items() if len(shared) == 2 and all(2 * own[r] > n for own in common)}
+    gone = {r for r, n in size.items() if len(shared) == 2 and all(2 * own[r] > n for own in common)}
+    return gone if len(gone) < len(size) else set()
 
 
 def main_text(lines: list[tuple[str, int, int]], near: list[list[tuple[str, int, int]]]) -> str:
