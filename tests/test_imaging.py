@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voxelweave.operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, sampling, signal
+from voxelweave.operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, power_law, sampling, signal
 from voxelweave.sources import formats
 
 
@@ -310,7 +310,7 @@ def test_threshold_at_strength_and_directed_clustering(spark):
 def test_power_law_recovers_its_exponent(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([3 * (1 - rng.random(1500)) ** (-1 / 1.5), rng.random(400) * 3])
-    got = graph.power_law(spark.createDataFrame([(float(v),) for v in x], "value double")).first()
+    got = power_law.power_law(spark.createDataFrame([(float(v),) for v in x], "value double")).first()
     assert got["alpha"] == pytest.approx(2.5, abs=0.15)
     best = min(((max(np.abs(np.concatenate([np.arange(len(y)) / len(y), np.arange(1, len(y) + 1) / len(y)]) - np.tile(1 - (y / m) ** (1 - a), 2))), m) for m in np.unique(x)[:-1] for y in [np.sort(x[x >= m])] for a in [1 + len(y) / np.log(y / m).sum()]))
     assert (got["ks"], got["xmin"]) == pytest.approx(best)

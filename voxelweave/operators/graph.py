@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 
 import numpy as np
@@ -371,48 +370,3 @@ def rewired(edges: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
         kept = F.when(F.col("c").isNull(), F.array(edge("a", "b", "weight"))).otherwise(F.array(edge("a", "b", "weight"), edge("c", "d", "w2")))
         e = cut(done.select(F.explode(F.when(F.col("good"), swapped).otherwise(kept)).alias("e")).select("e.*"))
     return e
-
-
-def power_law(values: DataFrame, finite_size: bool = False) -> DataFrame:
-    """alpha, xmin, ks, log likelihood and n of the continuous power law, xmin by the least KS distance.
-
-    Suffix sums over distinct values give the exponent for every candidate; the candidates, a stated
-    query set, then meet the distinct values and keep one maximum each.
-    """
-    v = values.filter("value > 0").groupBy("value").agg(F.count("*").alias("c"))
-    v = cut(v.withColumn("l", F.log("value") * F.col("c")).withColumn("block", F.floor(F.log2("value") * 64)))
-    # Blocks of the value axis, of which there are a few thousand whatever the rows.
-    blocks = v.groupBy("block").agg(F.sum("c").alias("bc"), F.sum("l").alias("bl"))
-    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.select("block", F.coalesce(F.sum("bc").over(later), F.lit(0)).alias("bc"), F.coalesce(F.sum("bl").over(later), F.lit(0.0)).alias("bl"))
-    inner = Window.partitionBy("block").orderBy("value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    v = v.join(blocks, "block").select("value", (F.sum("c").over(inner) + F.col("bc")).alias("n"), (F.sum("l").over(inner) + F.col("bl")).alias("logs"), "c")
-    v = cut(v)
-    spread = F.col("logs") - F.col("n") * F.log("value")
-    cands = v.filter(spread > 0).select(F.col("value").alias("xmin"), F.col("n").alias("m"), (1 + F.col("n") / spread).alias("alpha"), spread.alias("spread"))
-    met = cands.join(v, F.col("value") >= F.col("xmin"))
-    fitted = 1 - F.pow(F.col("value") / F.col("xmin"), 1 - F.col("alpha"))
-    at = lambda n: F.abs(1 - n / F.col("m") - fitted)
-    ks = met.groupBy("xmin", "m", "alpha", "spread").agg(F.max(F.greatest(at(F.col("n")), at(F.col("n") - F.col("c")))).alias("ks"))
-    best = ks.agg(F.min(F.struct("ks", "xmin", "m", "alpha", "spread")).alias("b")).select("b.*")
-    alpha = F.col("alpha") * (F.col("m") - 1) / F.col("m") + 1 / F.col("m") if finite_size else F.col("alpha")
-    best = best.withColumn("alpha", alpha)
-    log = F.col("m") * F.log((F.col("alpha") - 1) / F.col("xmin")) - F.col("alpha") * F.col("spread")
-    return best.select("alpha", "xmin", "ks", log.alias("log_likelihood"), F.col("m").alias("n"))
-
-
-def power_law_bootstrap(values: DataFrame, xmin: float, samples: int = 100, seed: int = 1) -> DataFrame:
-    """Mean and deviation of alpha and log likelihood over Poisson bootstrap samples, one aggregation.
-
-    A row is in a sample as often as a Poisson(1) draw by its hash says, so rows are never copied.
-    """
-    shares = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)]).tolist()
-    rows = values.filter(F.col("value") >= xmin).withColumn("row", F.monotonically_increasing_id())
-    u = F.shiftrightunsigned(F.xxhash64("row", "value", "sample", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    drawn = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", u)
-    times = sum((F.when(F.col("u") > s, 1).otherwise(0) for s in shares), F.lit(0))
-    per = drawn.withColumn("k", times).groupBy("sample").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log(F.col("value") / xmin)).alias("s"))
-    fits = per.filter("s > 0").select((1 + F.col("n") / F.col("s")).alias("alpha"), "n", "s")
-    log = F.col("n") * F.log((F.col("alpha") - 1) / xmin) - F.col("alpha") * F.col("s")
-    fits = fits.withColumn("log", log)
-    return fits.agg(*[f(c).alias(f"{n}_{c}") for c in ("alpha", "log") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])

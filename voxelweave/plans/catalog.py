@@ -458,4 +458,4 @@ def _(s, d):
     return geometry.staple(votes)[0]
 
 
-from . import imaging  # noqa: E402, F401  (registers its queries here)
+from . import imaging, shapes  # noqa: E402, F401  (register their queries here)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, sampling, signal
+from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, power_law, sampling, signal
 from . import tables as tb
 from .catalog import PARTS, _graph, query
 
@@ -200,12 +200,17 @@ def _(s, d):
 
 @query("power_law_fit")
 def _(s, d):
-    return graph.power_law(tb.table(s, d, "lineitem").select(F.col("l_quantity").alias("value")))
+    return power_law.power_law(tb.table(s, d, "lineitem").select(F.col("l_quantity").alias("value")))
+
+
+@query("power_law_prices")
+def _(s, d):
+    return power_law.power_law(tb.table(s, d, "orders").select(F.col("o_totalprice").alias("value")))
 
 
 @query("power_law_bootstrap")
 def _(s, d):
-    return graph.power_law_bootstrap(tb.table(s, d, "orders").select(F.col("o_totalprice").alias("value")), 1000.0, 20)
+    return power_law.power_law_bootstrap(tb.table(s, d, "lineitem").select(F.col("l_quantity").alias("value")))
 
 
 # Clusters
