@@ -266,13 +266,6 @@ def test_betweenness_by_brute_force(spark):
     assert graph.central_point_dominance(graph.betweenness(star)).first()["dominance"] == pytest.approx(1)
 
 
-def test_eigenvalues_and_synchronisability(spark):
-    ring = graph.ring_lattice(spark, 9, 1)
-    r = graph.synchronisability(ring).first()
-    values = sorted(2 - 2 * math.cos(2 * math.pi * k / 9) for k in range(9))
-    assert r["largest"] == pytest.approx(values[-1]) and r["second"] == pytest.approx(values[1])
-
-
 def test_null_models(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b), 1.0) for a, b in itertools.combinations(range(14), 2) if rng.random() < 0.3]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,58 +271,6 @@ def central_point_dominance(measure: DataFrame) -> DataFrame:
     return measure.agg((relative * (n * top - F.sum("betweenness")) / (n - 1)).alias("dominance"))
 
 
-def multiplied(entries: DataFrame, vector: DataFrame) -> DataFrame:
-    """(i, value) of the product of a sparse matrix (i, j, value) and a vector (i, value)."""
-    v = vector.select(F.col("i").alias("j"), F.col("value").alias("x"))
-    return entries.join(v, "j").groupBy("i").agg(F.sum(F.col("value") * F.col("x")).alias("value"))
-
-
-def lanczos(entries: DataFrame, steps: int = 40, tolerance: float = 1e-10, seed: int = 1) -> list[float]:
-    """Ritz values of a symmetric sparse matrix, ascending; the ends converge to its eigenvalues.
-
-    Vectors are tables, so a step is one join and a few sums; only the small tridiagonal matrix
-    comes to the driver.  New vectors are made orthogonal to all before, which keeps copies out.
-    """
-    basis: list[DataFrame] = []
-    noise = F.xxhash64("i", F.lit(seed)) / F.lit(float(1 << 63))
-    nodes = entries.select("i").distinct()
-    v = nodes.select("i", noise.alias("value"))
-    norm = v.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
-    v = cut(v.select("i", (F.col("value") / norm).alias("value")))
-    alphas: list[float] = []
-    betas: list[float] = []
-    for _ in range(steps):
-        basis.append(v)
-        w = cut(nodes.join(multiplied(entries, v), "i", "left").na.fill(0.0))
-        table = w
-        for k, b in enumerate(basis):
-            table = table.join(b.withColumnRenamed("value", f"b{k}"), "i")
-        # The second pass takes out what rounding left of the first.
-        for again in range(2):
-            dots = table.agg(*[F.sum(F.col("value") * F.col(f"b{k}")).alias(f"d{k}") for k in range(len(basis))]).first()  # ``steps`` numbers
-            if not again:
-                alphas.append(dots[len(basis) - 1])
-            rest = F.col("value") - sum((F.lit(x) * F.col(f"b{k}") for k, x in enumerate(dots)), F.lit(0.0))
-            table = table.withColumn("value", rest)
-        w = cut(table.select("i", "value"))
-        beta = w.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 0.0
-        if beta <= tolerance * max(1.0, abs(alphas[0])):
-            break
-        betas.append(beta)
-        v = w.select("i", (F.col("value") / beta).alias("value"))
-    n = len(alphas)
-    small = np.diag(alphas) + np.diag(betas[: n - 1], 1) + np.diag(betas[: n - 1], -1)
-    return np.linalg.eigvalsh(small).tolist()
-
-
-def synchronisability(edges: DataFrame, steps: int = 40) -> DataFrame:
-    """Largest and second smallest eigenvalue of the Laplacian of a connected graph, and their ratio."""
-    values = lanczos(laplacian(edges), steps)
-    scale = max(map(abs, values), default=0.0)
-    high, low = (values[-1], next((x for x in values if x > 1e-9 * scale), None)) if values else (None, None)
-    return edges.sparkSession.createDataFrame([(high, low, high / low if low else None)], "largest double, second double, ratio double")
-
-
 def permuted(entries: DataFrame, seed: int = 1) -> DataFrame:
     """A matrix with its values off the diagonal dealt out anew at random; the diagonal stays.
 
