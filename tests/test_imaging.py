@@ -421,8 +421,6 @@ def test_smoothing_diffusion_and_holes(spark):
     want[1:4, 1:4, 0] = 3
     want[2, 0, 0] = 3
     assert np.array_equal(cube(filters.filled(grid(spark, bowl)).select("x", "y", "z", "value"), bowl.shape), want)
-    half = filters.halved(grid(spark, np.ones((6, 4, 2))), "xy")
-    assert half.count() == 12 and all(r["value"] == pytest.approx(1) for r in half.collect())
 
 
 def test_transforms(spark):
@@ -436,10 +434,6 @@ def test_transforms(spark):
     assert np.allclose(turn.after(turn.inverse()).matrix, np.eye(3)) and np.allclose(filters.composed([shift, turn]).offset, [0, 1, 0]) and np.allclose(filters.composed([shift, shift], add=True).offset, [2, 0, 0])
     entries = filters.transform_parameters('// made\n(Transform "AffineTransform")\n(TransformParameters 1 0 0 0 1 0 0 0 1 2 3 4)\n(CenterOfRotationPoint 1 1 1)\n')
     assert np.allclose(filters.transform_of(entries).offset, [2, 3, 4])
-    control = spark.createDataFrame([(i, j, k, 1.5, float(i), 0.0) for i in range(-1, 6) for j in range(-1, 6) for k in range(-1, 6)], "i int, j int, k int, cx double, cy double, cz double")
-    at = spark.createDataFrame([(0, 1.25, 2.0, 0.5), (1, 2.0, 0.1, 0.1)], "voxel_id long, px double, py double, pz double")
-    got = {r["voxel_id"]: r for r in filters.spline_displacement(at, control, 1.0).collect()}
-    assert got[0]["dx"] == pytest.approx(1.5) and got[0]["dy"] == pytest.approx(1.25) and got[1]["dy"] == pytest.approx(2)
 
 
 def test_samples(spark):

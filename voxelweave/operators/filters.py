@@ -143,21 +143,6 @@ def border_distance(ref: DataFrame, probability: DataFrame, steps: int = 40, spa
     return every.select((F.col("bin") / steps).alias("threshold"), fp.alias("false_positive"), fn.alias("false_negative"), F.greatest(fp, fn).alias("hausdorff"))
 
 
-def halved(voxels: DataFrame, axes: str = "xyz") -> DataFrame:
-    """Half the size along some axes ('xy' for slices): means of pairs of smoothed neighbours.
-
-    The least-squares spline pyramid is approximated by the kernel (1, 3, 3, 1) / 8.
-    """
-    out = voxels.select(*XYZ, "value")
-    for c in axes:
-        taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in ((-1, 1.0), (0, 3.0), (1, 3.0), (2, 1.0))])
-        sent = out.select(*XYZ, "value", F.explode(taps).alias("k")).withColumn("place", F.col(c) - F.col("k.o")).filter("place % 2 = 0")
-        sent = sent.withColumn(c, (F.col("place") / 2).cast("int")).groupBy(*XYZ).agg((F.sum(F.col("value") * F.col("k.w")) / F.sum("k.w")).alias("value"))
-        size = out.agg(F.max(c).alias("top"))  # one row
-        out = sent.crossJoin(F.broadcast(size)).filter((F.col(c) >= 0) & (F.col(c) * 2 <= F.col("top"))).drop("top")
-    return out
-
-
 class Affine:
     """x -> A x + b in millimetres."""
 
@@ -194,24 +179,6 @@ def composed(transforms: list[Affine], add: bool = False) -> Affine:
     return out
 
 
-def spline_weight(u: Column, k: int) -> Column:
-    """Weight of control point k (0..3) of a cubic spline at the share u of its cell."""
-    w = [(1 - u) * (1 - u) * (1 - u), 3 * u * u * u - 6 * u * u + 4, -3 * u * u * u + 3 * u * u + 3 * u + 1, u * u * u]
-    return w[k] / 6
-
-
-def spline_displacement(points: DataFrame, control: DataFrame, spacing: float, origin: float = 0.0) -> DataFrame:
-    """Displacements (dx, dy, dz) at points (voxel_id, px, py, pz) from a grid of control points
-    (i, j, k, cx, cy, cz): each point meets its 64 control points."""
-    cell = {c: (F.col(f"p{c}") - origin) / spacing for c in XYZ}
-    w = points.select("voxel_id", *[F.floor(v).alias(f"b{c}") for c, v in cell.items()], *[(v - F.floor(v)).alias(f"u{c}") for c, v in cell.items()])
-    near = F.array(*[F.struct(*[F.lit(a).alias(n) for n, a in zip(("a", "b", "c"), (a, b, c), strict=True)]) for a in range(4) for b in range(4) for c in range(4)])
-    w = w.select("*", F.explode(near).alias("n"))
-    pick = lambda c, n: F.element_at(F.array(*[spline_weight(F.col(f"u{c}"), k) for k in range(4)]), F.col(f"n.{n}") + 1)
-    w = w.select("voxel_id", *[(F.col(f"b{c}") + F.col(f"n.{n}") - 1).cast("int").alias(i) for c, n, i in zip(XYZ, "abc", "ijk", strict=True)], (pick("x", "a") * pick("y", "b") * pick("z", "c")).alias("w"))
-    return w.join(control, ["i", "j", "k"]).groupBy("voxel_id").agg(*[F.sum(F.col("w") * F.col(f"c{c}")).alias(f"d{c}") for c in XYZ])
-
-
 def deformation(grid: DataFrame, transform: Affine, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Coordinates that grid voxels come from, displacements T(x) - x, and the Jacobian determinant."""
     at = [F.col(c) * s for c, s in zip(XYZ, spacing, strict=True)]
@@ -265,4 +232,4 @@ def transform_of(entries: dict[str, list[str]]) -> Affine:
         v, t, scale = np.array(p[:3]), np.array(p[3:6]), p[6]
         angle = 2 * math.asin(min(1.0, float(np.linalg.norm(v))))
         return Affine.similarity(scale, tuple(v) if v.any() else (0, 0, 1), angle, t, centre)
-    raise ValueError(f"{kind} has no closed form")
+    raise ValueError(f"{kind} is neither affine nor a similarity; see ``transforms.transform_from``")

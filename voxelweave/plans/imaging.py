@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, power_law, sampling, signal
+from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, power_law, pyramid, sampling, signal
 from . import tables as tb
 from .catalog import PARTS, _graph, query
 
@@ -368,7 +368,7 @@ def _(s, d):
 
 @query("halved_volume")
 def _(s, d):
-    return filters.halved(volume(s, d))
+    return pyramid.halved(volume(s, d))
 
 
 @query("resampled_volume", "s v0", "SELECT g.x, g.y, g.z, coalesce((a.value + b.value) / 2, 0) AS value FROM v0 g LEFT JOIN v0 a ON a.x = g.x AND a.y = g.y AND a.z = g.z LEFT JOIN v0 b ON b.x = g.x + 1 AND b.y = g.y AND b.z = g.z", "value")
