@@ -1,15 +1,14 @@
 """The corpus pipeline: quality rules, quality classifier, exact and near dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``: doc_id, text, lang, source, n_chars.  A stage's result is written and
-read again before the next, so a stage starts from files.  Its scratch tables lie in a folder of
-its name and input, which the stage that follows over the same input removes when it begins; no
-later run touches those of the last stage, so results of several runs can be read side by side.
+columns of ``documents``: doc_id, text, lang, source, n_chars.  A stage's scratch tables lie in a
+folder of its own, on which its result depends: stages can be composed without a write between
+them, and runs over one input can go on side by side.  ``run`` writes each result and then removes
+the stage's folder; who calls stages one by one removes all of them with ``scratch.clear``.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +18,17 @@ from voxelweave.llm.importance import important_documents
 from voxelweave.llm.near_dedup import distinct_groups
 from voxelweave.llm.packing import pack_documents
 from voxelweave.llm.quality_rules import clean_documents
-from voxelweave.llm.scratch import Scratch, base_folder, delete, read_table
+from voxelweave.llm.scratch import Scratch, read_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def stage_scratch(spark: SparkSession, sf_dir: str, name: str, before: str | None = None) -> Scratch:
-    """The folder of a stage; that of the stage ``before``, whose result is written by now, goes."""
-    key = f"{zlib.crc32(sf_dir.encode()):08x}"
-    if before:
-        delete(spark, f"{base_folder(spark)}/stage-{key}-{before}-*")
-    return Scratch(spark, f"stage-{key}-{name}")
+def with_scratch(spark: SparkSession, name: str, operator: Callable[[Scratch], DataFrame]) -> DataFrame:
+    """The result of an operator, which keeps the scratch folder that it is read from."""
+    scratch = Scratch(spark, f"stage-{name}")
+    out = operator(scratch)
+    out._stage_scratch = scratch
+    return out
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts go; null sources stay null; repeated rows count each and stay repeated.
     """
-    return clean_documents(docs, scratch=stage_scratch(spark, sf_dir, "quality_rules"))
+    return with_scratch(spark, "quality_rules", lambda scratch: clean_documents(docs, scratch=scratch))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +44,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts weigh 0; rows that repeat doc_id and text stay or go together.
     """
-    scratch = stage_scratch(spark, sf_dir, "quality_classifier", "quality_rules")
-    return important_documents(docs, read_table(spark, sf_dir, "labels"), scratch)
+    labels = read_table(spark, sf_dir, "labels")
+    return with_scratch(spark, "quality_classifier", lambda scratch: important_documents(docs, labels, scratch))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keeps the row with the largest doc_id; null counts as empty, a null doc_id is
     the smallest, and of repeated rows one stays."""
-    return distinct_documents(docs, stage_scratch(spark, sf_dir, "exact_dedup", "quality_classifier"))
+    return with_scratch(spark, "exact_dedup", lambda scratch: distinct_documents(docs, scratch))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +59,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without words stay, each by itself; of repeated rows one stays.
     """
-    return distinct_groups(docs, scratch=stage_scratch(spark, sf_dir, "near_dedup", "exact_dedup"))
+    return with_scratch(spark, "near_dedup", lambda scratch: distinct_groups(docs, scratch=scratch))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens; rows are pieces, one at least a document."""
-    return pack_documents(docs, scratch=stage_scratch(spark, sf_dir, "packing", "near_dedup"))
+    return with_scratch(spark, "packing", lambda scratch: pack_documents(docs, scratch=scratch))
 
 
 STAGES = [
@@ -89,6 +88,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, one in STAGES[:-1]:
-        before, docs = docs, scratch.put(one(spark, docs, sf_dir), name)
+        before, found = docs, one(spark, docs, sf_dir)
+        docs = scratch.put(found, name)
+        found._stage_scratch.close()
         scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
