@@ -22,3 +22,19 @@ def test_odd_and_empty_documents(spark, sf, odd, empty, tmp_path):
         spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert (len(out) > 0) == (name == "odd")
+
+
+def test_stages_compose_without_a_write(spark, sf):
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in stages[:3]:
+        docs = stage(spark, docs, sf)
+    other = stages[1](spark, stages[0](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf)
+    kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert kept and kept <= {r["doc_id"] for r in other.select("doc_id").collect()}
+
+
+def test_two_runs_over_one_input_side_by_side(spark, sf):
+    one, two = (corpus_pipeline.run(spark, sf) for _ in range(2))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "start", "length").collect()))
+    assert rows(one) == rows(two) != []
