@@ -43,7 +43,7 @@ def test_zeta_has_its_known_values():
     assert np.allclose(pl.hurwitz(2.3, q) - pl.hurwitz(2.3, q + 1), q**-2.3, rtol=1e-6, atol=1e-16)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_fits_equal_all_candidates_times_all_values(spark, monkeypatch, seed):
     monkeypatch.setattr(pl, "BATCH", 3)
     rng = np.random.default_rng(seed)

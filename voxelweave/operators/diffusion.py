@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import carlson_rd
 from .fits import named
 from .signal import mapped
 
@@ -244,19 +246,64 @@ def along(fit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d, (fit[:, 6:] @ fifteen.T) / np.where(d == 0, np.inf, d * d)
 
 
+#: Place of each entry of a symmetric 3 x 3 x 3 x 3 tensor among the fifteen.
+ENTRY = np.array([FIFTEEN.index(tuple(q.count(axis) for axis in range(3))) for q in itertools.product(range(3), repeat=4)]).reshape(3, 3, 3, 3)
+
+
+def sphere_means(values: np.ndarray) -> np.ndarray:
+    """Means over the sphere of n_i^2 n_j^2 / D(n)^2, D(n) = sum of values_i n_i^2; values are positive.
+
+    The means g_i of n_i^2 / D are Carlson's RD of the inverse values.  For i <> j the mean is
+    (g_i - g_j) / (2 (value_j - value_i)), and those of a row, times the values, sum to g_i.  As it is
+    even in the difference of the two values, one too small to divide by may be widened.
+    """
+    g = np.stack(
+        [carlson_rd(1 / values[:, (i + 1) % 3], 1 / values[:, (i + 2) % 3], 1 / values[:, i]) / (3 * values[:, i] * np.sqrt(values.prod(axis=1))) for i in range(3)], axis=1
+    )
+    out = np.zeros((len(values), 3, 3))
+    for i, j in ((0, 1), (1, 2), (0, 2)):
+        k = 3 - i - j
+        middle, apart = (values[:, i] + values[:, j]) / 2, (values[:, i] - values[:, j]) / 2
+        apart = np.where(np.abs(apart) < 3e-4 * middle, 3e-4 * middle, apart)
+        high, low, rest = middle + apart, middle - apart, values[:, k]
+        at = lambda one, two: carlson_rd(1 / two, 1 / rest, 1 / one) / (3 * one * np.sqrt(one * two * rest))  # noqa: B023, E731
+        out[:, i, j] = out[:, j, i] = (at(high, low) - at(low, high)) / (2 * (low - high))
+    for i in range(3):
+        out[:, i, i] = (g[:, i] - sum(values[:, j] * out[:, i, j] for j in range(3) if j != i)) / values[:, i]
+    return out
+
+
 def kurtosis_maps(fit: np.ndarray, n: int = 120) -> np.ndarray:
     """FA, trace, axial and radial diffusivity, mean, axial and radial kurtosis.
 
-    Mean kurtosis is that over ``n`` directions of the sphere, radial that over a circle around the
-    first eigenvector, from the definitions and not by elliptic integrals.
+    Mean kurtosis is that over the sphere, by Carlson's integrals, and radial kurtosis that over the
+    circle around the first eigenvector, in closed form.  Where an eigenvalue is not positive the
+    diffusivity vanishes somewhere: means over ``n`` directions, and 36 of the circle, stand in.
     """
     maps = tensor_maps(matrices(fit[:, :6]))
-    mk = along(fit, directions(n))[1].mean(axis=1)
-    v1, v2, v3 = maps[:, 6:9], maps[:, 9:12], maps[:, 12:15]
-    turn = 2 * np.pi * np.arange(36) / 36
-    axial = np.array([along(fit[k : k + 1], v1[k : k + 1])[1][0, 0] for k in range(len(fit))])
-    radial = np.array([along(fit[k : k + 1], np.outer(np.cos(turn), v2[k]) + np.outer(np.sin(turn), v3[k]))[1].mean() for k in range(len(fit))])
-    return np.stack([maps[:, 3], maps[:, 5], maps[:, 0], (maps[:, 1] + maps[:, 2]) / 2, mk, axial, radial], axis=1)
+    values, axes = maps[:, :3], maps[:, 6:15].reshape(-1, 3, 3)
+    w = fit[:, 6:][:, ENTRY]
+    turned = np.einsum("nabcd,nia,nib,njc,njd->nij", w, axes, axes, axes, axes, optimize=True)
+    out = np.zeros((len(fit), 3))
+    out[:, 1] = turned[:, 0, 0] / np.where(values[:, 0] == 0, np.inf, values[:, 0] ** 2)
+    good = values[:, 2] > 1e-9 * np.abs(values[:, 0])
+    if good.any():
+        v, t = values[good], turned[good]
+        means = sphere_means(v)
+        out[good, 0] = (means * t).sum(axis=(1, 2)) * 3 - 2 * sum(means[:, i, i] * t[:, i, i] for i in range(3))
+        a, b = np.sqrt(v[:, 1]), np.sqrt(v[:, 2])
+        cross = 1 / (2 * a * b * (a + b) ** 2)
+        two, three = (1 / (a * (a + b)) - v[:, 2] * cross) / v[:, 1], (1 / (b * (a + b)) - v[:, 1] * cross) / v[:, 2]
+        out[good, 2] = t[:, 1, 1] * two + t[:, 2, 2] * three + 6 * t[:, 1, 2] * cross
+    if not good.all():
+        rest = fit[~good]
+        out[~good, 0] = along(rest, directions(n))[1].mean(axis=1)
+        turn = 2 * np.pi * np.arange(36) / 36
+        around = np.cos(turn)[:, None, None] * axes[~good, 1] + np.sin(turn)[:, None, None] * axes[~good, 2]
+        d = np.einsum("pna,nab,pnb->pn", around, matrices(rest[:, :6]), around)
+        k = np.einsum("nabcd,pna,pnb,pnc,pnd->pn", w[~good], around, around, around, around, optimize=True)
+        out[~good, 2] = (k / np.where(d == 0, np.inf, d * d)).mean(axis=0)
+    return np.stack([maps[:, 3], maps[:, 5], values[:, 0], (values[:, 1] + values[:, 2]) / 2, out[:, 0], out[:, 1], out[:, 2]], axis=1)
 
 
 KURTOSIS = ["fa", "trace", "axial_d", "radial_d", "mean_k", "axial_k", "radial_k"]
