@@ -27,6 +27,7 @@ PARTS = {
     "e": "e AS (SELECT a.src, b.src AS dst, count(*)::DOUBLE AS weight FROM e0 a JOIN e0 b USING (l_orderkey) WHERE a.src < b.src GROUP BY ALL)",
     "g": "g AS (SELECT * FROM e WHERE weight >= (SELECT quantile_disc(weight, 0.75) FROM e))",
     "two": "two AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g)",
+    "all": "two AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e)",
     "decay": "decay AS (SELECT l_orderkey AS voxel_id, l_linenumber::DOUBLE AS t, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)",
 }
 
@@ -273,9 +274,9 @@ def _(s, d):
     return _graph(s, d)
 
 
-@query("node_degree", "e0 e g two", "SELECT src AS node, count(*) AS degree, sum(weight) AS strength FROM two GROUP BY ALL", "strength")
+@query("node_degree", "e0 e all", "SELECT src AS node, count(*) AS degree, sum(weight) AS strength FROM two GROUP BY ALL", "strength")
 def _(s, d):
-    return graph.degree(_graph(s, d))
+    return graph.degree(tb.edges(s, d))
 
 
 CLUSTERING = "SELECT node, 2 * coalesce(links, 0) / (k * (k - 1)) AS clustering FROM (SELECT src AS node, count(*) AS k FROM two GROUP BY ALL HAVING count(*) > 1) LEFT JOIN (SELECT a.src AS node, count(*) AS links FROM two a JOIN two b ON a.src = b.src AND a.dst < b.dst JOIN g ON g.src = a.dst AND g.dst = b.dst GROUP BY ALL) USING (node)"
@@ -291,15 +292,15 @@ def _(s, d):
     return graph.clustering_weighted(_graph(s, d))
 
 
-@query("graph_laplacian", "e0 e g two", "SELECT src AS i, dst AS j, -weight AS value FROM two UNION ALL SELECT src, src, sum(weight) FROM two GROUP BY src", "value")
+@query("graph_laplacian", "e0 e all", "SELECT src AS i, dst AS j, -weight AS value FROM two UNION ALL SELECT src, src, sum(weight) FROM two GROUP BY src", "value")
 def _(s, d):
-    return graph.laplacian(_graph(s, d))
+    return graph.laplacian(tb.edges(s, d))
 
 
-@query("modularity", "e0 e g two", "SELECT sum(inner_w) / sum(w) - sum(w * w) / (sum(w) * sum(w)) AS q FROM (SELECT a.s_nationkey, sum(weight) AS w, sum(CASE WHEN a.s_nationkey = b.s_nationkey THEN weight ELSE 0 END) AS inner_w FROM two JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst GROUP BY ALL)", "q")
+@query("modularity", "e0 e all", "SELECT sum(inner_w) / sum(w) - sum(w * w) / (sum(w) * sum(w)) AS q FROM (SELECT a.s_nationkey, sum(weight) AS w, sum(CASE WHEN a.s_nationkey = b.s_nationkey THEN weight ELSE 0 END) AS inner_w FROM two JOIN supplier a ON a.s_suppkey = src JOIN supplier b ON b.s_suppkey = dst GROUP BY ALL)", "q")
 def _(s, d):
     clusters = tb.table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("cluster"))
-    return graph.modularity(_graph(s, d), clusters)
+    return graph.modularity(tb.edges(s, d), clusters)
 
 
 @query("hierarchy_slope", "e0 e g two", f"SELECT regr_slope(ln(strength), ln(clustering)) AS beta, count(*) AS n FROM ({CLUSTERING}) JOIN (SELECT src AS node, sum(weight) AS strength FROM two GROUP BY ALL) USING (node) WHERE clustering > 0", "beta")

@@ -169,15 +169,15 @@ def _(s, d):
 # Graphs
 
 
-@query("normalised_laplacian", "e0 e g two", "SELECT a.src AS i, a.dst AS j, -a.weight / sqrt(x.s * y.s) AS value FROM two a JOIN (SELECT src, sum(weight) AS s FROM two GROUP BY src) x ON x.src = a.src JOIN (SELECT src, sum(weight) AS s FROM two GROUP BY src) y ON y.src = a.dst UNION ALL SELECT DISTINCT src, src, 1.0 FROM two", "value")
+@query("normalised_laplacian", "e0 e all", "SELECT a.src AS i, a.dst AS j, -a.weight / sqrt(x.s * y.s) AS value FROM two a JOIN (SELECT src, sum(weight) AS s FROM two GROUP BY src) x ON x.src = a.src JOIN (SELECT src, sum(weight) AS s FROM two GROUP BY src) y ON y.src = a.dst UNION ALL SELECT DISTINCT src, src, 1.0 FROM two", "value")
 def _(s, d):
-    return graph.laplacian(_graph(s, d), normalised=True)
+    return graph.laplacian(tb.edges(s, d), normalised=True)
 
 
-@query("strength_z_scores", "e0 e g two", "SELECT node, degree, strength, CASE WHEN sd > 0 THEN (strength - m) / sd ELSE 0 END AS z FROM (SELECT *, avg(strength) OVER () AS m, stddev_pop(strength) OVER () AS sd FROM (SELECT s_suppkey AS node, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM supplier LEFT JOIN (SELECT src, count(*) AS degree, sum(weight) AS strength FROM two GROUP BY src) ON src = s_suppkey))", "strength z")
+@query("strength_z_scores", "e0 e all", "SELECT node, degree, strength, CASE WHEN sd > 0 THEN (strength - m) / sd ELSE 0 END AS z FROM (SELECT *, avg(strength) OVER () AS m, stddev_pop(strength) OVER () AS sd FROM (SELECT s_suppkey AS node, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength FROM supplier LEFT JOIN (SELECT src, count(*) AS degree, sum(weight) AS strength FROM two GROUP BY src) ON src = s_suppkey))", "strength z")
 def _(s, d):
     nodes = tb.table(s, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    return graph.standardised(graph.node_strengths(_graph(s, d), nodes), "strength")
+    return graph.standardised(graph.node_strengths(tb.edges(s, d), nodes), "strength")
 
 
 @query("clustering_directed", "e0 e g two", "SELECT node, CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE t / (k * (k - 1)) END AS clustering FROM (SELECT src AS node, count(*) AS k FROM two GROUP BY ALL) LEFT JOIN (SELECT a.src AS node, sum(cbrt(a.weight) * cbrt(b.weight) * cbrt(g.weight)) AS t FROM two a JOIN two b ON a.src = b.src AND a.dst < b.dst JOIN g ON g.src = a.dst AND g.dst = b.dst GROUP BY ALL) USING (node)", "clustering")
