@@ -365,6 +365,19 @@ def test_signal_kernels(spark):
     assert r["time_to_peak"] == pytest.approx(8, rel=0.02) and r["alpha"] == pytest.approx(5, rel=0.03)
 
 
+def test_measures_of_a_response(spark):
+    t = np.arange(40) + 1e-3
+    curve = 20 + 300 * t**3 * np.exp(-t / 2) / (6 * 2**4)  # alpha 4, beta 2
+    noise = 3 * np.sin(np.arange(40) * 2.3)
+    noise[0] = 0
+    clean, rough = signal.gamma_response(packed(spark, [curve, curve + noise]), 1.0).orderBy("voxel_id").collect()
+    assert clean["converged"] and clean["alpha"] == pytest.approx(4, rel=1e-3) and clean["p"] == pytest.approx(1) and clean["chi2"] < 1e-6
+    x = t[-1] / 2
+    assert clean["area"] == pytest.approx(300 * (1 - math.exp(-x) * (1 + x + x * x / 2 + x**3 / 6)), rel=1e-3)
+    assert clean["relative_top"] == pytest.approx((curve.max() - 20) / 20, rel=1e-3)
+    assert 0 < rough["chi2"] <= ((curve + noise - curve) ** 2 / curve).sum() * 1.05 and 0.5 < rough["p"] < 1
+
+
 def test_components_and_coherency(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=24)

@@ -244,15 +244,15 @@ def box_sizes(total: int) -> np.ndarray:
 def gamma_response(rows: DataFrame, dt: float, baseline: int = 1) -> DataFrame:
     """Amplitude, time to peak and largest value of k * gamma density(alpha, beta) over a baseline.
 
-    The fit is by Levenberg-Marquardt on (ln k, ln(alpha - 1), ln beta) from a few starting shapes,
-    of which each series keeps the best; ``ssd`` is what it leaves.
+    The fit is by Levenberg-Marquardt on (k, ln(alpha - 1), ln beta) from a few starting shapes, of
+    which each series keeps the best; ``ssd`` is what it leaves and ``converged`` says whether it
+    settled.  ``chi2`` sums the squared differences over the fitted values where those are positive,
+    and ``p`` is the chi-square share beyond it, with a degree of freedom a sample.  ``area`` is that
+    under the response up to the last sample, and ``relative_top`` its top in baselines.
     """
-    import math
-
+    from ..functions.special import chi2_tail, gamma_cdf, log_gamma
     from .fits import levenberg
 
-    lgamma = np.vectorize(math.lgamma)
-
     def kernel(x: np.ndarray) -> np.ndarray:
         base = x[:, :baseline].mean(axis=1, keepdims=True)
         y = x - base
@@ -260,7 +260,7 @@ def gamma_response(rows: DataFrame, dt: float, baseline: int = 1) -> DataFrame:
 
         def density(p: np.ndarray) -> np.ndarray:
             a, b = 1 + np.exp(np.clip(p[:, 1:2], -5, 5)), np.exp(np.clip(p[:, 2:3], -6, 6))
-            return np.exp(np.clip((a - 1) * np.log(t) - t / b - a * np.log(b) - lgamma(a), -700, 50))
+            return np.exp(np.clip((a - 1) * np.log(t) - t / b - a * np.log(b) - log_gamma(a), -700, 50))
 
         def model(p: np.ndarray):
             value = p[:, :1] * density(p)
@@ -271,17 +271,24 @@ def gamma_response(rows: DataFrame, dt: float, baseline: int = 1) -> DataFrame:
                 slope.append((p[:, :1] * density(up) - value) / 1e-5)
             return value, np.stack(slope, axis=2)
 
-        best, least = None, np.full(len(y), np.inf)
+        best, least, settled = None, np.full(len(y), np.inf), np.zeros(len(y), bool)
         for peak in (0.1, 0.25, 0.5):
             at = np.tile([0.0, np.log(4.0), np.log(max(peak * t[-1] / 4, 1e-2))], (len(y), 1))
             d = density(at)
             at[:, 0] = (d * y).sum(axis=1) / (d * d).sum(axis=1)
-            p, _ = levenberg(model, at, y, np.ones_like(y))
+            p, done = levenberg(model, at, y, np.ones_like(y))
             ssd = ((y - model(p)[0]) ** 2).sum(axis=1)
+            settled = np.where(ssd < least, done, settled)
             best = p if best is None else np.where((ssd < least)[:, None], p, best)
             least = np.minimum(least, ssd)
         a, b = 1 + np.exp(np.clip(best[:, 1], -5, 5)), np.exp(np.clip(best[:, 2], -6, 6))
-        return np.stack([best[:, 0], a, b, (a - 1) * b, model(best)[0].max(axis=1), least], axis=1)
+        value = model(best)[0]
+        fitted = value + base
+        chi2 = np.where(fitted > 0, (x - fitted) ** 2 / np.where(fitted > 0, fitted, 1), 0).sum(axis=1)
+        top, area = value.max(axis=1), best[:, 0] * gamma_cdf(t[-1], a, b)
+        relative = top / np.where(base[:, 0] == 0, np.nan, base[:, 0])
+        return np.stack([best[:, 0], a, b, (a - 1) * b, top, least, chi2, chi2_tail(chi2, x.shape[1]), area, relative, settled.astype(float)], axis=1)
 
     out = mapped(rows, kernel)
-    return out.select("voxel_id", *[F.col("series")[i].alias(n) for i, n in enumerate(("k", "alpha", "beta", "time_to_peak", "top", "ssd"))])
+    names = ("k", "alpha", "beta", "time_to_peak", "top", "ssd", "chi2", "p", "area", "relative_top")
+    return out.select("voxel_id", *[F.col("series")[i].alias(n) for i, n in enumerate(names)], (F.col("series")[len(names)] > 0).alias("converged"))
