@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from voxelweave import functions as fx
 from voxelweave.functions import special
 from voxelweave.operators import diffusion
 
@@ -68,3 +69,15 @@ def test_mean_and_radial_kurtosis_equal_directional_means():
     flat = fit[:3].copy()
     flat[:, :6] = [1, 1, -0.1, 0, 0, 0]
     assert np.isfinite(diffusion.kurtosis_maps(flat)).all() and diffusion.kurtosis_maps(fit[:0]).shape == (0, 7)
+
+
+def test_p_values_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    z = [0.0, 1e-9, -0.3, 1.959963984540054, 5.0, -12.0, 40.0, float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(z)], "i int, z double")
+    got = {r["i"]: (r["p"], r["q"]) for r in df.select("i", fx.upper_tail(F.col("z")).alias("p"), fx.correlation_p(F.col("z"), 12).alias("q")).collect()}
+    for i, v in enumerate(z[:-1]):
+        assert got[i][0] == pytest.approx(math.erfc(abs(v) / math.sqrt(2)), rel=1e-10, abs=1e-300)
+        assert got[i][1] == pytest.approx(math.erfc(abs(v) * 3 / math.sqrt(2)), rel=1e-10, abs=1e-300)
+    assert got[len(z) - 1][0] is None or math.isnan(got[len(z) - 1][0])

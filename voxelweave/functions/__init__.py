@@ -68,10 +68,13 @@ def inverted(label: Column) -> Column:
 
 
 def upper_tail(z: Column) -> Column:
-    """Two-sided p of a standard normal z, from erfc in Arrow batches: Spark has no such function."""
+    """Two-sided p of a standard normal z, erfc(|z| / sqrt 2) in Arrow batches: Spark has no such function."""
+    from .special import incomplete_gamma
+
     @F.pandas_udf("double")
     def two_sided(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+        z = values.to_numpy(dtype=float)
+        return pd.Series(incomplete_gamma(0.5, z * z / 2)[1])
 
     return two_sided(z)
 
