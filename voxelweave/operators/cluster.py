@@ -1,4 +1,4 @@
-"""Clustering and nearest neighbours over feature tables (id, features, label)."""
+"""Clustering and classification over feature tables (id, features, label); neighbours are in ``neighbours``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -235,58 +235,6 @@ def train_table(images: DataFrame, labels: DataFrame, geometry: bool = True) ->
     return rows.crossJoin(F.broadcast(centre)).select(F.col("voxel_id").alias("id"), F.concat(values, F.array(*d.values(), far, *angles)).alias("features"), "label")
 
 
-def within_radius(train: DataFrame, query: DataFrame, radius: float, k: int | None = None) -> DataFrame:
-    """Rows of ``train`` within a radius of every query row, (id, near, d2), the k nearest if given.
-
-    Rows meet in cells as wide as the radius over their first two features, so each is compared with
-    its neighbourhood only.
-    """
-    cell = lambda i: F.floor(F.element_at("features", i) / radius)
-    two = F.size("features") > 1
-    at = [cell(1).alias("cx"), F.when(two, cell(F.when(two, 2).otherwise(1))).otherwise(0).alias("cy")]
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    q = query.select(F.col("id"), F.col("features").alias("fq"), *at, F.explode(around).alias("o"))
-    q = q.select("id", "fq", (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
-    t = train.select(F.col("id").alias("near"), "features", *at)
-    d2 = F.aggregate(F.zip_with("fq", "features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    found = q.join(t, ["cx", "cy"]).select("id", "near", d2.alias("d2")).filter(F.col("d2") <= radius * radius)
-    if k is None:
-        return found
-    w = Window.partitionBy("id").orderBy("d2", "near")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
-
-
-def knn(train: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k nearest training rows of every query row, by squared distance, then id.
-
-    Training rows are dealt into blocks; each block gives its own k best for all queries that
-    meet it, and the k best of those are kept, so no task sees all training rows.
-    """
-    blocks = max(1, -(-train.count() // 4096))
-    t = train.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", "id", "features", "label")
-    parts = max(1, -(-query.count() // 4096))
-    q = query.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    t = t.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "near": [], "label": [], "d2": []}).astype({"id": "int64", "near": "int64", "label": "int32", "d2": "float64"})
-        right = right.sort_values("id")
-        x, y = np.stack(left["features"].to_list()).astype(float), np.stack(right["features"].to_list()).astype(float)
-        out = []
-        for a in range(0, len(x), 256):
-            d2 = ((x[a : a + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2) if len(y) * x.shape[1] < 200_000 else (x[a : a + 256] ** 2).sum(axis=1)[:, None] - 2 * x[a : a + 256] @ y.T + (y**2).sum(axis=1)
-            at = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            n = at.shape[1]
-            out.append(pd.DataFrame({"id": np.repeat(left["id"].to_numpy()[a : a + 256], n), "near": right["id"].to_numpy()[at].ravel(), "label": right["label"].to_numpy()[at].ravel(), "d2": np.take_along_axis(d2, at, 1).ravel()}))
-        return pd.concat(out)
-
-    found = q.groupBy("part", "block").cogroup(t.groupBy("part", "block")).applyInPandas(best, "id long, near long, label int, d2 double")
-    top = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "near", "label"))), 1, k).alias("top"))  # k rows a block
-    return top.select("id", F.posexplode("top").alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), "n.near", "n.label", "n.d2")
-
-
 def classify(neighbours: DataFrame) -> DataFrame:
     """Most frequent label among the neighbours, the lowest on ties, and its share."""
     votes = neighbours.groupBy("id", "label").agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import aggregate, cluster, connectivity, fits, geometry, graph, signal
+from ..operators import aggregate, cluster, connectivity, fits, geometry, graph, neighbours, signal
 from . import tables as tb
 
 DIGITS = 6
@@ -316,7 +316,7 @@ def _(s, d):
 @query("nearest_neighbours", "", "SELECT id, CAST(k AS INT) AS rank, near, label FROM (SELECT a.vec_id AS id, b.vec_id AS near, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id) WHERE k <= 5")
 def _(s, d):
     f = tb.features(s, d)
-    found = cluster.knn(f, f.filter("id % 100 = 0"), 6).filter("id <> near")
+    found = neighbours.knn(f, f.filter("id % 100 = 0"), 6).filter("id <> near")
     first = Window.partitionBy("id").orderBy("rank")
     return found.withColumn("rank", F.row_number().over(first)).filter("rank <= 5").select("id", "rank", "near", "label")
 

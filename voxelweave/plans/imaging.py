@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .. import functions as fx
-from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, perfusion, power_law, pyramid, sampling, signal
+from ..operators import aggregate, cluster, connectivity, diffusion, filters, fits, graph, kspace, neighbours, perfusion, power_law, pyramid, sampling, signal
 from . import tables as tb
 from .catalog import PARTS, _graph, query
 
@@ -219,13 +219,13 @@ def _(s, d):
 @query("voxel_classes", "", "SELECT id, min_by(label, (-n, label)) AS label FROM (SELECT id, label, count(*) AS n FROM (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))), b.vec_id) AS k FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE k <= 7 GROUP BY ALL) GROUP BY id")
 def _(s, d):
     f = tb.features(s, d)
-    return cluster.classify(cluster.knn(f, f.filter("id % 100 = 0"), 7)).select("id", "label")
+    return cluster.classify(neighbours.knn(f, f.filter("id % 100 = 0"), 7)).select("id", "label")
 
 
 @query("within_radius", "", "SELECT a.vec_id AS id, b.vec_id AS near FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))) <= 0.81")
 def _(s, d):
     f = tb.features(s, d)
-    return cluster.within_radius(f, f.filter("id % 100 = 0"), 0.9).select("id", "near")
+    return neighbours.within_radius(f, f.filter("id % 100 = 0"), 0.9).select("id", "near")
 
 
 @query("isodata_clusters")
