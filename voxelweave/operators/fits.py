@@ -114,25 +114,27 @@ T1_MODELS = {
 }
 
 
-def t1_fit(rows: DataFrame, times: list[float], model: str = "inversion_recovery") -> DataFrame:
+def t1_fit(rows: DataFrame, times: list[float] | None, model: str = "inversion_recovery") -> DataFrame:
     """a, t1, b, r2 and whether the fit converged, for one of T1_MODELS.
 
+    ``times`` are those of all series; if None, each row has its own in a column ``times``.
+
     recovery A (1 - B exp(-t / T1)); hybrid A (B - exp(-t / T1)); look_locker fits the first and
     gives T1 (B - 1); apparent A - B exp(-(B / A - 1) t / T1).  Absolute models restore the sign of
     the samples before the smallest.  Samples from the first zero on are left out; fewer than two
     give zeros.
     """
     absolute, free, b0, form = T1_MODELS[model]
-    t = np.asarray(times, float)
 
-    def kernel(y: np.ndarray) -> np.ndarray:
+    def kernel(y: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        t = np.broadcast_to(np.asarray(times, float), y.shape) if own is None else own
         w = used_samples(y)
         if absolute:
             low = np.where(w > 0, y, np.inf).argmin(axis=1)
             y = np.where(np.arange(y.shape[1]) < low[:, None], -y, y)
         last = np.maximum(w.sum(axis=1).astype(int) - 1, 0)
         near = np.where(w > 0, np.abs(y), np.inf).argmin(axis=1)
-        r0 = np.log(max(b0, 1.2)) / np.maximum(t[near], t[t > 0].min())
+        r0 = np.log(max(b0, 1.2)) / np.maximum(t[np.arange(len(y)), near], np.where(t > 0, t, np.inf).min(axis=1))
         a0 = np.maximum(np.abs(y[np.arange(len(y)), last]), 1e-6)
         start = np.stack([a0, r0] + [np.full(len(y), b0) * (a0 if form == "apparent" else 1.0)] * free, axis=1)
 
@@ -157,7 +159,7 @@ def t1_fit(rows: DataFrame, times: list[float], model: str = "inversion_recovery
         out = np.stack([p[:, 0], t1, b, centred_r2(y, curve(p)[0], w)], axis=1)
         return np.concatenate([np.where(enough[:, None], out, 0.0), (done & enough)[:, None]], axis=1)
 
-    return named(mapped(rows, kernel), ["a", "t1", "b", "r2", "converged"])
+    return named(mapped(rows, kernel, *["times"] * (times is None)), ["a", "t1", "b", "r2", "converged"])
 
 
 def t1_inversion(rows: DataFrame, times: list[float], factor: float | None = 2.0, absolute: bool = False) -> DataFrame:
@@ -174,6 +176,26 @@ def look_locker_times(spark, first: float, step: float, slices: int, samples: in
     return k.select("slice", "k", (first + (F.col("place") + F.col("k") * slices) * step).alias("t"))
 
 
+def look_locker_maps(images: DataFrame, slices: int, first: float, step: float, model: str = "absolute_inversion_recovery", max_t1: float = 10.0) -> DataFrame:
+    """T1 maps (scan, x, y, z, a, t1, b, r2, converged) of images of ``kspace.look_locker``.
+
+    Sample k of the slice that is acquired s-th is at first + (s + k * slices) * step, so every slice is
+    fitted on times of its own.  T1 is at most ``max_t1``.  Places are packed into the voxel's number:
+    images have at most 16,384 pixels a side and 4,096 slices.
+    """
+    at = F.transform("v", lambda r: first + (F.col("image") % slices + r["part"] * slices) * step)
+    voxel = images.groupBy("image", "x", "y", "z").agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("v"))  # a value a sample
+    number, bits = F.col("image").cast("long"), (("z", 12), ("y", 14), ("x", 14))
+    for c, n in bits:
+        number = F.shiftleft(number, n) + F.col(c)
+    fit = t1_fit(voxel.select(number.alias("voxel_id"), at.alias("times"), F.transform("v", lambda r: r["value"]).alias("series")), None, model)
+    out, number = {}, F.col("voxel_id")
+    for c, n in reversed(bits):
+        out[c], number = number.bitwiseAND((1 << n) - 1), F.shiftright(number, n)
+    t1 = F.least(F.col("t1"), F.lit(float(max_t1))).alias("t1")
+    return fit.select(F.floor(number / slices).cast("int").alias("scan"), *[out[c].cast("int").alias(c) for c in "xyz"], "a", t1, "b", "r2", "converged")
+
+
 def named(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select("voxel_id", *[F.col("series")[i].alias(n) for i, n in enumerate(names)])
 

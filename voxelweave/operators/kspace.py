@@ -67,17 +67,22 @@ def centred_inverse(v: np.ndarray, axes: tuple[int, ...], sizes: tuple[int, ...]
 
 
 def lines_of(traces: DataFrame, image: Column, line: Column, part: Column | None = None) -> DataFrame:
-    return traces.select(image.cast("int").alias("image"), (F.lit(0) if part is None else part).cast("int").alias("part"), line.cast("int").alias("line"), "re", "im")
+    return traces.select(image.cast("int").alias("image"), (F.lit(0) if part is None else part).cast("int").alias("part"), line.cast("int").alias("line"), "re", "im", "block", "trace")
 
 
 def reconstruct(lines: DataFrame, size: tuple[int, int] | None = None, prepare: Callable | None = None) -> DataFrame:
     """Magnitude, real and imaginary part of each (image, part): x along readout, y along lines.
 
     ``prepare`` maps the matrix of lines by samples, and their numbers, to one that is transformed
-    over both axes.  Lines that are missing are zeros; of lines given twice the last row counts.
+    over both axes.  Lines that are missing are zeros.  Of lines given twice that of the last block
+    and trace counts; without these columns, or with equal ones, they raise.
     """
+    order = [c for c in ("block", "trace") if c in lines.columns]
 
     def image(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if rows.duplicated(["line", *order]).any():
+            raise ValueError(f"image {key[0]}, part {key[1]} has a line twice")
+        rows = rows.sort_values(order) if order else rows
         k = np.zeros((int(rows["line"].max()) + 1, len(rows["re"].iloc[0])), complex)
         k[rows["line"]] = np.stack(rows["re"].to_list()) + 1j * np.stack(rows["im"].to_list())
         v = centred_inverse(k if prepare is None else prepare(k), (0, 1), size)
@@ -137,6 +142,16 @@ def multi_echo(traces: DataFrame, slices: int, echoes: int, positions: list[floa
     return reordered(reconstruct(lines, size), slice_order(positions), F.col("image"))
 
 
+def look_locker(traces: DataFrame, slices: int, echoes: int, positions: list[float], size: tuple[int, int] | None = None) -> DataFrame:
+    """Look-Locker: traces run over slices, then samples of the recovery (``part``), then lines.
+
+    A block is a scan of its own: ``image`` is block * slices + slice.  ``fits.look_locker_maps`` fits T1.
+    """
+    rest = F.floor(F.col("trace") / slices)
+    lines = lines_of(traces, F.col("block") * slices + F.col("trace") % slices, F.floor(rest / echoes), rest % echoes)
+    return reordered(reconstruct(lines, size), slice_order(positions), F.col("image") % slices)
+
+
 def echo_times(first: float, echoes: int) -> list[float]:
     return [first * (i + 1) for i in range(echoes)]
 

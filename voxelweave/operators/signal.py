@@ -75,16 +75,19 @@ def phase_unwrapped(phase: DataFrame) -> DataFrame:
     return phase.withColumn("step", step).select("voxel_id", "t", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("value"))
 
 
-def mapped(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Applies a kernel on matrices (series by time) to packed series of one length per batch group."""
+def mapped(rows: DataFrame, kernel: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """Applies a kernel on matrices (series by time) to packed series of one length per batch group.
+
+    Arrays ``more``, as long as the series, are given to the kernel as further matrices.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["series"].map(len)):
-                out = kernel(np.stack([np.asarray(s, float) for s in part["series"]]))
+                out = kernel(*[np.stack([np.asarray(s, float) for s in part[c]]) for c in ("series", *more)])
                 yield pd.DataFrame({"voxel_id": part["voxel_id"].to_numpy(), "series": list(out)})
 
-    return rows.select("voxel_id", "series").mapInPandas(run, "voxel_id long, series array<double>")
+    return rows.select("voxel_id", "series", *more).mapInPandas(run, "voxel_id long, series array<double>")
 
 
 def bandpass(rows: DataFrame, low_hz: float, high_hz: float, dt: float, retrend: bool = False) -> DataFrame:

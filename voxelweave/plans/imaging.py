@@ -407,6 +407,11 @@ def _(s, d):
     return kspace.multi_echo(traces(s, d), 4, 2, [0.0, 0.1, 0.2, 0.3])
 
 
+@query("look_locker_maps")
+def _(s, d):
+    return fits.look_locker_maps(kspace.look_locker(traces(s, d), 4, 4, [0.3, 0.1, 0.2, 0.0]), 4, 0.05, 0.1)
+
+
 @query("echo_planar")
 def _(s, d):
     lines = kspace.lines_of(traces(s, d), F.col("block"), F.col("trace"))
