@@ -61,3 +61,24 @@ def test_corners_of_triangles_in_any_cells(spark, monkeypatch, cell):
     full, one = m + m.T, ((m + m.T) > 0).astype(float)
     links, closed = np.diag(one @ one @ one) / 2, np.diag(full @ full @ full) / 2
     assert got == {k * 5: (links[k], pytest.approx(closed[k])) for k in range(60) if links[k]}
+
+
+def test_tree_rounds_take_only_the_best_edge_between_parts(spark):
+    edges, rows = complete(spark, 120, copies=3)
+    edges = graph.cut(edges)
+    tree = []
+    moved = shuffled(spark, lambda: tree.extend(graph.minimum_spanning_tree(edges).collect()))
+    part, want = {n: n for n in range(360)}, set()
+
+    def root(n):
+        while part[n] != n:
+            n = part[n]
+        return n
+
+    for a, b, w in sorted(rows, key=lambda r: (1 / r[2], r[0], r[1])):
+        if root(a) != root(b):
+            part[root(a)] = root(b)
+            want.add((a, b, w))
+    assert {(r["src"], r["dst"], r["weight"]) for r in tree} == want
+    print("moved", moved, moved / len(rows))
+    assert moved < 60 * len(rows)

@@ -187,7 +187,7 @@ def _(s, d):
 
 @query("strength_threshold")
 def _(s, d):
-    e = tb.edges(s, d)
+    e = graph.cut(tb.edges(s, d))
     mean = graph.degree(e).agg(F.avg("strength")).first()[0]
     return graph.threshold_at_strength(e, mean / 2)
 
