@@ -1,16 +1,17 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k.
 
 Both models are counts of hashed words and word pairs in BUCKETS buckets: the raw model counts
-every text, the target model the labelled good texts of a bounded sample.  A text's importance
+every text, the target model all labelled good texts.  A text's importance
 is the logarithm of its probability under the target model over that under the raw model, the
 sum over its n-grams.  Adding Gumbel noise and taking the k largest samples k texts without
 replacement in proportion to importance.  k is the number of texts at least as important as all
-but LIGHTEST of the target sample, so it follows the corpus; the k-th largest is found by
+but LIGHTEST of the target texts, so it follows the corpus; the k-th largest is found by
 narrowing a histogram, without sorting the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +24,6 @@ from .arrow_text import LOWER, slices, text_buffer, words_of
 from .scratch import Scratch, ensure_columns, read_table
 
 BUCKETS = 1 << 14
-#: Labelled good texts that make the target model, at most.
-TARGET_TEXTS = 20_000
 LIGHTEST = 0.002
 SMOOTH = 1.0
 BINS = 4096
@@ -77,9 +76,9 @@ def score_batches(ratio, buckets: int) -> Callable:
     return run
 
 
-def target_ids(labels: DataFrame, most: int) -> DataFrame:
-    good = ensure_columns(labels, doc_id="long", quality="int").filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """The doc_id of every labelled good text."""
+    return ensure_columns(labels, doc_id="long", quality="int").filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -114,14 +113,25 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float | None:
     return high
 
 
+def quantile(scores: DataFrame, column: str, share: float) -> float | None:
+    """The exact percentile, between its two neighbours in proportion, without a table of all values."""
+    n = scores.filter(F.col(column).isNotNull()).count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    below = kth_largest(scores, column, n - math.floor(place))
+    above = kth_largest(scores, column, n - math.ceil(place))
+    return below + (place - math.floor(place)) * (above - below)
+
+
 def resampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, carry: dict[str, str] | None = None, k: int | None = None) -> DataFrame:
     """Every row with log_weight, key (log_weight with Gumbel noise) and kept.
 
     The noise follows doc_id and text alone, so neither file layout nor a lost task changes it.
     """
     docs = ensure_columns(docs, doc_id="long", text="string", **(carry or {})).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ids = scratch.put(target_ids(labels, TARGET_TEXTS), "target")
-    target = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # TARGET_TEXTS ids at most
+    ids = scratch.put(target_ids(labels), "target")
+    target = docs.join(ids, "doc_id", "left_semi")
     ratio = log_ratio(bucket_counts(target, BUCKETS), bucket_counts(docs, BUCKETS))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     names = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
@@ -129,8 +139,8 @@ def resampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, carry: dict[
     scored = scratch.put(scored if carry else scored.drop("text"), "scored")
     scored = scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", "th"))
     if k is None:
-        good = scored.join(F.broadcast(ids), "doc_id", "left_semi")
-        cut = good.agg(F.expr(f"percentile(log_weight, {LIGHTEST})")).first()[0]
+        good = scratch.put(scored.join(ids, "doc_id", "left_semi").select("log_weight"), "good")
+        cut = quantile(good, "log_weight", LIGHTEST)
         k = scored.count() if cut is None else scored.filter(F.col("log_weight") >= cut).count()
     least = kth_largest(scored, "key", k)
     kept = F.lit(k > 0) if least is None else F.col("key") >= least
