@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,34 +92,72 @@ def distance_to_centre(mask: DataFrame, spacing: tuple[float, float, float] = (1
     return on.crossJoin(F.broadcast(centre)).select(*XYZ, F.sqrt(d).alias("distance"))
 
 
-def lower_envelope(axis: str, spacing: float) -> Column:
-    """Each place of ``line`` with the least, over all its places, of the squared distance plus theirs."""
+#: Lines up to this length meet all to all.
+SHORT = 64
 
-    def best(p: Column) -> Column:
-        return F.struct(p[axis].alias(axis), F.array_min(F.transform("line", lambda q: (p[axis] - q[axis]) * (p[axis] - q[axis]) * (spacing * spacing) + q["d"])).alias("d"))
 
-    return F.transform("line", best)
+def lower_envelope(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """At each place the least, over all places of the line, of the squared distance plus theirs.
+
+    ``at`` is in order; a long line takes one pass over the parabolas that form the lower envelope.
+    """
+    if len(at) <= SHORT:
+        return ((at[:, None] - at) ** 2 + d).min(axis=1)
+    sites = np.flatnonzero(np.isfinite(d))
+    if not len(sites):
+        return d
+    own, start = [], []
+    for x, f in zip(at[sites].tolist(), d[sites].tolist(), strict=True):
+        begin, lies_above = -math.inf, False
+        while own:
+            px, pf = own[-1]
+            if px == x:
+                begin, lies_above = start[-1], pf <= f
+            else:
+                begin = (f - pf + x * x - px * px) / (2 * (x - px))
+            if lies_above or (px != x and begin > start[-1]):
+                break
+            own.pop(), start.pop()
+            begin = -math.inf
+        if not lies_above:
+            own.append((x, f))
+            start.append(begin)
+    x, f = np.array(own).T
+    k = np.maximum(np.searchsorted(np.array(start), at, side="right") - 1, 0)
+    near = [np.clip(k + step, 0, len(x) - 1) for step in (-1, 0, 1)]  # neighbours too: starts are rounded
+    return np.min([(at - x[j]) ** 2 + f[j] for j in near], axis=0)
 
 
 def distance_map(mask: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Signed Euclidean distance to the border of an object: below 0 inside, above 0 outside.
 
     Three passes, one an axis: along a line, each voxel takes the least of (distance along the axis)^2
-    plus what the passes before gave, so only voxels of one line meet.  A voxel's distance is that to
-    the nearest voxel of the other kind; without any it is infinite.
+    plus what the passes before gave, so only voxels of one line meet, in time that follows its
+    length.  A voxel's distance is that to the nearest voxel of the other kind; without any it is
+    infinite.
     """
-
-    def squared(target: int) -> DataFrame:
-        now = mask.select(*XYZ, F.when((F.col("value") != 0).cast("int") == target, 0.0).otherwise(float("inf")).alias("d"))
-        for axis, s in zip(XYZ, spacing, strict=True):
-            rest = [c for c in XYZ if c != axis]
-            lines = now.groupBy(*rest).agg(F.collect_list(F.struct(axis, "d")).alias("line"))  # a line of one axis
-            now = lines.select(*rest, F.inline(lower_envelope(axis, s)))
-        return now
-
-    inside, outside = squared(0).withColumnRenamed("d", "i"), squared(1).withColumnRenamed("d", "o")
-    both = inside.join(outside, XYZ)
-    return both.select(*XYZ, (F.sqrt("o") - F.sqrt("i")).alias("distance"))
+    kinds = dict(mask.dtypes)
+    on = (F.col("value") != 0).cast("int")
+    start = lambda target: F.when(on == target, 0.0).otherwise(float("inf"))
+    now = mask.select(*XYZ, start(0).alias("i"), start(1).alias("o"))
+    for axis, s in zip(XYZ, spacing, strict=True):
+        rest = [c for c in XYZ if c != axis]
+        lines = now.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct(axis, "i", "o"))).alias("line"))  # a line of one axis
+
+        def run(batches: Iterator[pa.RecordBatch], rest: list[str] = rest, axis: str = axis, s: float = s) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                line = batch.column("line")
+                ends = line.offsets.to_numpy() - line.offsets[0].as_py()
+                flat = line.flatten()
+                at = flat.field(axis).to_numpy(zero_copy_only=False) * float(s)
+                d = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in "io"}
+                out = {c: np.concatenate([lower_envelope(at[a:b], v[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)] or [v]) for c, v in d.items()}
+                back = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+                of = {c: batch.column(c).take(back) for c in rest} | {axis: flat.field(axis)} | {c: pa.array(v) for c, v in out.items()}
+                yield pa.RecordBatch.from_arrays([of[c] for c in (*XYZ, "i", "o")], [*XYZ, "i", "o"])
+
+        now = lines.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in XYZ) + ", i double, o double")
+    return now.select(*XYZ, (F.sqrt("o") - F.sqrt("i")).alias("distance"))
 
 
 def border_distance(ref: DataFrame, probability: DataFrame, steps: int = 40, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
