@@ -6,14 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def squared_distances(c: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T, 0)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of features as one array, without a Python object a row."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(column), len(flat) // len(column) if len(column) else 0)
+
+
 def assigned_sums(rows: DataFrame, centres: np.ndarray, squares: bool = False) -> dict[int, tuple[int, np.ndarray, np.ndarray | None]]:
     """Number, sum of features (and of squares) and nothing else of the rows nearest to each centre.
 
@@ -22,18 +31,20 @@ def assigned_sums(rows: DataFrame, centres: np.ndarray, squares: bool = False) -
     """
     k, d = centres.shape
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, more, n = np.zeros((k, d)), np.zeros((k, d)), np.zeros(k, np.int64)
-        for part in batches:
-            x = np.stack(part["features"].to_list()).astype(float)
-            at = squared_distances(centres, x).argmin(axis=1)
-            np.add.at(total, at, x)
-            np.add.at(more, at, x * x)
-            n += np.bincount(at, minlength=k)
-        yield pd.DataFrame({"c": range(k), "n": n, "s": list(np.concatenate([total, more], axis=1) if squares else total)})
+        for batch in batches:
+            x = matrix(batch.column("features"))
+            own = squared_distances(centres, x).argmin(axis=1)[:, None] == np.arange(k)
+            total += own.T.astype(float) @ x
+            if squares:
+                more += own.T.astype(float) @ (x * x)
+            n += own.sum(axis=0)
+        sums = np.concatenate([total, more], axis=1) if squares else total
+        yield pa.RecordBatch.from_pydict({"c": pa.array(range(k), pa.int32()), "n": pa.array(n), "s": pa.array(list(sums), pa.list_(pa.float64()))})
 
     width = 2 * d if squares else d
-    found = rows.select("features").mapInPandas(run, "c int, n long, s array<double>").filter("n > 0")
+    found = rows.select("features").mapInArrow(run, "c int, n long, s array<double>").filter("n > 0")
     sums = found.groupBy("c").agg(F.sum("n").alias("n"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(width)]).collect()  # a row a centre
     return {r["c"]: (r["n"], np.array(r[2 : 2 + d]), np.array(r[2 + d :]) if squares else None) for r in sums}
 
@@ -50,15 +61,16 @@ def seeded_centres(rows: DataFrame, k: int, seed: int = 1) -> np.ndarray:
     centres = [np.array(first, float)]
 
     def far(c: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                x = np.stack(part["features"].to_list()).astype(float)
-                yield pd.DataFrame({"id": part["id"], "features": part["features"], "d": np.sqrt(squared_distances(c, x).min(axis=1))})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    away = np.sqrt(squared_distances(c, matrix(batch.column("features"))).min(axis=1))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away)], ["id", "features", "d"])
 
         return run
 
     while len(centres) < k:
-        d = rows.select("id", F.col("features").cast("array<double>").alias("features")).mapInPandas(far(np.array(centres)), "id long, features array<double>, d double")
+        d = rows.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features")).mapInArrow(far(np.array(centres)), "id long, features array<double>, d double")
         u = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(len(centres))), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
         best = d.filter("d > 1e-9").agg(F.min_by("features", -F.log(u) / F.col("d"))).first()[0]  # one row
         if best is None:
@@ -73,6 +85,7 @@ def kmeans(rows: DataFrame, k: int, rounds: int | None = None, seed: int = 1, to
     Rounds go on until no centre moves by ``tolerance``, or for ``rounds`` if a number is given.  A
     cluster that loses its rows keeps its centre; fewer distinct rows than k give fewer clusters.
     """
+    rows = cut(rows.select("id", "features"))  # every round reads it
     centres = seeded_centres(rows, k, seed) if centres is None else np.asarray(centres, float)
     done = 0
     while len(centres) and (rounds is None or done < rounds):
@@ -88,12 +101,13 @@ def kmeans(rows: DataFrame, k: int, rounds: int | None = None, seed: int = 1, to
 def assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
     """(id, cluster): the nearest centre of every row; the centres go to the tasks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            x = np.stack(part["features"].to_list()).astype(float)
-            yield pd.DataFrame({"id": part["id"], "cluster": squared_distances(centres, x).argmin(axis=1).astype(np.int32)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = squared_distances(centres, matrix(batch.column("features"))).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(at.astype(np.int32))], ["id", "cluster"])
 
-    return rows.select("id", "features").mapInPandas(run, "id long, cluster int")
+    return rows.select(F.col("id").cast("long").alias("id"), "features").mapInArrow(run, "id long, cluster int")
 
 
 def isodata(rows: DataFrame, k: int, least: int = 5, split: float = 1.0, lump: float = 0.5, pairs: int = 2, rounds: int = 10, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
