@@ -27,6 +27,8 @@ BUCKETS = 1 << 14
 LIGHTEST = 0.002
 SMOOTH = 1.0
 BINS = 4096
+#: log2 of the bits of the filter that texts meet before they are shuffled to the target ids.
+FILTER_BITS = 24
 M3 = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,6 +83,19 @@ def target_ids(labels: DataFrame) -> DataFrame:
     return ensure_columns(labels, doc_id="long", quality="int").filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
+def target_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``, which are distinct.
+
+    A bit filter of fixed size is broadcast first, so few other texts are shuffled; the ids of a
+    partition are hashed and texts pass by them, unsorted.  The plan is the same at every size.  A semi join would be put before the filter.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))  # 2 ** (FILTER_BITS - 6) rows at most
+    near = docs.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(words), "word").filter(F.col("bits").bitwiseAND(bit) != 0)
+    return near.select(*docs.columns).join(ids.hint("shuffle_hash"), "doc_id")
+
+
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     share = lambda x: (x + SMOOTH) / (x.sum() + SMOOTH * len(x))
     return np.log(share(target)) - np.log(share(raw))
@@ -131,15 +146,14 @@ def resampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, carry: dict[
     """
     docs = ensure_columns(docs, doc_id="long", text="string", **(carry or {})).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     ids = scratch.put(target_ids(labels), "target")
-    target = docs.join(ids, "doc_id", "left_semi")
-    ratio = log_ratio(bucket_counts(target, BUCKETS), bucket_counts(docs, BUCKETS))
+    ratio = log_ratio(bucket_counts(target_texts(docs, ids), BUCKETS), bucket_counts(docs, BUCKETS))
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     names = ", ".join(f"{c} {t}" for c, t in docs.dtypes)
     scored = docs.mapInArrow(score_batches(shared, BUCKETS), f"{names}, log_weight double")
     scored = scratch.put(scored if carry else scored.drop("text"), "scored")
     scored = scored.withColumn("key", F.col("log_weight") + gumbel("doc_id", "th"))
     if k is None:
-        good = scratch.put(scored.join(ids, "doc_id", "left_semi").select("log_weight"), "good")
+        good = scratch.put(scored.select("doc_id", "log_weight").join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("log_weight"), "good")
         cut = quantile(good, "log_weight", LIGHTEST)
         k = scored.count() if cut is None else scored.filter(F.col("log_weight") >= cut).count()
     least = kth_largest(scored, "key", k)
