@@ -68,6 +68,15 @@ def test_many_distinct_values_take_no_quadratic_join(spark):
     assert abs(got["alpha"] - 2.5) < 0.02 and got["ks"] < 0.002
 
 
+def test_values_close_together_take_few_passes(spark, monkeypatch):
+    """All of them lie within a 64th of a doubling, where blocks of values would tell none apart."""
+    asked, exact = [], pl.distances
+    monkeypatch.setattr(pl, "distances", lambda v, some, discrete: asked.append(len(some)) or exact(v, some, discrete))
+    x = 1000 + 10 * np.random.default_rng(7).random(2000)
+    assert fitted(spark, x) == [pytest.approx(brute(x, False), rel=1e-9)]
+    assert len(asked) <= 3
+
+
 def test_bootstrap_fits_every_sample_anew(spark):
     rng = np.random.default_rng(5)
     x = np.floor((1 - rng.random(3000)) ** (-1 / 1.5) * 3 + 0.5)

@@ -4,7 +4,8 @@ Whole numbers have the discrete law, whose normaliser is Hurwitz's zeta function
 continuous one.  Every distinct value is a candidate for the least value xmin.  Suffix sums give each
 candidate's exponent; the distance of a candidate is then bounded from below and above by the ends
 of a few hundred blocks of values, those that can't be the best go, finer blocks bound the others,
-and only what is left meets all values, in passes that begin with the least bounds.
+and only what is left meets all values, in passes that begin with the least bounds.  Blocks follow the
+number of rows from a value on, so one holds the same small share of what any candidate has left.
 
 All steps carry a sample number, so the bootstrap is one fit of many samples side by side.
 """
@@ -22,7 +23,8 @@ from .graph import cut
 
 #: First exponent, step and last exponent that the discrete law tries.
 GRID = (1.5, 0.01, 3.5)
-#: Blocks to a doubling of the value, first and then.
+#: Blocks to a doubling of the rows from a value on, first and then; FINE also to a doubling of the
+#: value, for sums.
 COARSE, FINE = 4, 64
 #: Candidates of a sample that meet all values in a pass.
 BATCH = 32
@@ -57,18 +59,18 @@ def grid_exponents(n: np.ndarray, logs: np.ndarray, xmin: np.ndarray, grid: np.n
     return grid[low]
 
 
-def tails(alpha: np.ndarray, v: np.ndarray, discrete: bool) -> np.ndarray:
-    """A law's weight from each v on, one row an exponent, not normalised."""
+def tails(alpha: np.ndarray, xmin: np.ndarray, v: np.ndarray, discrete: bool) -> np.ndarray:
+    """A law's share from each v on, one row a law; at v < xmin of no meaning."""
+    if not discrete:  # by logarithms: steep laws' powers of v and xmin themselves vanish
+        return np.exp((1 - alpha)[:, None] * np.maximum(np.log(v)[None, :] - np.log(xmin)[:, None], 0))
     own, back = np.unique(alpha, return_inverse=True)
-    table = hurwitz(own[:, None], v[None, :]) if discrete else v[None, :] ** (1 - own[:, None])
-    return table[back]
+    return hurwitz(own[:, None], v[None, :])[back] / hurwitz(alpha, xmin)[:, None]
 
 
 def bounds(xmin: np.ndarray, n: np.ndarray, alpha: np.ndarray, ends: dict[str, np.ndarray], discrete: bool) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest distance that the ends of blocks (lo, hi, count from lo, count beyond hi) allow."""
-    whole = (hurwitz(alpha, xmin) if discrete else xmin ** (1 - alpha))[:, None]
-    from_lo = tails(alpha, ends["lo"], discrete) / whole
-    beyond = tails(alpha, ends["hi"] + (1 if discrete else 0), discrete) / whole
+    from_lo = tails(alpha, xmin, ends["lo"], discrete)
+    beyond = tails(alpha, xmin, ends["hi"] + (1 if discrete else 0), discrete)
     live, later = ends["hi"][None, :] >= xmin[:, None], ends["lo"][None, :] > xmin[:, None]
     from_lo = np.where(later, from_lo, 1.0)
     at_lo = np.where(later, ends["from_lo"][None, :] / n[:, None], 1.0)
@@ -79,18 +81,18 @@ def bounds(xmin: np.ndarray, n: np.ndarray, alpha: np.ndarray, ends: dict[str, n
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """(sample, value, c) with block, n and logs: rows and sum of logarithms from the value on."""
+    """(sample, value, c) with n and logs: rows and sum of logarithms from the value on."""
     v = counts.withColumn("l", F.log("value") * F.col("c")).withColumn("block", F.floor(F.log2("value") * FINE))
     blocks = v.groupBy("sample", "block").agg(F.sum("c").alias("bc"), F.sum("l").alias("bl"))  # a few thousand a sample
     later = Window.partitionBy("sample").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     blocks = blocks.select("sample", "block", F.coalesce(F.sum("bc").over(later), F.lit(0)).alias("bc"), F.coalesce(F.sum("bl").over(later), F.lit(0.0)).alias("bl"))
     inner = Window.partitionBy("sample", "block").orderBy("value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return v.join(blocks, ["sample", "block"]).select("sample", "value", "c", "block", (F.sum("c").over(inner) + F.col("bc")).alias("n"), (F.sum("l").over(inner) + F.col("bl")).alias("logs"))
+    return v.join(blocks, ["sample", "block"]).select("sample", "value", "c", (F.sum("c").over(inner) + F.col("bc")).alias("n"), (F.sum("l").over(inner) + F.col("bl")).alias("logs"))
 
 
 def block_ends(v: DataFrame, per: int) -> dict[int, dict[str, np.ndarray]]:
     """Ends and counts of the blocks of each sample; a few hundred or thousand rows a sample."""
-    block = F.floor(F.col("block") / (FINE // per))
+    block = F.floor(F.log2("n") * per)
     rows = v.groupBy("sample", block.alias("b")).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("n").alias("from_lo"), F.min(F.col("n") - F.col("c")).alias("beyond")
     )
