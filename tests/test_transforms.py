@@ -171,3 +171,19 @@ def test_halves_are_least_squares_splines(spark):
     flat = pyramid.halved(grid(spark, np.full((6, 5, 1), 2.0)).filter("x <> 2")).collect()
     assert len(flat) == 9 and all(r["value"] == pytest.approx(2) for r in flat) and pyramid.halved(grid(spark, np.ones((1, 1, 1))).limit(0)).count() == 0
     assert math.isclose(pyramid.SEVENTH_TAPS.sum(), 1) and pyramid.TWO_SCALE_TAPS.sum() == 2
+
+
+def test_an_inverse_is_found_in_bricks_without_a_shuffle_a_round(spark, spline, numbers, monkeypatch):
+    cuts, cut = [], transforms.cut
+    monkeypatch.setattr(transforms, "cut", lambda df: cuts.append(1) or cut(df))
+    to, jac = run(spark, INNER, Inverse(spline, 1e-10))
+    assert len(cuts) <= 3  # a round each before
+    monkeypatch.setattr(transforms, "SIDE", 2)
+    monkeypatch.setattr(transforms, "POINTS", 1)
+    for got, want in zip(run(spark, INNER, Inverse(spline, 1e-10)), (to, jac), strict=True):
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+    there, j = run(spark, to.tolist(), spline)
+    assert np.allclose(there, INNER, atol=1e-8) and all(np.allclose(a @ b, np.eye(3), atol=1e-8) for a, b in zip(j, jac, strict=True))
+    monkeypatch.setattr(transforms, "CONTROLS", 0)  # by rounds, where control points move too far
+    for got, want in zip(run(spark, INNER, Inverse(spline, 1e-10)), (to, jac), strict=True):
+        assert np.allclose(got, want, rtol=0, atol=1e-12)

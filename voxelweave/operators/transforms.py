@@ -1,8 +1,9 @@
 """Free-form transforms of space: cubic B-splines, their Jacobians and inverses, chains of
 transforms, and images resampled by them.
 
-Points are rows (keys, px, py, pz); a spline moves them by a join with the control points around
-each, and derivative weights along the same join give the Jacobian matrix.
+Points are rows (keys, px, py, pz); a spline moves them in bricks of cells, each with its points and
+the control points around it, and derivative weights give the Jacobian matrix.  A spline moves no point
+by more than its largest control point, so with that much more around a brick a whole inverse is found in it.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .filters import XYZ, Affine, transform_of, transform_parameters
 from .graph import cut
 
+#: Cells to a side of a brick, points of a group at most on average, and control points of a group of an inverse.
+SIDE, POINTS, CONTROLS = 16, 50_000, 1 << 18
+#: Points whose 64 control points are held at once.
+CHUNK = 4096
+
 EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
@@ -49,15 +56,15 @@ class Inverse:
     rounds: int = 100
 
 
-def weights(u: Column) -> list[Column]:
-    """Weights of the control points -1, 0, 1, 2 of a cubic spline at the share u of a cell."""
+def weights(u: np.ndarray) -> np.ndarray:
+    """Weights of the control points -1, 0, 1, 2 of a cubic spline at the share u of a cell, in a last axis."""
     v = 1 - u
-    return [v * v * v / 6, (3 * u * u * u - 6 * u * u + 4) / 6, (3 * v * v * v - 6 * v * v + 4) / 6, u * u * u / 6]
+    return np.stack([v * v * v / 6, (3 * u * u * u - 6 * u * u + 4) / 6, (3 * v * v * v - 6 * v * v + 4) / 6, u * u * u / 6], axis=-1)
 
 
-def slopes(u: Column) -> list[Column]:
+def slopes(u: np.ndarray) -> np.ndarray:
     v = 1 - u
-    return [-v * v / 2, (3 * u * u - 4 * u) / 2, (4 * v - 3 * v * v) / 2, u * u / 2]
+    return np.stack([-v * v / 2, (3 * u * u - 4 * u) / 2, (4 * v - 3 * v * v) / 2, u * u / 2], axis=-1)
 
 
 def product(a: str, b: list[Column]) -> Column:
@@ -104,26 +111,129 @@ def moved(points: DataFrame, keys: list[str], transform: Affine | Spline | Chain
     return now
 
 
+class Brick:
+    """The control points of a box of cells that begins at control point ``low``; null numbers count as 0,
+    and a control point without cx as missing."""
+
+    def __init__(self, spline: tuple[tuple, tuple], low: np.ndarray, size: list[int], control: pa.Table):
+        self.spacing, self.origin = (np.array(x, float) for x in spline)
+        self.low, self.size = low, np.array(size)
+        at = np.stack([control[c].to_numpy() for c in "ijk"], axis=1).astype(np.int64) - low
+        flat = np.ravel_multi_index(tuple(at.T), size)
+        number = [control[f"c{c}"].combine_chunks() for c in XYZ]
+        values = np.stack([x.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float) for x in number], axis=1)
+        self.known, self.control = np.zeros(math.prod(size), np.int64), np.zeros((math.prod(size), 3))
+        np.add.at(self.known, flat, number[0].is_valid().to_numpy(zero_copy_only=False).astype(np.int64))
+        np.add.at(self.control, flat, values)
+        self.corners = np.ravel_multi_index(tuple(np.array(list(itertools.product(range(4), repeat=3))).T), size)
+
+    def moves(self, p: np.ndarray, jacobian: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Displacements of points, and if asked the Jacobian matrices there, row by row."""
+        parts = [self._moves(p[a : a + CHUNK], jacobian) for a in range(0, max(1, len(p)), CHUNK)]
+        return np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]) if jacobian else None
+
+    def _moves(self, p: np.ndarray, jacobian: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        with np.errstate(invalid="ignore"):
+            place = (p - self.origin) / self.spacing
+            cell = np.where(np.isfinite(place), np.floor(place), 0)
+            u, at = place - np.floor(place), cell - 1 - self.low
+        held = ((at >= 0) & (at + 3 < self.size)).all(axis=1)
+        at = np.where(held[:, None], at, 0).astype(np.int64)
+        near = np.ravel_multi_index(tuple(at.T), tuple(self.size))[:, None] + self.corners
+        whole = held & (self.known[near].sum(axis=1) == 64)
+        around, w = self.control[near], weights(u)
+        of = lambda x, y, z: (np.einsum("ni,nj,nk->nijk", x, y, z).reshape(len(p), 1, 64) @ around)[:, 0]
+        move = np.where(whole[:, None], of(w[:, 0], w[:, 1], w[:, 2]), 0.0)
+        if not jacobian:
+            return move, None
+        s = slopes(u) / self.spacing[:, None]
+        by = np.stack([of(*[(s if d == c else w)[:, c] for c in range(3)]) for d in range(3)], axis=2)  # (point, of, by)
+        return move, np.where(whole[:, None, None], by, 0.0).reshape(-1, 9) + EYE
+
+
+def in_bricks(at: DataFrame, keys: list[str], spline: Spline, halo: list[int], aim: Callable[[Brick, np.ndarray], dict[str, np.ndarray]], more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, px, py, pz, jac[, more]) of what ``aim`` finds for the points of a brick, whose cells and
+    ``halo`` cells around them have their control points.  Points of a full brick are dealt to several groups."""
+    spacing, origin, brick = spline.spacing, spline.origin, [f"_b{c}" for c in XYZ]
+    cell = [F.coalesce(F.floor((F.col(f"p{c}") - o) / s), F.lit(0)) for c, o, s in zip(XYZ, origin, spacing, strict=True)]
+    points = at.select("*", *[F.floor(v / SIDE).alias(b) for b, v in zip(brick, cell, strict=True)])
+    parts = points.groupBy(*brick).agg(F.ceil(F.count("*") / POINTS).alias("_parts"))
+    points = points.join(parts, brick).withColumn("_part", F.pmod(F.xxhash64(*keys), F.col("_parts"))).drop("_parts")
+    control = spline.control.select(*[F.col(c).cast("long").alias(c) for c in "ijk"], *[F.col(f"c{c}").cast("double").alias(f"c{c}") for c in XYZ])
+    for b, c, h in zip(brick, "ijk", halo, strict=True):
+        control = control.withColumn(b, F.explode(F.sequence(F.floor((F.col(c) - 2 - h) / SIDE), F.floor((F.col(c) + 1 + h) / SIDE))))
+    control = control.join(parts, brick).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    size, numbers = [SIDE + 3 + 2 * h for h in halo], (tuple(spacing), tuple(origin))
+    made = [F.col(f"p{c}").cast("double").alias(f"p{c}") for c in XYZ] + [F.lit(None).cast("array<double>").alias("jac")]
+    types = at.select(*keys, *made, *[F.lit(0).alias(c) for c in more]).schema
+    names = [f"p{c}" for c in XYZ]
+
+    def run(key: tuple, own: pa.Table, around: pa.Table) -> pa.Table:
+        low = np.array([k.as_py() * SIDE - 1 - h for k, h in zip(key[:3], halo, strict=True)])
+        p = np.stack([own[n].combine_chunks().cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False) for n in names], axis=1)
+        found = aim(Brick(numbers, low, size, around), p)
+        out = {k: own[k] for k in keys}
+        for c, n in enumerate(names):  # a null stays
+            out[n] = pa.array(np.ascontiguousarray(found["p"][:, c]), mask=own[n].combine_chunks().is_null().to_numpy(zero_copy_only=False))
+        out["jac"] = pa.ListArray.from_arrays(pa.array(np.arange(0, 9 * len(p) + 1, 9, dtype=np.int32)), pa.array(found["jac"].ravel()))
+        return pa.table(out | {k: pa.array(v) for k, v in found.items() if k not in ("p", "jac")})
+
+    group = [*brick, "_part"]
+    return points.groupBy(*group).cogroup(control.groupBy(*group)).applyInArrow(run, types)
+
+
+def with_keys(at: DataFrame, keys: list[str]) -> DataFrame:
+    return at.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+
+
 def moved_by_spline(at: DataFrame, keys: list[str], spline: Spline) -> DataFrame:
-    place = {c: (F.col(f"p{c}") - o) / s for c, o, s in zip(XYZ, spline.origin, spline.spacing, strict=True)}
-    cells = at.select(*keys, *[F.floor(v).cast("int").alias(f"b{c}") for c, v in place.items()], *[(v - F.floor(v)).alias(f"u{c}") for c, v in place.items()])
-    per = cells.select("*", *[F.array(*weights(F.col(f"u{c}"))).alias(f"w{c}") for c in XYZ], *[F.array(*[x / s for x in slopes(F.col(f"u{c}"))]).alias(f"s{c}") for c, s in zip(XYZ, spline.spacing, strict=True)])
-    corner = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(XYZ, o, strict=True)]) for o in itertools.product(range(4), repeat=3)])
-    each = per.select("*", F.explode(corner).alias("o"))
-    weight, slope = ({c: F.element_at(f"{k}{c}", F.col(f"o.{c}") + 1) for c in XYZ} for k in "ws")
-    of = {"w": weight["x"] * weight["y"] * weight["z"], "gx": slope["x"] * weight["y"] * weight["z"], "gy": weight["x"] * slope["y"] * weight["z"], "gz": weight["x"] * weight["y"] * slope["z"]}
-    each = each.select(*keys, *[(F.col(f"b{c}") + F.col(f"o.{c}") - 1).alias(i) for c, i in zip(XYZ, "ijk", strict=True)], *[v.alias(n) for n, v in of.items()])
-    met = each.join(spline.control.select("i", "j", "k", "cx", "cy", "cz"), ["i", "j", "k"], "left")
-    sums = met.groupBy(*keys).agg(F.count("cx").alias("_met"), *[F.sum(F.col(g) * F.col(f"c{c}")).alias(f"{g}_{c}") for g in of for c in XYZ])
-    whole = F.col("_met") == 64
-    jac = [F.when(whole, F.col(f"g{d}_{c}")).otherwise(0.0) + (1.0 if c == d else 0.0) for c in XYZ for d in XYZ]
-    to = [(F.col(f"p{c}") + F.when(whole, F.col(f"w_{c}")).otherwise(0.0)).alias(f"p{c}") for c in XYZ]
-    return at.join(sums, keys).select(*keys, *to, F.array(*jac).alias("jac"))
+    def aim(brick: Brick, p: np.ndarray) -> dict[str, np.ndarray]:
+        move, jac = brick.moves(p, True)
+        return {"p": p + move, "jac": jac}
+
+    return in_bricks(with_keys(at, keys), keys, spline, [0, 0, 0], aim)
+
+
+def halo_of(spline: Spline) -> list[int]:
+    """Cells that a point can be moved by, and one for rounding."""
+    size = [F.abs(f"c{c}") for c in XYZ]
+    most = spline.control.agg(*[F.max(F.when(x < math.inf, x)) for x in size]).first()
+    return [math.ceil((m or 0.0) / abs(s)) + 1 for m, s in zip(most, spline.spacing, strict=True)]
+
+
+def spline_back(at: DataFrame, keys: list[str], inverse: Inverse, halo: list[int]) -> DataFrame:
+    """The rounds of an inverse within bricks.  All points take as many as the slowest brick: the others go
+    on in a second pass."""
+    tolerance, most, least = inverse.tolerance, inverse.rounds, 0
+    at = cut(with_keys(at, keys))
+    while True:
+
+        def aim(brick: Brick, p: np.ndarray, least: int = least) -> dict[str, np.ndarray]:
+            now, n = p, 0
+            while n < most:
+                to = now + brick.moves(now)[0]
+                # A coordinate that is null has no distance; NaN is never near.
+                if n >= least and (np.abs(to - p) <= tolerance)[~np.isnan(p)].all():
+                    break
+                now, n = now - to + p, n + 1
+            return {"p": now, "jac": brick.moves(now, True)[1], "rounds": np.full(len(p), n, np.int32)}
+
+        found = cut(in_bricks(at, keys, inverse.of, halo, aim, ("rounds",)))
+        top = found.agg(F.max("rounds")).first()[0] or 0
+        if top >= most:
+            raise ValueError("the inverse has not settled: the transform folds or stretches too much")
+        if top == least or found.filter(F.col("rounds") < top).isEmpty():
+            return found.select(*keys, "px", "py", "pz", inverted("jac").alias("jac"))
+        least = top
 
 
 def moved_back(at: DataFrame, keys: list[str], inverse: Inverse) -> DataFrame:
     if isinstance(inverse.of, Affine):
         return moved(at, keys, inverse.of.inverse())
+    if isinstance(inverse.of, Spline):
+        halo = halo_of(inverse.of)
+        if math.prod(SIDE + 3 + 2 * h for h in halo) <= CONTROLS:
+            return spline_back(at, keys, inverse, halo)
     aim = cut(at.withColumnsRenamed({f"p{c}": f"a{c}" for c in XYZ}))
     now = aim.select(*keys, *[F.col(f"a{c}").alias(f"p{c}") for c in XYZ])
     for _ in range(inverse.rounds):
