@@ -72,3 +72,28 @@ def test_posterior_of_known_tensors(spark):
     assert got[4]["accepted"] < 0.5
     with pytest.raises(ValueError):
         posterior.bayesian_kurtosis(df, g[:30])
+
+
+def test_one_file_is_dealt_to_all_cores(spark):
+    df = spark.range(400, numPartitions=1).selectExpr("id AS voxel_id", "array(1D) AS series")
+    assert posterior.dealt(df).rdd.getNumPartitions() == 4 and posterior.dealt(df.limit(0)).rdd.getNumPartitions() == 1
+    assert posterior.dealt(df).count() == 400
+
+
+def test_starts_are_the_least_local_minima():
+    rng = np.random.default_rng(6)
+    f = np.round(rng.normal(size=(len(posterior.GRID), 30)), 1)  # with ties
+    row, point = posterior.grid_starts(f)
+    for r in range(30):
+        best = [p for p, close in enumerate(posterior.CLOSE) if f[p, r] <= f[close, r].min()]
+        assert point[row == r].tolist() == sorted(best, key=lambda p: (f[p, r], p))[: posterior.STARTS]
+
+
+def test_steps_equal_those_of_eigenvectors():
+    rng = np.random.default_rng(7)
+    h, g = rng.normal(size=(50, 2, 2)), rng.normal(size=(50, 2))
+    h = h + np.swapaxes(h, 1, 2)
+    h[:3] = [np.eye(2), -2 * np.eye(2), np.zeros((2, 2))]
+    values, axes = np.linalg.eigh(h)
+    want = -np.einsum("nij,nj,nkj,nk->ni", axes, 1 / np.maximum(np.abs(values), 0.1), axes, g)
+    assert np.allclose(posterior.against_slope(h, g, np.full(50, 0.1)), want)

@@ -12,8 +12,10 @@ from .signal import mapped
 #: Half of these directions, those of z > 0, make the grid, for kurtosis is the same in n and -n.
 GRID = directions(500)[:250]
 #: Grid points that are the best within 20 degrees are starts; those of the best values are refined.
-CLOSE = np.abs(GRID @ GRID.T) > np.cos(np.radians(20))
+CLOSE = [np.flatnonzero(c) for c in np.abs(GRID @ GRID.T) > np.cos(np.radians(20))]
 STARTS = 6
+#: Rows of a task at most, and so many that a task of their own is worth its start.
+ROWS, FEW = 5_000, 100
 
 
 def kurtosis_along(d: np.ndarray, w: np.ndarray, n: np.ndarray, curved: bool = True) -> tuple[np.ndarray, ...]:
@@ -42,6 +44,25 @@ def tangents(n: np.ndarray) -> np.ndarray:
     return np.stack([one, np.cross(n, one)], axis=-1)
 
 
+def grid_starts(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, grid point) of each row's STARTS least local minima, of values (grid point, row), by row."""
+    best = np.stack([f[p] <= f[close].min(axis=0) for p, close in enumerate(CLOSE)])
+    row, point = np.nonzero(best.T)
+    order = np.lexsort((f[point, row], row))
+    row, point = row[order], point[order]
+    first = np.searchsorted(row, row) + STARTS > np.arange(len(row))
+    return row[first], point[first]
+
+
+def against_slope(bend: np.ndarray, g: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """-H^-1 g for symmetric 2 x 2 matrices H, with eigenvalues taken as positive and at least ``least``."""
+    half, off = (bend[:, 0, 0] - bend[:, 1, 1]) / 2, (bend[:, 0, 1] + bend[:, 1, 0]) / 2
+    middle, apart = (bend[:, 0, 0] + bend[:, 1, 1]) / 2, np.hypot(half, off)
+    high, low = (1 / np.maximum(np.abs(middle + s * apart), least) for s in (1, -1))
+    even, odd = (high + low) / 2, (high - low) / 2 / np.where(apart == 0, 1, apart)
+    return -np.stack([(even + odd * half) * g[:, 0] + odd * off * g[:, 1], odd * off * g[:, 0] + (even - odd * half) * g[:, 1]], axis=1)
+
+
 def kurtosis_extremes(fit: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least and greatest kurtosis over the sphere of fits (six, fifteen), and whether both converged.
 
@@ -55,30 +76,23 @@ def kurtosis_extremes(fit: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np
     good[good] = np.linalg.eigvalsh(d[good])[:, 0] > 0
     if not good.any():
         return out[0], out[1], sure
-    d, w, grid = d[good], w[good], along(fit[good], GRID)[1]
+    d, w, grid = d[good], w[good], np.ascontiguousarray(along(fit[good], GRID)[1].T)
     sure[good] = True
     for side, sign in ((0, 1.0), (1, -1.0)):
         f = sign * grid
-        best = np.ones_like(f, bool)
-        for p in range(len(GRID)):
-            best[:, p] = f[:, p] <= f[:, CLOSE[p]].min(axis=1)
-        first = np.where(best, f, np.inf).argsort(axis=1, kind="stable")[:, :STARTS]
-        owner = np.repeat(np.arange(len(f)), STARTS)
-        n = GRID[first].reshape(-1, 1, 3)
-        value = np.take_along_axis(f, first, 1).ravel()
-        at = np.flatnonzero(np.take_along_axis(best, first, 1).ravel())  # the starts still moving
+        owner, point = grid_starts(f)
+        n, value = GRID[point][:, None], f[point, owner]
+        at = np.arange(len(owner))  # the starts still moving
         for _ in range(rounds):
             do, wo = d[owner[at]], w[owner[at]]
             v, slope, bend = kurtosis_along(do, wo, n[at])
             value[at], plane = sign * v[:, 0], tangents(n[at])[:, 0]
             turned = np.swapaxes(plane, 1, 2)
             g = sign * (turned @ slope[:, 0, :, None])[..., 0]
-            root, axes = np.linalg.eigh(sign * (turned @ bend[:, 0] @ plane))
             size = 1e-9 + np.abs(value[at])
             open_ = np.linalg.norm(g, axis=1) > 1e-8 * size
-            root = np.maximum(np.abs(root), 1e-6 * size[:, None])
-            turn = -(axes @ ((np.swapaxes(axes, 1, 2) @ g[..., None])[..., 0] / root)[..., None])
-            step = (plane @ turn)[..., 0]
+            turn = against_slope(sign * (turned @ bend[:, 0] @ plane), g, 1e-6 * size)
+            step = (plane @ turn[..., None])[..., 0]
             step *= np.minimum(1, 0.3 / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-300))
             left = np.flatnonzero(open_)
             moved = []
@@ -95,7 +109,7 @@ def kurtosis_extremes(fit: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np
             at = at[np.sort(np.concatenate(moved))]  # the others are at an extreme, to rounding
             if not len(at):
                 break
-        out[side, good] = sign * value.reshape(len(f), -1).min(axis=1)
+        out[side, good] = sign * np.minimum.reduceat(value, np.searchsorted(owner, np.arange(len(d))))
         sure[np.flatnonzero(good)[owner[at]]] = False
     return out[0], out[1], sure
 
@@ -103,6 +117,13 @@ def kurtosis_extremes(fit: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np
 MEASURES = ("trace", "fa", "mean_k", "axial_k", "radial_k", "k_min", "k_max")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows in as many partitions as milliseconds of work a row are worth, however few files hold them."""
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, -(-n // ROWS), min(cores, n // FEW)), "voxel_id")
+
+
 def bayesian_kurtosis(rows: DataFrame, gradients: list[tuple[float, float, float, float]], draws: int = 100, seed: int = 1) -> DataFrame:
     """Posterior mean and deviation of MEASURES under a flat prior, over positive definite draws.
 
@@ -148,4 +169,4 @@ def bayesian_kurtosis(rows: DataFrame, gradients: list[tuple[float, float, float
     def kernel(s: np.ndarray) -> np.ndarray:
         return np.concatenate([posterior(s[a : a + chunk]) for a in range(0, len(s), chunk)])
 
-    return named(mapped(rows, kernel), [f"{m}_{of}" for m in MEASURES for of in ("mean", "sd")] + ["accepted", "converged"])
+    return named(mapped(dealt(rows), kernel), [f"{m}_{of}" for m in MEASURES for of in ("mean", "sd")] + ["accepted", "converged"])
