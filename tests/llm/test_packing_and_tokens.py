@@ -97,6 +97,19 @@ def test_short_documents_meet_the_same_gaps_again(spark):
     assert len(sums) == 201
 
 
+def test_the_driver_holds_one_scan_and_no_broadcast(spark, monkeypatch):
+    """Of all rounds' tables together, and of the depths that a sweep begins with."""
+    from voxelweave.llm.scratch import Scratch
+
+    plans, put = [], Scratch.put
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "put", lambda self, df, label: plans.append(plan_of(df)) or put(self, df, label))
+    df = spark.createDataFrame(list(enumerate([4050] * 20 + [1000] * 9 + [20] * 390 + [11] * 40)), "doc_id long, length long")
+    found = packing.best_fit(df, Scratch(spark, "t"))
+    assert found.count() == 459 and plan_of(found).count("FileScan") == 1
+    assert len(plans) >= 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_ranks_without_a_gap_fill_sequences():
     lengths = sorted(np.random.default_rng(5).integers(3, 40, 5000).tolist(), reverse=True)
     counts = Counter((x, 1, 0, k % 3) for k, x in enumerate(lengths))

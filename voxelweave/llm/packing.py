@@ -170,7 +170,9 @@ def sweep(docs: DataFrame, gaps: DataFrame, low: int, high: int, capacity: int,
     counted = events.groupBy(*part).agg(F.sum("k").alias("n")).collect()
     plan = Sweep([tuple(r) for r in counted], high, capacity)
     rank = Window.partitionBy(*part).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = events.withColumn("rank", F.sum("k").over(rank)).join(F.broadcast(docs.sparkSession.createDataFrame(plan.table)), part)
+    # The rows lie by part already; a broadcast would keep a page of the driver's memory in every round.
+    begins = docs.sparkSession.createDataFrame(plan.table).hint("shuffle_hash")
+    ranked = events.withColumn("rank", F.sum("k").over(rank)).join(begins, part)
     top = F.col("depth") + F.col("rank")
     alone = F.col("rank") - F.col("depth") - 1 - F.col("begin")  # rank among those of its length without a gap
     fill = F.when(alone < F.col("more"), F.col("started")).otherwise(
@@ -217,7 +219,7 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> D
     if histogram and (min(histogram) < 1 or max(histogram) > capacity):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     gaps: DataFrame | None = None
-    placed: list[DataFrame] = []
+    placed: list[str] = []
     number = 0
     for low, high in classes(histogram, capacity):
         docs: DataFrame | None = items.filter(F.col("length").between(low, high))
@@ -229,12 +231,13 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> D
             else:
                 found, plan = sweep(docs, no_gaps(spark) if gaps is None else gaps, low, high, capacity, number)
                 again = 2 * low <= high and 0 < plan.without_gap < plan.wanted
+            found = found.withColumn("stays", ~F.col("opened") if again else F.lit(True))
             found = scratch.put(found, f"placed-{high}")
+            placed.append(found._scratch_path)
             docs = None
             if again:
-                docs = found.filter("opened").drop("sequence_id", "opened")
-                found = found.filter("NOT opened")
-            placed.append(found.drop("opened"))
+                docs = found.filter("opened").drop("sequence_id", "opened", "stays")
+                found = found.filter("stays")
             if docs is None and low <= min(histogram):
                 break  # nothing is left that could meet the gaps
             used = found.select("sequence_id", (-F.col("length")).alias("gap"), "opened")
@@ -247,9 +250,8 @@ def best_fit(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> D
             scratch.drop(old)
     if not placed:
         return items.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("item_id")
-    every = placed[0]
-    for one in placed[1:]:
-        every = every.unionByName(one)
+    # One scan of all rounds' tables: a union would give the driver a plan, and code, for each.
+    every = spark.read.schema(found.schema).parquet(*placed).filter("stays")
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "item_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     offset: Column = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
