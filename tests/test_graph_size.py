@@ -47,6 +47,33 @@ def test_triangles_shuffle_edges_and_not_pairs_of_edges(spark):
     assert moved < 40 * len(rows)  # one pair of edges a triangle would be 669,920 rows for 12,720 edges
 
 
+def test_edges_are_shuffled_once_whatever_the_blocks(spark, monkeypatch):
+    """An edge of a connected graph went to as many cells as there are groups of nodes."""
+    edges, rows = complete(spark, 160)
+    edges, moved = graph.cut(edges), []
+    for cell in (200_000, 2500):
+        monkeypatch.setattr(graph, "CELL", cell)
+        found = {}
+        moved.append(shuffled(spark, lambda: found.update({r["node"]: r["links"] for r in graph.corners(edges).collect()})))  # noqa: B023
+        assert found == {n: 159 * 158 // 2 for n in range(160)}
+    assert moved[1] < 2 * moved[0], moved
+
+
+def test_long_and_short_lists_of_neighbours_give_the_same_corners(spark, monkeypatch):
+    """A hub of many neighbours, and edges looked up one by one or many at a time."""
+    rng = np.random.default_rng(8)
+    m = np.triu(np.where(rng.random((70, 70)) < 0.2, rng.random((70, 70)), 0), 1)
+    m[0, 1:] = 1.5
+    full, one = m + m.T, ((m + m.T) > 0).astype(float)
+    i, j = np.nonzero(m)
+    df = spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in zip(i, j, strict=True)], "src long, dst long, weight double")
+    want = np.diag(one @ one @ one) / 2, np.diag(full @ full @ full) / 2
+    for least in (0, 12, 1000):
+        monkeypatch.setattr(graph, "LONG", least)
+        got = {r["node"]: (r["links"], r["closed"]) for r in graph.corners(df).collect()}
+        assert got == {k: (want[0][k], pytest.approx(want[1][k])) for k in range(70) if want[0][k]}
+
+
 @pytest.mark.parametrize("cell", [50, 400, 100_000])
 def test_corners_of_triangles_in_any_cells(spark, monkeypatch, cell):
     monkeypatch.setattr(graph, "CELL", cell)
