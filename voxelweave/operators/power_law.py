@@ -2,10 +2,11 @@
 
 Whole numbers have the discrete law, whose normaliser is Hurwitz's zeta function, others the
 continuous one.  Every distinct value is a candidate for the least value xmin.  Suffix sums give each
-candidate's exponent; the distance of a candidate is then bounded from below and above by the ends
-of a few hundred blocks of values, those that can't be the best go, finer blocks bound the others,
-and only what is left meets all values, in passes that begin with the least bounds.  Blocks follow the
-number of rows from a value on, so one holds the same small share of what any candidate has left.
+candidate's exponent.  Values lie in blocks that follow the number of rows from a value on, so one holds
+the same small share of what any candidate has left.  The distance of every candidate is bounded from
+below at the ends of a few of them, spread over its own rows; the ends of all blocks bound the
+distances of the most promising ones from above, those that can't be the best go, all blocks bound the
+others, and only what is left meets all values, in passes that begin with the least bounds.
 
 All steps carry a sample number, so the bootstrap is one fit of many samples side by side.
 """
@@ -23,9 +24,11 @@ from .graph import cut
 
 #: First exponent, step and last exponent that the discrete law tries.
 GRID = (1.5, 0.01, 3.5)
-#: Blocks to a doubling of the rows from a value on, first and then; FINE also to a doubling of the
-#: value, for sums.
-COARSE, FINE = 4, 64
+#: Blocks to a doubling of the rows from a value on; also to a doubling of the value, for sums.
+FINE = 64
+#: Shares of a candidate's rows at which its distance is first looked at, and candidates that all
+#: blocks then bound, to have a limit for the others.
+SHARES, FIRST = np.linspace(0.98, 0.02, 24), 1000
 #: Candidates of a sample that meet all values in a pass.
 BATCH = 32
 SLACK = 1e-12
@@ -80,13 +83,25 @@ def bounds(xmin: np.ndarray, n: np.ndarray, alpha: np.ndarray, ends: dict[str, n
     return low, high
 
 
+def least(xmin: np.ndarray, n: np.ndarray, alpha: np.ndarray, ends: dict[str, np.ndarray], discrete: bool) -> np.ndarray:
+    """Least distance that a few blocks' first values allow, at SHARES of each candidate's rows."""
+    at = np.maximum(np.searchsorted(-ends["from_lo"], -(n[:, None] * SHARES), side="right") - 1, 0)
+    lo = ends["lo"][at]
+    if discrete:
+        share = hurwitz(alpha[:, None], lo) / hurwitz(alpha, xmin)[:, None]
+    else:
+        share = np.exp((1 - alpha)[:, None] * np.maximum(np.log(ends["lo"])[at] - np.log(xmin)[:, None], 0))
+    return np.where(lo > xmin[:, None], np.abs(share - ends["from_lo"][at] / n[:, None]), 0).max(axis=1)
+
+
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """(sample, value, c) with n and logs: rows and sum of logarithms from the value on."""
     v = counts.withColumn("l", F.log("value") * F.col("c")).withColumn("block", F.floor(F.log2("value") * FINE))
     blocks = v.groupBy("sample", "block").agg(F.sum("c").alias("bc"), F.sum("l").alias("bl"))  # a few thousand a sample
-    later = Window.partitionBy("sample").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    # From the largest on: a frame that ends at the row runs on, one that begins there is summed anew for each row.
+    later = Window.partitionBy("sample").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("sample", "block", F.coalesce(F.sum("bc").over(later), F.lit(0)).alias("bc"), F.coalesce(F.sum("bl").over(later), F.lit(0.0)).alias("bl"))
-    inner = Window.partitionBy("sample", "block").orderBy("value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inner = Window.partitionBy("sample", "block").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return v.join(blocks, ["sample", "block"]).select("sample", "value", "c", (F.sum("c").over(inner) + F.col("bc")).alias("n"), (F.sum("l").over(inner) + F.col("bl")).alias("logs"))
 
 
@@ -100,17 +115,19 @@ def block_ends(v: DataFrame, per: int) -> dict[int, dict[str, np.ndarray]]:
     return {int(k): {c: g[c].to_numpy(float) for c in ("lo", "hi", "from_lo", "beyond")} for k, g in found.groupby("sample")}
 
 
-def bounded(candidates: DataFrame, ends: dict[int, dict[str, np.ndarray]], discrete: bool) -> DataFrame:
+def bounded(candidates: DataFrame, ends: dict[int, dict[str, np.ndarray]], discrete: bool, few: bool = False) -> DataFrame:
+    """Candidates with low and high, by all blocks; with ``few`` by some, which give no high."""
     known = candidates.sparkSession.sparkContext.broadcast(ends)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for sample, rows in part.groupby("sample"):
                 own = known.value[int(sample)]
-                step = max(1, (1 << 20) // len(own["lo"]))
+                step = max(1, (1 << 20) // (len(SHARES) if few else len(own["lo"])))
                 for a in range(0, len(rows), step):
                     g = rows.iloc[a : a + step].copy()
-                    g["low"], g["high"] = bounds(g["xmin"].to_numpy(), g["n"].to_numpy(float), g["alpha"].to_numpy(), own, discrete)
+                    given = g["xmin"].to_numpy(), g["n"].to_numpy(float), g["alpha"].to_numpy(), own, discrete
+                    g["low"], g["high"] = (least(*given), np.inf) if few else bounds(*given)
                     yield g
 
     kept = candidates.drop("low", "high")
@@ -142,8 +159,8 @@ def fits(counts: DataFrame, discrete: bool, finite_size: bool, small: bool, grid
     """(sample, alpha, xmin, ks, log likelihood, n) of each sample of counts (sample, value, c)."""
     steps = np.round(np.arange(grid[0], grid[2] + grid[1] / 2, grid[1]), 10)
     v = cut(suffix_sums(counts))
-    coarse = block_ends(v, COARSE)
-    if not coarse:
+    ends = block_ends(v, FINE)
+    if not ends:
         return []
 
     def candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,13 +182,26 @@ def fits(counts: DataFrame, discrete: bool, finite_size: bool, small: bool, grid
         limits = spark.createDataFrame([(k, x + SLACK) for k, x in best.items()], "sample int, least double")  # a row a sample
         return rows.join(F.broadcast(limits), "sample", "left").filter("least IS NULL OR low <= least").drop("least")
 
-    for ends in (coarse, block_ends(v, FINE)):
-        left = cut(bounded(left, ends, discrete))
-        left = cut(pruned(left, {r[0]: r[1] for r in left.groupBy("sample").agg(F.min("high")).collect()}))
+    def lowest(rows: DataFrame, most: int) -> DataFrame:
+        order = F.row_number().over(Window.partitionBy("sample").orderBy("low", "xmin"))
+        return rows.withColumn("k", order).filter(F.col("k") <= most)
+
+    def highs(rows: DataFrame) -> dict[int, float]:
+        return {r[0]: r[1] for r in rows.groupBy("sample").agg(F.min("high")).collect()}
+
+    left = cut(bounded(left, ends, discrete, few=True))
+    first = cut(bounded(lowest(left, FIRST).drop("k"), ends, discrete))
+    limits = highs(first)
+    asked = lowest(first, BATCH).toPandas()
+    if len(asked):  # a limit that a block's width does not blur
+        for r in distances(v, asked, discrete).itertuples():
+            limits[r.sample] = min(limits[r.sample], r.ks)
+    left = pruned(left, limits)
+    left = cut(bounded(left, ends, discrete))
+    left = cut(pruned(left, highs(left)))
     best: dict[int, tuple] = {}
     while True:
-        order = F.row_number().over(Window.partitionBy("sample").orderBy("low", "xmin"))
-        asked = left.withColumn("k", order).filter(F.col("k") <= BATCH).toPandas()
+        asked = lowest(left, BATCH).toPandas()
         if not len(asked):
             break
         for r in asked.merge(distances(v, asked, discrete), on=["sample", "xmin"]).itertuples():
